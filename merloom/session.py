@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +43,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         folder = os.path.join(tempfile.gettempdir(), "merloom-checkpoints")
     sc.setCheckpointDir(folder)
     return folder
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder all executors can read: the cluster's checkpoint folder, else a local temporary one (tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    return folder or "file://" + os.path.join(tempfile.gettempdir(), "merloom-checkpoints")
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back.
+
+    Used where a small table derived from a costly pass is read more than
+    once; the written copy survives the loss of executors.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/merloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
