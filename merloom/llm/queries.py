@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merloom.functions.codec import decode_kmer, encode_kmer, pair_key
-from merloom.llm import heavy, membership, seen
+from merloom.llm import heavy, membership, mixing, packing, seen, splitting
 from merloom.llm.sql import SQL
+from merloom.llm.tokens import token_count
 from merloom.session import table
 
 __all__ = ["QUERIES", "SQL"]
@@ -68,4 +69,58 @@ def p4_distinct_counts(spark: SparkSession, d: str) -> DataFrame:
     return _cube(spark, d)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_error_rate, p3_found, p3_counts, p4_found, p4_distinct_counts)}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    single = table(spark, d, "read_chunks").where(F.col("mate").isNull())
+    return splitting.split_records(single).select("read_id", "cut")
+
+
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Every piece of every oversized record, mates included, with its text."""
+    chunks = table(spark, d, "read_chunks")
+    return splitting.piece_texts(chunks, splitting.split_records(chunks))
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return packing.pack(docs, F.col("doc_id"), token_count(F.col("text")))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d).where("oversized").select(F.col("id").alias("doc_id")).distinct()
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d).withColumnRenamed("id", "doc_id")
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(_packed(spark, d))
+
+
+def _mix_docs(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "source", F.length("text").alias("chars"), token_count(F.col("text")).alias("n_tokens"))
+    return mixing.slim(docs, F.col("doc_id"), F.col("source"), F.col("n_tokens"), mixing.quality_weight(F.col("chars"), F.col("n_tokens")))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = _mix_docs(spark, d)
+    plan = mixing.budgets(docs, table(spark, d, "source_targets"))
+    return mixing.mix_report(plan, mixing.mix(docs, plan)).where("short").select("source")
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    docs = _mix_docs(spark, d)
+    plan = mixing.budgets(docs, table(spark, d, "source_targets"))
+    return mixing.mix(docs, plan).withColumnRenamed("id", "doc_id")
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    docs = _mix_docs(spark, d)
+    plan = mixing.budgets(docs, table(spark, d, "source_targets"))
+    return mixing.mix_report(plan, mixing.mix(docs, plan))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p2_found, p2_error_rate, p3_found, p3_counts, p4_found, p4_distinct_counts, p5_found, p5_pieces, p6_found, p6_containers, p6_fill, p7_found, p7_mix, p7_report)
+}

@@ -24,4 +24,19 @@ SQL = {
         select 'kmer' as measure, day, shard_id from c where n_kmers * 4 < n_key_rows
         union all select 'tax', day, shard_id from c where n_taxa < 5""",
     "p4_distinct_counts": _CUBE + " select * from c",
+    "p5_found": r"""
+        with c as (select distinct read_id, chunk_no, kind, seq from read_chunks where mate is null),
+        t as (select read_id, max(coalesce(kind, 'dna')) as kind, string_agg(seq, '' order by chunk_no) as s from c group by read_id),
+        l as (select *, regexp_replace(s, '[\r\n\t ]', '', 'g') as x, case when kind = 'protein' then 11 else 35 end as ov from t),
+        r as (select * from l where length(x) > 2000),
+        -- boundaries: running letter counts of the parts between line breaks, of N runs and after stops
+        a as (select read_id, list_transform(regexp_split_to_array(s, '[\r\n]+'), lambda y: length(regexp_replace(y, '[\t ]', '', 'g'))) as w from r),
+        n as (select read_id, list_transform(regexp_split_to_array(regexp_replace(x, '([Nn]{5,})', chr(1) || '\1' || chr(1), 'g'), chr(1)), lambda y: length(y)) as w from r where kind <> 'protein'),
+        p as (select read_id, list_transform(string_split(replace(x, '*', '*' || chr(1)), chr(1)), lambda y: length(y)) as w from r where kind = 'protein'),
+        b as (select distinct read_id, list_sum(w[1:i])::bigint as pt from (select read_id, w, unnest(range(1, len(w) + 1)) as i from (select * from a union all select * from n union all select * from p))),
+        e as (select b.read_id, b.pt, r.ov from b join r using (read_id) where b.pt > 0 and b.pt < length(r.x) union select read_id, length(x), ov from r),
+        f as (select read_id, max(pt) filter (pt <= 2000) as first_cut from e group by read_id),
+        g as (select e.read_id, pt - lag(pt) over (partition by e.read_id order by pt) as gap, ov from e join f using (read_id) where pt >= first_cut)
+        select r.read_id, case when f.first_cut is null or exists (select 1 from g where g.read_id = r.read_id and g.gap > 2000 - g.ov) then 'forced' else 'natural' end as cut
+        from r join f using (read_id)""",
 }
