@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merloom.functions.codec import decode_kmer, encode_kmer, pair_key
-from merloom.llm import heavy, membership, mixing, packing, seen, splitting
+from merloom.llm import heavy, language, membership, mixing, packing, seen, splitting
 from merloom.llm.sql import SQL
 from merloom.llm.tokens import token_count
 from merloom.session import table
@@ -120,7 +120,30 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(plan, mixing.mix(docs, plan))
 
 
+def _net(spark: SparkSession, d: str):
+    return language.fit(table(spark, d, "lang_samples"), table(spark, d, "documents"), table(spark, d, "lang_labels"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    said = language.languages(table(spark, d, "documents"), F.col("doc_id"), F.col("text"), _net(spark, d), F.col("lang"), segments=False)
+    known = table(spark, d, "lang_labels").where("code is not null").select(F.col("label").alias("name"), "code").distinct()
+    named = said.join(known, F.col("label") == F.col("name"), "left")
+    wrong = F.col("code").isNull() | (F.size("langs") > 1) | ~F.array_contains("langs", F.col("code"))
+    return named.where(wrong).select(F.col("id").alias("doc_id"), F.explode("langs").alias("lang"))
+
+
+def p8_documents(spark: SparkSession, d: str) -> DataFrame:
+    said = language.languages(table(spark, d, "documents"), F.col("doc_id"), F.col("text"), _net(spark, d), segments=False)
+    return said.select(F.col("id").alias("doc_id"), "langs", "confidence")
+
+
+def p8_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every run of sentences in one language, with its confidence."""
+    said = language.languages(table(spark, d, "documents"), F.col("doc_id"), F.col("text"), _net(spark, d))
+    return said.select(F.col("id").alias("doc_id"), F.explode("segments").alias("s")).select("doc_id", "s.*")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_error_rate, p3_found, p3_counts, p4_found, p4_distinct_counts, p5_found, p5_pieces, p6_found, p6_containers, p6_fill, p7_found, p7_mix, p7_report)
+    for f in (p2_found, p2_error_rate, p3_found, p3_counts, p4_found, p4_distinct_counts, p5_found, p5_pieces, p6_found, p6_containers, p6_fill, p7_found, p7_mix, p7_report, p8_found, p8_documents, p8_segments)
 }
