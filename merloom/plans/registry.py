@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from merloom.plans import skew
+from merloom.plans import sequences, skew
 
-MODULES = [skew]
+MODULES = [skew, sequences]
 
 
 def queries() -> dict:
