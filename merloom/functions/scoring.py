@@ -38,9 +38,24 @@ def error(score: Column, best: Column) -> Column:
     return (best - score) / best
 
 
-def entropy(kmer: Column) -> Column:
-    """Letter entropy over ln 22; padding counts as a letter."""
-    letters = F.split(kmer, "")
-    n = F.length(kmer).cast("double")
-    share = F.transform(F.array_distinct(F.filter(letters, lambda x: x != "")), lambda x: (n - F.length(F.replace(kmer, x, F.lit("")))) / n)
-    return -F.aggregate(share, F.lit(0.0), lambda a, p: a + p * F.log2(p)) * F.lit(0.6931471805599453 / 3.091042453358316)
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body refers to it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def entropy(kmer: Column, h: int = H64) -> Column:
+    """Letter entropy over ln 22 of an ``h``-letter k-mer; padding counts as a letter.
+
+    The entropy is the mean over positions of -log2(share of the position's
+    letter), so it needs one count for each position and no array.
+    """
+
+    def of(s: Column) -> Column:
+        n = F.length(s)
+        out = F.lit(0.0)
+        for i in range(1, h + 1):
+            c = n - F.length(F.replace(s, F.substring(s, i, 1), F.lit("")))
+            out = out - F.when(n >= i, F.log2(c.cast("double") / n) / n).otherwise(0.0)
+        return out * F.lit(0.6931471805599453 / 3.091042453358316)
+
+    return let(kmer, of)

@@ -182,16 +182,14 @@ def drop_unknown(windows: DataFrame, h: int = H64) -> DataFrame:
 
 def translate_native(dna: Column, table: dict[str, str] | None = None) -> Column:
     """Letters of the codons at every offset of a cleaned sequence, as one string, in column expressions only."""
-    last = F.length(dna) - 2
-    at = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.array_join(F.transform(at, lambda i: codon_letter(F.substring(dna, i, F.lit(3)), table)), "")
+    codons = F.regexp_extract_all(dna, F.lit("(?=([A-Z]{3}))"), F.lit(1))
+    return F.array_join(F.transform(codons, lambda c: codon_letter(c, table)), "")
 
 
 def in_one_frame(dna: Column, table: dict[str, str] | None = None) -> Column:
     """The protein of the first frame."""
-    last = F.length(dna) - 2
-    at = F.when(last >= 1, F.sequence(F.lit(1), last, F.lit(3))).otherwise(F.array().cast("array<int>"))
-    return F.array_join(F.transform(at, lambda i: codon_letter(F.substring(dna, i, F.lit(3)), table)), "")
+    codons = F.regexp_extract_all(dna, F.lit("([A-Z]{3})"), F.lit(1))
+    return F.array_join(F.transform(codons, lambda c: codon_letter(c, table)), "")
 
 
 def open_frames(df: DataFrame, dna: Column, keys: Sequence[str]) -> DataFrame:

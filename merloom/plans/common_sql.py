@@ -31,9 +31,28 @@ def revcomp(seq: str) -> str:
     return f"reverse(translate({seq}, 'ACGT', 'TGCA'))"
 
 
-def letters(dna: str) -> str:
-    """List of the letters at every offset of a cleaned sequence."""
-    return f"list_transform(range(1, length({dna}) - 1), lambda i: {codon(f'substr({dna}, i::int, 3)')})"
+#: List of the letters at every offset; ``cs`` is the list of the bases.
+LETTERS = f"list_transform(range(1, len(cs) - 1), lambda i: {codon('(cs[i] || cs[i + 1] || cs[i + 2])')})"
+
+
+def windows_cte(source: str, strands: list[tuple[int, str]], n: str, stride: int, step: int, letters: str = LETTERS, where: str = "true") -> str:
+    """CTE ``win(read_id, mate, strand, pos, code)``.
+
+    ``source`` has read_id, mate, s and pad; ``n`` counts the windows of one
+    sequence from its letters ``ls``.
+    """
+    parts = " union all ".join(f"select read_id, mate, {k} as strand, string_split({e} || pad, '') as cs from src" for k, e in strands)
+    code = " + ".join(f"((ascii(lead(a, {i * stride}) over o) & 31)::bigint << {5 * (11 - i)})" for i in range(12))
+    return f"""
+        src as ({source}), st as ({parts}),
+        l as (select read_id, mate, strand, {letters} as ls from st),
+        z as (select read_id, mate, strand, ({n})::bigint as n, unnest(ls) as a, generate_subscripts(ls, 1) - 1 as pos from l),
+        y as (select read_id, mate, strand, pos, n, {code} as code from z window o as (partition by read_id, mate, strand order by pos)),
+        win as (select read_id, mate, strand, pos, code from y where pos < n * {step} and pos % {step} = 0 and {where})"""
+
+
+#: The window holds no letter ``_``.
+NO_UNKNOWN = "not (" + " or ".join(f"((code >> {5 * i}) & 31) = 31" for i in range(12)) + ")"
 
 
 def accession(name: str) -> str:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from merloom.plans import sequences, skew
+from merloom.plans import identification, indexing, sequences, skew, taxonomy
 
-MODULES = [skew, sequences]
+MODULES = [skew, sequences, indexing, identification, taxonomy]
 
 
 def queries() -> dict:
@@ -18,4 +18,4 @@ def oracle_sql() -> dict:
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return skew.p1_found(spark, d)
+    return identification.identify_hits(spark, d)

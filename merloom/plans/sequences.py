@@ -170,23 +170,14 @@ QUERIES = {
 }
 
 
-def _windows_sql(source: str, strands: list[tuple[int, str]], n: str, stride: int, step: int, letter_list: str, extra: str = "true", h: int = 12) -> str:
-    """Windows as text and their summary. ``source`` has read_id, mate, s and pad; ``n`` counts windows of length(s), pad."""
-    parts = " union all ".join(f"select read_id, mate, {k} as strand, {e} || pad as s, length(s) as n from src" for k, e in strands)
-    code = " + ".join(f"((ascii(substr(kmer, {i + 1}, 1)) & 31)::bigint << {5 * (11 - i)})" for i in range(12))
-    return f"""
-        with {q.READS}, src as ({source}), st as ({parts}),
-        l as (select read_id, mate, strand, n, {letter_list} as ls from st),
-        w as (select read_id, mate, strand, unnest(range(0, ({n})::bigint)) * {step} as pos, ls from l),
-        k as (select read_id, mate, strand, pos, array_to_string(ls[pos + 1 : pos + {(h - 1) * stride + 1} : {stride}], '') as kmer from w),
-        f as (select read_id, mate, strand, pos, {code} as code from k where {extra})
-        select read_id, mate, strand, count(*) as n_windows, count(distinct code) as n_kmers, sum((code % 1000003) * (pos % 97 + 1))::bigint as checksum from f group by read_id, mate, strand"""
+def _windows_sql(*args, **kw) -> str:
+    return f"""with {q.READS}, {q.windows_cte(*args, **kw)}
+        select read_id, mate, strand, count(*) as n_windows, count(distinct code) as n_kmers, sum((code % 1000003) * (pos % 97 + 1))::bigint as checksum from win group by read_id, mate, strand"""
 
 
 _DNA = f"select read_id, mate, {q.clean('seq')} as s, repeat('X', greatest({{pad}}, {{least}} - length(seq))) as pad from rd where kind = 'dna' and length(seq) > 0"
 _READ = _DNA.format(pad=15, least=36)
 _REF = _DNA.format(pad=33, least=0)
-_LET = q.letters("s")
 
 
 def _n3(stride: str = "three") -> str:
@@ -197,8 +188,6 @@ def _n3(stride: str = "three") -> str:
 
 
 _PROT = "select read_id, mate, translate(upper(seq), '*', '[') as s, repeat('^', greatest({pad}, {least} - length(seq))) as pad from rd where kind = 'protein' and length(seq) > 0"
-_PLET = "list_transform(range(1, length(s) + 1), lambda i: substr(s, i::int, 1))"
-_NO_ = "not contains(kmer, '_')"
 
 SQL = {
     "reads_assembled": f"with {q.READS} select read_id, mate, file, kind, name, seq, length(seq) as seq_len, n_lines, length(seq) + n_lines as ref_len from rd",
@@ -212,24 +201,23 @@ SQL = {
         select read_id, mate, accession, tax, kind, length(seq) as seq_len from (select *, {q.accession('name')} as acc from rd) r join a on r.acc = a.accession""",
     "dna_clean_revcomp": f"with {q.READS}, c as (select read_id, mate, {q.clean('seq')} as dna from rd where kind = 'dna') select *, {q.revcomp('dna')} as revcomp from c",
     "translate_one_frame": f"with {q.READS}, c as (select read_id, mate, {q.clean('seq')} as dna from rd where kind = 'dna') select read_id, mate, array_to_string(list_transform(range(1, length(dna) - 1, 3), lambda i: {q.codon('substr(dna, i::int, 3)')}), '') as protein from c",
-    "translate_all_offsets": f"with {q.READS}, c as (select read_id, mate, {q.clean('seq')} || 'XXXXXXXXXXXXXXX' as dna from rd where kind = 'dna') select read_id, mate, array_to_string({q.letters('dna')}, '') as letters from c",
-    "open_reading_frames": f"""with {q.READS}, c as (select read_id, mate, {q.clean('seq')} as dna from rd where kind = 'dna'),
-        p as (select read_id, mate, unnest(range(1, length(dna) - 1)) as i, dna from c),
-        t as (select read_id, mate, i, substr(dna, i::int, 3) as x from p),
+    "translate_all_offsets": f"with {q.READS}, c as (select read_id, mate, string_split({q.clean('seq')} || 'XXXXXXXXXXXXXXX', '') as cs from rd where kind = 'dna') select read_id, mate, array_to_string({q.LETTERS}, '') as letters from c",
+    "open_reading_frames": f"""with {q.READS}, c as (select read_id, mate, string_split({q.clean('seq')}, '') as cs from rd where kind = 'dna'),
+        t as (select read_id, mate, unnest(range(1, len(cs) - 1)) as i, unnest(list_transform(range(1, len(cs) - 1), lambda j: cs[j] || cs[j + 1] || cs[j + 2])) as x from c),
         s as (select * from t where x = 'ATG'), e as (select * from t where x in ('TAA', 'TAG', 'TGA'))
         select s.read_id, s.mate, s.i as start, min(e.i) as stop from s join e on s.read_id = e.read_id and s.mate is not distinct from e.mate and e.i >= s.i + 6 and (e.i - s.i) % 3 = 0 group by all""",
-    "windows_three_frames": _windows_sql(_READ, [(0, "s")], _n3(), 3, 1, _LET),
-    "windows_six_frames": _windows_sql(_READ, [(0, "s"), (1, q.revcomp("s"))], _n3(), 3, 1, _LET),
-    "windows_one_frame": _windows_sql(_READ, [(0, "s")], _n3("one"), 3, 3, _LET),
-    "windows_protein": _windows_sql(_PROT.format(pad=5, least=12), [(0, "s")], "case when len(ls) > 13 then len(ls) - 11 else 0 end", 1, 1, _PLET),
-    "windows_reference": _windows_sql(_REF, [(0, "s")], "len(ls) - 33", 3, 1, _LET, _NO_),
-    "windows_reference_one_frame": _windows_sql(_REF, [(0, "s")], "case when len(ls) >= 34 then (len(ls) - 34) // 3 + 1 else 0 end", 3, 3, _LET, _NO_),
-    "windows_reference_protein": _windows_sql(_PROT.format(pad=11, least=0), [(0, "s")], "len(ls) - 11", 1, 1, _PLET),
-    "windows_reference_thinned": _windows_sql(_REF, [(0, "s")], "len(ls) - 33", 3, 1, _LET, "(pos + 1) % 4 <> 0"),
-    "windows_long_kmers": f"""with {q.READS}, src as ({_DNA.format(pad=72, least=0)}), l as (select read_id, mate, {q.letters("(s || pad)")} as ls from src),
-        w as (select read_id, mate, unnest(range(0, (len(ls) - 72)::bigint)) as pos, ls from l),
-        k as (select read_id, mate, array_to_string(ls[pos + 1 : pos + 73 : 3], '') as kmer from w)
-        select read_id, mate, count(*) as n_windows, count(distinct kmer) as n_kmers, min(kmer) as first_kmer, max(kmer) as last_kmer from k where not contains(kmer, '_') group by read_id, mate""",
+    "windows_three_frames": _windows_sql(_READ, [(0, "s")], _n3(), 3, 1),
+    "windows_six_frames": _windows_sql(_READ, [(0, "s"), (1, q.revcomp("s"))], _n3(), 3, 1),
+    "windows_one_frame": _windows_sql(_READ, [(0, "s")], _n3("one"), 3, 3),
+    "windows_protein": _windows_sql(_PROT.format(pad=5, least=12), [(0, "s")], "case when len(ls) > 13 then len(ls) - 11 else 0 end", 1, 1, "cs"),
+    "windows_reference": _windows_sql(_REF, [(0, "s")], "len(ls) - 33", 3, 1, where=q.NO_UNKNOWN),
+    "windows_reference_one_frame": _windows_sql(_REF, [(0, "s")], "case when len(ls) >= 34 then (len(ls) - 34) // 3 + 1 else 0 end", 3, 3, where=q.NO_UNKNOWN),
+    "windows_reference_protein": _windows_sql(_PROT.format(pad=11, least=0), [(0, "s")], "len(ls) - 11", 1, 1, "cs"),
+    "windows_reference_thinned": _windows_sql(_REF, [(0, "s")], "len(ls) - 33", 3, 1, where="(pos + 1) % 4 <> 0"),
+    "windows_long_kmers": f"""with {q.READS}, src as ({_DNA.format(pad=72, least=0)}), x as (select read_id, mate, string_split(s || pad, '') as cs from src), l as (select read_id, mate, {q.LETTERS} as ls from x),
+        z as (select read_id, mate, len(ls) - 72 as n, unnest(ls) as a, generate_subscripts(ls, 1) - 1 as pos from l),
+        y as (select read_id, mate, n, pos, {" || ".join(f"lead(a, {3 * i}) over o" for i in range(25))} as kmer from z window o as (partition by read_id, mate order by pos))
+        select read_id, mate, count(*) as n_windows, count(distinct kmer) as n_kmers, min(kmer) as first_kmer, max(kmer) as last_kmer from y where pos < n and not contains(kmer, '_') group by read_id, mate""",
     "windows_text": """
         with s as (select coalesce(lang, 'none') as lang, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) as s from documents where text is not null),
         w as (select lang, s, unnest(range(1, case when length(s) > 13 then length(s) - 10 else 1 end)) as i from s),
