@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from merloom.plans import files, identification, indexing, sequences, skew, taxonomy
+from merloom.plans import files, identification, indexing, ordered, sequences, skew, streams, taxonomy
 
-MODULES = [skew, sequences, indexing, identification, taxonomy, files]
+MODULES = [skew, sequences, indexing, identification, taxonomy, files, ordered, streams]
 
 
 def queries() -> dict:
