@@ -34,10 +34,10 @@ MIN_RUN = 3
 PER_LANGUAGE = 300
 MAX_BYTES = 512
 SWITCH = 6.0  # cost of a change of language between sentences, in nats
-_SHORT_DOT = "|".join(rf"(?<=\b\w{{{n}}})\." for n in (1, 2, 3, 4))  # of an initial or a title
-_ASIDE = re.compile(rf"\([^()\n]*\)|\[[^\[\]\n]*\]|(?<!\S)[–—](?=\s)(?:[^–—.!?\n]|{_SHORT_DOT}|[.!?]+(?=\s*[–—]))*(?<=\s)[–—](?!\S)")
 # Fixed value: abbreviations before names that end no sentence.
 _TITLES = frozenset("dr prof mr mrs ms mme mlle sr sra srta dra hr fr dhr mevr drs".split())
+_SHORT_DOT = "|".join([r"(?<=\b\w)\.", *(rf"(?<=\b{t})\." for t in sorted(_TITLES))])  # of an initial or a title
+_ASIDE = re.compile(rf"\([^()\n]*\)|\[[^\[\]\n]*\]|(?<!\S)[–—](?=\s)(?:[^–—.!?\n]|{_SHORT_DOT}|[.!?]+(?=\s*[–—]))*(?<=\s)[–—](?!\S)")
 _END = re.compile(r"[.!?…]+[\"'»”’]*(?=\s|$)")
 _LAST = re.compile(r"[^\W\d_]+$")
 
