@@ -97,7 +97,7 @@ def identify_file(spark: SparkSession, path: str, index_path: str, content_path:
     keys = ["read_id"]
     whole = r.groupBy("read_id").agg(F.concat_ws(" ", F.transform(F.array_sort(F.collect_list(F.struct("mate", "name"))), lambda x: x["name"])).alias("name"), F.sum("seq_len").alias("seq_len"))
     freq = spark.read.parquet(os.path.join(index_path, "freq"))
-    scores = identify.read_scores(identify.match(identify.occurrences(w, keys, s.unique), idx, keys, s.min_k, s.max_k), keys)
+    scores = identify.read_scores(identify.match(w, idx, keys, s.min_k, s.max_k, unique=s.unique), keys)
     rated = identify.rate(scores, whole, freq.where(F.col("k") == s.h), keys, s.min_k, s.max_k, s.frames, s.threshold)
     hits = identify.rank_hits(rated, keys, s.beasts)
     if s.output in ("json", "jsonl"):

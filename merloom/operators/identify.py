@@ -6,8 +6,8 @@ window that starts with p is a hit. A hit adds k^2/625/|T| to the score of its
 read and each taxon of T, 1/|T| to the counts of the taxon, and 1 to its unique
 counts if |T| = 1.
 
-Plan: equal windows of a read are counted first; windows whose min_k prefix is
-not in the index are dropped by a semi join before prefixes are exploded; the
+Plan: windows whose min_k prefix is not in the index are dropped by a semi join
+first; equal windows of a read are counted before prefixes are exploded; the
 index side is one row for each (k, prefix) with its taxa as an array, so a join
 row fans out only when taxa are exploded, and counts are combined map-side. A
 prefix shared by many reads is split by adaptive skew joins.
@@ -37,19 +37,17 @@ def index_prefixes(idx: DataFrame, min_k: int, max_k: int, h: int = H64) -> Data
     return distinct.groupBy("k", "prefix").agg(F.collect_list("tax").alias("taxa"), F.count(F.lit(1)).alias("n_taxa"))
 
 
-def occurrences(windows: DataFrame, keys: Sequence[str], unique: bool = False) -> DataFrame:
-    """(keys..., code, cnt): equal windows of a read counted; ``unique`` counts them once."""
-    out = windows.groupBy(*keys, "code").agg(F.count(F.lit(1)).alias("cnt"))
-    return out.withColumn("cnt", F.lit(1).cast("long")) if unique else out
+def live(windows: DataFrame, idx: DataFrame, min_k: int, h: int = H64) -> DataFrame:
+    """Windows whose min_k prefix occurs in the index. All others can match at no k, so this comes before any count or join."""
+    probe = idx.select(kmer_prefix_code(F.col("code"), min_k, h).alias("p0")).distinct()
+    return windows.withColumn("p0", kmer_prefix_code(F.col("code"), min_k, h)).join(probe, "p0", "left_semi").drop("p0")
 
 
-def match(occ: DataFrame, idx: DataFrame, keys: Sequence[str], min_k: int, max_k: int, h: int = H64) -> DataFrame:
-    """(keys..., k, prefix, cnt, taxa, n_taxa)."""
-    pre = index_prefixes(idx, min_k, max_k, h)
-    probe = idx.select(kmer_prefix_code(F.col("code"), min_k, h).alias("p0")).distinct()
-    live = occ.withColumn("p0", kmer_prefix_code(F.col("code"), min_k, h)).join(probe, "p0", "left_semi")
-    hits = prefixes(live, [*keys, "cnt"], min_k, max_k, h).groupBy(*keys, "k", "prefix").agg(F.sum("cnt").alias("cnt"))
-    return hits.join(pre, ["k", "prefix"])
+def match(windows: DataFrame, idx: DataFrame, keys: Sequence[str], min_k: int, max_k: int, h: int = H64, unique: bool = False) -> DataFrame:
+    """(keys..., k, prefix, cnt, taxa, n_taxa); ``unique`` counts equal windows of a read once."""
+    occ = live(windows.select(*keys, "code"), idx, min_k, h).groupBy(*keys, "code").agg(F.count(F.lit(1)).alias("n")).withColumn("cnt", F.lit(1).cast("long") if unique else F.col("n"))
+    hits = prefixes(occ, [*keys, "cnt"], min_k, max_k, h).groupBy(*keys, "k", "prefix").agg(F.sum("cnt").alias("cnt"))
+    return hits.join(index_prefixes(idx, min_k, max_k, h), ["k", "prefix"])
 
 
 def read_scores(matched: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -61,7 +59,7 @@ def read_scores(matched: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def taxon_counts(windows: DataFrame, idx: DataFrame, min_k: int, max_k: int, h: int = H64) -> DataFrame:
     """(tax, k, count_all, count_unique, count_total): the profile counts, without any read-wise work."""
-    m = match(occurrences(windows, []), idx, [], min_k, max_k, h)
+    m = match(windows, idx, [], min_k, max_k, h)
     rows = m.select("k", F.explode("taxa").alias("tax"), (F.col("cnt") / F.col("n_taxa")).alias("a"), F.when(F.col("n_taxa") == 1, F.col("cnt")).otherwise(0).alias("u"))
     return rows.groupBy("tax", "k").agg(F.sum("a").alias("count_all"), F.sum("u").alias("count_unique"), F.count(F.lit(1)).alias("count_total"))
 
@@ -102,6 +100,7 @@ def rank_hits(rated: DataFrame, keys: Sequence[str], beasts: int = 3, ratio: flo
 
 def longest_matches(windows: DataFrame, idx: DataFrame, keys: Sequence[str], min_k: int, max_k: int, h: int = H64) -> DataFrame:
     """(keys..., strand, pos, len): the longest matching prefix of every window that matches."""
+    windows = live(windows, idx, min_k, h)
     codes = windows.select("code").distinct()
     found = prefixes(codes, ["code"], min_k, max_k, h).join(prefixes(idx, [], min_k, max_k, h).distinct(), ["k", "prefix"], "left_semi")
     best = found.groupBy("code").agg(F.max("k").alias("len"))

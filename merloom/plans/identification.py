@@ -36,8 +36,7 @@ def _windows(spark: SparkSession, d: str, frames: int = 3, kind: str = "dna") ->
 
 
 def _matched(spark: SparkSession, d: str, frames: int = 3, unique: bool = False, kind: str = "dna") -> DataFrame:
-    occ = identify.occurrences(_windows(spark, d, frames, kind), KEYS, unique)
-    return identify.match(occ, _idx(spark, d), KEYS, MIN_K, MAX_K)
+    return identify.match(_windows(spark, d, frames, kind), _idx(spark, d), KEYS, MIN_K, MAX_K, unique=unique)
 
 
 def _freq12(spark: SparkSession, d: str) -> DataFrame:
@@ -105,7 +104,7 @@ def identify_spaced(spark: SparkSession, d: str) -> DataFrame:
     """Matches of nine letters with the third and sixth masked."""
     mask = "110110111000"
     keep = lambda df, *c: df.select(*c, identify.spaced(F.col("code"), mask).alias("code"))
-    occ = identify.occurrences(keep(_windows(spark, d), "read_id"), KEYS)
+    occ = keep(_windows(spark, d), "read_id").groupBy("read_id", "code").agg(F.count(F.lit(1)).alias("cnt"))
     taxa = keep(_idx(spark, d), "tax").distinct().groupBy("code").agg(F.count(F.lit(1)).alias("n_taxa"))
     return occ.join(taxa, "code").groupBy("read_id").agg(F.sum("cnt").alias("n_matches"), F.sum("n_taxa").alias("n_taxa"))
 

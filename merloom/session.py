@@ -61,3 +61,23 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/merloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each application."""
+    import shutil
+
+    import merloom
+
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(merloom.__file__)))
+    with tempfile.TemporaryDirectory() as d:
+        staged = shutil.copytree(os.path.join(root, "merloom"), os.path.join(d, "src", "merloom"), ignore=shutil.ignore_patterns("__pycache__"))
+        archive = shutil.make_archive(os.path.join(tempfile.gettempdir(), f"merloom-{app}"), "zip", os.path.dirname(staged))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)

@@ -109,7 +109,7 @@ def test_identify_against_the_formula(spark, rows):
     idx = make(spark, rows)
     for lo, hi in ((3, 12), (7, 12), (5, 5)):
         score, alls, uniq, total = naive_identify(reads, c, lo, hi)
-        got = identify.read_scores(identify.match(identify.occurrences(w, ["read_id"]), idx, ["read_id"], lo, hi), ["read_id"])
+        got = identify.read_scores(identify.match(w, idx, ["read_id"], lo, hi), ["read_id"])
         assert {(x.read_id, x.tax): round(x.score, 9) for x in got.collect()} == {k: round(v, 9) for k, v in score.items()}
         counts = identify.taxon_counts(w, idx, lo, hi).collect()
         assert {(x.tax, x.k): round(x.count_all, 9) for x in counts} == {k: round(v, 9) for k, v in alls.items()}
