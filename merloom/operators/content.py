@@ -7,11 +7,12 @@ ids counted down from just under 2^32 in order of accession.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from merloom.functions.text import clean_name, split_list
 from merloom.operators import reports
+from merloom.operators.sequence_store import ranked
 
 # Names and first ids of entries without accession number.
 DUMMY_NAME = "EWAN_"
@@ -25,11 +26,6 @@ def level_or_default(level: str) -> str:
     return level if level in LEVELS or level == "lowest" else "species"
 
 
-def _number(df: DataFrame, order: Column) -> Column:
-    """0, 1, ... in an order over a dimension table (unnamed or dummy entries: few)."""
-    return F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)) - 1
-
-
 def scientific_names(names: DataFrame) -> DataFrame:
     """(tax, name): one scientific name for each taxon, the first in order."""
     return names.where("name_class = 'scientific name' and tax is not null").groupBy("tax").agg(F.min("name").alias("name"))
@@ -50,10 +46,9 @@ def generate(accessions: DataFrame, acc_map: DataFrame, nodes: DataFrame, names:
     grouped = have.join(up, "tax").groupBy(F.col("upper").alias("tax")).agg(F.array_sort(F.collect_set("tax")).alias("sub_taxids"), F.array_sort(F.collect_set("accession")).alias("accessions"))
     named = grouped.join(scientific_names(names), "tax", "left")
     ok = named.where("name is not null").select(clean_name(F.col("name")).alias("name"), "tax", "sub_taxids", "accessions")
-    no_name = named.where("name is null")
-    no = no_name.select(F.concat(F.lit("unnamed_"), _number(no_name, F.col("tax")).cast("string")).alias("name"), "tax", "sub_taxids", "accessions")
-    i = _number(lost, F.col("accession"))
-    lost = lost.withColumn("i", i).withColumn("tax", (F.lit(FIRST_DUMMY) - F.col("i")).cast("long"))
+    no_name = ranked(named.where("name is null").drop("name"), F.col("tax"), name="i", start=0)
+    no = no_name.select(F.concat(F.lit("unnamed_"), F.col("i").cast("string")).alias("name"), "tax", "sub_taxids", "accessions")
+    lost = ranked(lost.select("accession"), F.col("accession"), name="i", start=0).withColumn("tax", (F.lit(FIRST_DUMMY) - F.col("i")).cast("long"))
     dummy = lost.select(F.concat(F.lit(DUMMY_NAME), F.col("i").cast("string")).alias("name"), "tax", F.array("tax").alias("sub_taxids"), F.array("accession").alias("accessions"))
     return ok.unionByName(no).unionByName(dummy)
 
@@ -61,7 +56,7 @@ def generate(accessions: DataFrame, acc_map: DataFrame, nodes: DataFrame, names:
 def generate_lowest_numbered(accessions: DataFrame) -> DataFrame:
     """(accession, tax): accessions numbered from 1 in their order, for use without a taxonomy."""
     a = accessions.select("accession").where("accession is not null").distinct()
-    return a.select("accession", (_number(a, F.col("accession")) + 1).cast("long").alias("tax"))
+    return ranked(a, F.col("accession"), name="tax").select("accession", F.col("tax").cast("long").alias("tax"))
 
 
 def parse(content: DataFrame) -> DataFrame:
@@ -90,9 +85,8 @@ def merge(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.max_by("name", F.when(F.col("name").isNotNull(), F.col("side"))).alias("name"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("sub_taxids")))).alias("sub_taxids"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("accessions")))).alias("accessions"),
     )
-    dummies = x.where(_is_dummy(F.col("name")))
-    i = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("side", F.desc("tax"))) - 1
-    dummies = dummies.withColumn("i", i).withColumn("new", (F.lit(FIRST_DUMMY_MERGED) - F.col("i")).cast("long"))
+    dummies = ranked(x.where(_is_dummy(F.col("name"))), F.col("side"), F.desc("tax"), F.array_join("accessions", ";"), name="i", start=0)
+    dummies = dummies.withColumn("new", (F.lit(FIRST_DUMMY_MERGED) - F.col("i")).cast("long"))
     rows = dummies.select(F.concat(F.lit(DUMMY_NAME), F.col("i").cast("string")).alias("name"), F.col("new").alias("tax"), F.array("new").alias("sub_taxids"), "accessions")
     return real.select("name", "tax", "sub_taxids", "accessions").unionByName(rows), dummies.select("side", F.col("tax").alias("old"), "new")
 
@@ -105,4 +99,4 @@ def joined(content: DataFrame) -> DataFrame:
 def ordinals(content: DataFrame, as_text: bool = False) -> DataFrame:
     """(ordinal, tax, name): places in the content file, from 1; by number, or as text."""
     key = F.col("tax").cast("string") if as_text else F.col("tax")
-    return content.select((_number(content, key) + 1).alias("ordinal"), "tax", "name")
+    return ranked(content.select("tax", "name"), key, F.col("name"), name="ordinal").select("ordinal", "tax", "name")

@@ -58,21 +58,27 @@ def frequencies(idx: DataFrame, h: int = H64) -> DataFrame:
     return counts.select("tax", rows).select("tax", "r.k", "r.n")
 
 
-def directory(idx: DataFrame, letters: int = 6, h: int = H64) -> DataFrame:
-    """(prefix, start, cnt): where the rows of every prefix begin in the sorted index and how many they are.
+def starts(counts: DataFrame, keys: list[str], letters: int) -> DataFrame:
+    """``counts`` (keys..., prefix, cnt) with ``start``: the sum of cnt over smaller prefixes of the same keys.
 
-    Offsets are running sums within the first two letters (at most 1,024
-    groups) plus offsets of those groups, so no task sums over all prefixes.
+    Sums go two letters at a time: the start of a prefix is that of its parent
+    plus the sum over its smaller siblings. No window has more than 1,024
+    rows, however the prefixes are spread.
     """
+    before = lambda w: F.coalesce(F.sum("cnt").over(w.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if letters <= 2:
+        return counts.withColumn("start", before(Window.partitionBy(*(keys or [F.lit(0)]))))
+    x = counts.withColumn("parent", F.shiftright("prefix", 10))
+    up = x.groupBy(*keys, F.col("parent").alias("prefix")).agg(F.sum("cnt").alias("cnt"))
+    up = starts(up, keys, letters - 2).select(*keys, F.col("prefix").alias("parent"), F.col("start").alias("base"))
+    x = x.withColumn("within", before(Window.partitionBy(*keys, "parent"))).join(up, [*keys, "parent"])
+    return x.select(*keys, "prefix", "cnt", (F.col("base") + F.col("within")).alias("start"))
+
+
+def directory(idx: DataFrame, letters: int = 6, h: int = H64) -> DataFrame:
+    """(prefix, start, cnt): where the rows of every prefix begin in the sorted index and how many they are."""
     p = idx.groupBy(kmer_prefix_code(F.col("code"), letters, h).alias("prefix")).agg(F.count(F.lit(1)).alias("cnt"))
-    p = p.withColumn("top", F.shiftright("prefix", 5 * (letters - 2)))
-    tops = p.groupBy("top").agg(F.sum("cnt").alias("n"))
-    # at most 1,024 rows
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("top").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    tops = tops.select(F.col("top").alias("t"), before.alias("base"))
-    w = Window.partitionBy("top").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
-    out = p.withColumn("within", F.coalesce(F.sum("cnt").over(w), F.lit(0))).join(F.broadcast(tops), F.col("top") == F.col("t"))
-    return out.select("prefix", (F.col("base") + F.col("within")).alias("start"), "cnt")
+    return starts(p, [], letters).select("prefix", "start", "cnt")
 
 
 def taxa_per_kmer(idx: DataFrame) -> DataFrame:
@@ -98,17 +104,15 @@ def redundancy_cutoff(idx: DataFrame, share: float = 0.99) -> DataFrame:
 def shrink_every_nth(idx: DataFrame, percent: float) -> DataFrame:
     """Without ``percent`` % of the rows of every taxon, evenly spaced in index order.
 
-    A row's number within its taxon comes from ranks within the first two
-    letters plus offsets of those (at most 1,024 groups a taxon), so a taxon
-    that holds a third of all rows is not ranked in one task.
+    A row's number within its taxon is its rank within six letters plus the
+    start of these, so a taxon that holds a third of all rows is not ranked in
+    one task.
     """
     step = 100.0 / percent
-    x = idx.withColumn("top", kmer_prefix_code(F.col("code"), 2))
-    sizes = x.groupBy("tax", "top").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy("tax").orderBy("top").rowsBetween(Window.unboundedPreceding, -1))
-    offs = sizes.select(F.col("tax").alias("t"), F.col("top").alias("p"), F.coalesce(before, F.lit(0)).alias("base"))
-    rank = F.row_number().over(Window.partitionBy("tax", "top").orderBy("code"))
-    numbered = x.withColumn("r", rank).join(offs, (F.col("tax") == F.col("t")) & (F.col("top") == F.col("p"))).withColumn("rn", F.col("base") + F.col("r"))
+    x = idx.withColumn("prefix", kmer_prefix_code(F.col("code"), 6))
+    offs = starts(x.groupBy("tax", "prefix").agg(F.count(F.lit(1)).alias("cnt")), ["tax"], 6).select("tax", "prefix", "start")
+    rank = F.row_number().over(Window.partitionBy("tax", "prefix").orderBy("code"))
+    numbered = x.withColumn("r", rank).join(offs, ["tax", "prefix"]).withColumn("rn", F.col("start") + F.col("r"))
     hit = F.floor(F.ceil(F.col("rn") / F.lit(step)) * F.lit(step)) == F.col("rn")
     return numbered.where(~hit).select("code", "tax")
 

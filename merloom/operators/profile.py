@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from merloom.operators import sequence_store
+
 
 def input_size(n_windows: DataFrame, n_reads: DataFrame, min_k: int, max_k: int, frames: int = 3) -> DataFrame:
     """(k, total): windows of the input less the padded ones, for each k. Both inputs are one-row tables."""
@@ -45,4 +47,4 @@ def wide(rel: DataFrame, min_k: int, max_k: int, digits: int = 6) -> DataFrame:
 def ranked(wide_rows: DataFrame, min_k: int, max_k: int) -> DataFrame:
     """Profile rows numbered by their unique counts from the largest k on; ties by taxon."""
     order = [F.desc(f"count_unique_{k}") for k in range(max_k, min_k - 1, -1)]
-    return wide_rows.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order, "tax")))
+    return sequence_store.ranked(wide_rows, *order, F.col("tax"))
