@@ -267,7 +267,7 @@ def fit(samples: DataFrame, docs: DataFrame | None = None, labels: DataFrame | N
     rows = sorted((r["lang"], r["text"]) for r in samples.select("lang", "text").where("lang is not null and text is not null").collect())
     extra: list[tuple[str, str]] = []
     if docs is not None and labels is not None and per_language:
-        known = labels.where("code is not null").select("label", "code").distinct()
+        known = labels.where("code is not null").groupBy("label").agg(F.min("code").alias("code"))
         short = docs.where(F.length("text").between(20, 400)).select("lang", "text", F.xxhash64("doc_id").alias("h"))
         rank = F.row_number().over(Window.partitionBy("code").orderBy("h", "text"))
         some = short.join(known, F.col("lang") == F.col("label")).withColumn("rank", rank).where(F.col("rank") <= per_language)

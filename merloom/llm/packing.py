@@ -173,7 +173,9 @@ def pack(df: DataFrame, row_id: Column, tokens: Column, capacity: int = CAPACITY
     spread = items.repartition(F.xxhash64("id", "n_tokens")).sortWithinPartitions("id", "n_tokens")
     first = spread.mapInArrow(_pack(capacity, window, keep_fill, merge), SCHEMA)
     poor = F.col("container") == -2
-    second = first.repartition(F.when(poor, F.col("grp")).otherwise(F.xxhash64("container", "id"))).mapInArrow(_repack(capacity, window), SCHEMA)
+    # in a fixed order, so that a task that runs again packs alike
+    grouped = first.repartition(F.when(poor, F.col("grp")).otherwise(F.xxhash64("container", "id"))).sortWithinPartitions("grp", "id", "piece_no")
+    second = grouped.mapInArrow(_repack(capacity, window), SCHEMA)
     box = F.when(F.col("container") >= 0, F.col("container"))
     return second.select(F.when(F.col("id") != -(2**63) + 1, F.col("id")).alias("id"), "n_tokens", "piece_no", "size", box.alias("container"), (F.col("n_tokens") > capacity).alias("oversized"))
 

@@ -7,8 +7,7 @@ its boundaries, so a shuffle carries positions, never text, and a hot chunk
 (delivered many times) is reduced to one before it is gathered.
 
 Cuts are chosen by dynamic programming over boundary positions: least number
-of forced cuts, then least penalty of the boundary kinds plus size imbalance,
-subject to the length limit. The first piece holds at most ``limit`` letters;
+of forced cuts, then least size imbalance, subject to the length limit. The first piece holds at most ``limit`` letters;
 every other piece begins ``overlap`` letters before the cut that ends the
 piece before it, so consecutive cuts are at most ``limit - overlap`` apart. If
 no all-natural cutting exists, evenly spaced forced positions are added in the
@@ -32,7 +31,8 @@ from pyspark.sql import functions as F
 
 LIMIT = 2000
 OVERLAP = {"dna": 35, "protein": 11}
-PENALTY = {"break": 0.0, "run": 0.0, "stop": 0.0, "forced": 1e6}
+#: cost of a cut; size imbalance of a piece is at most 1
+PENALTY = {"natural": 0.0, "forced": 1e6}
 MIN_RUN = 5
 _BLANK = re.compile(r"[\r\n\t ]+")
 _RUN = re.compile(r"[Nn]+")
@@ -130,7 +130,7 @@ def best_cuts(total: int, natural: np.ndarray, limit: int, overlap: int) -> tupl
         order = np.argsort(points, kind="stable")
         points, forced = points[order], forced[order]
     pos = np.concatenate([[0], points, [total]])
-    pen = np.concatenate([[0.0], np.where(forced, PENALTY["forced"], PENALTY["break"]), [0.0]])
+    pen = np.concatenate([[0.0], np.where(forced, PENALTY["forced"], PENALTY["natural"]), [0.0]])
     pieces = max(2, -(-(total - overlap) // span))
     want = (total + (pieces - 1) * overlap) / pieces
     cost, back = np.full(len(pos), np.inf), np.zeros(len(pos), np.int64)

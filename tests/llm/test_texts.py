@@ -195,6 +195,24 @@ def test_token_counts(spark):
     assert got == {i: len(e.encode_ordinary(t)) if t else 0 for i, t in enumerate(texts)}
 
 
+def test_long_texts_count_in_parts():
+    r = random.Random(6)
+    e = tokens.encoder()
+    text = "".join(r.choice(["word ", "été  ", "12 ", "a, ", "\n", "it's ", "  x", "\U0001f600"]) for _ in range(4000))
+    ps = tokens.parts(text, 500)
+    assert len(ps) > 10 and "".join(ps) == text
+    assert sum(len(e.encode_ordinary(p)) for p in ps) == len(e.encode_ordinary(text))
+    assert tokens.parts("a" * 5000, 100) == ["a" * 5000]
+
+
+def test_odd_long_texts():
+    e = tokens.encoder()
+    t = "one two  three\n" * 700 + " " * 12_000 + "end"
+    assert tokens.count_tokens(e, t) == len(e.encode_ordinary(t))
+    assert tokens.count_tokens(e, " " * 1_000_000) > 0 and tokens.count_tokens(e, "a" * 1_000_000) > 0 and tokens.count_tokens(e, "\n \t" * 300_000 + "x") > 0
+    assert tokens.count_tokens(e, None) == tokens.count_tokens(e, "") == 0
+
+
 def mix_tables(spark):
     r = random.Random(9)
     docs = []
