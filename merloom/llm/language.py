@@ -33,7 +33,7 @@ from merloom.llm.gru import BLOCK, ByteGRU, pairs_of, to_blocks
 MIN_RUN = 3
 PER_LANGUAGE = 300
 MAX_BYTES = 512
-SWITCH = 6.0  # cost of a change of language between sentences, in nats
+SWITCH = 2.5  # cost of a change of language between sentences, in nats; two changes cost less than one clear sentence is worth
 # Fixed value: abbreviations before names that end no sentence.
 _TITLES = frozenset("dr prof mr mrs ms mme mlle sr sra srta dra hr fr dhr mevr drs".split())
 _SHORT_DOT = "|".join([r"(?<=\b\w)\.", *(rf"(?<=\b{t})\." for t in sorted(_TITLES))])  # of an initial or a title

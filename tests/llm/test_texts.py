@@ -348,6 +348,8 @@ def test_mixed_texts_and_cases(net):
     got = language.label_texts(model, texts)
     assert got[:4] == [None] * 4
     assert got[4][0] == ["de", "fr"] and got[5][0] == ["de"] and got[6][0] == ["en"] and got[7][0] == ["nl"]
+    around = "Der Ausschuss berät den Antrag. " * 4 + quote + "Wir stimmen heute über den Bericht ab." + quote
+    assert language.label_texts(model, [around])[0][0] == ["de"]
     for r in got[4:]:
         assert all(0 < s["confidence"] <= 1 and s["start"] < s["end"] for s in r[1])
 
