@@ -95,7 +95,7 @@ def rank_hits(rated: DataFrame, keys: Sequence[str], beasts: int = 3, ratio: flo
     change = (F.col("top") == 0) & ((F.lag("top").over(w) == 1) | (F.col("score") != F.lag("score").over(w)))
     x = x.withColumn("change", change.cast("int")).withColumn("before", F.coalesce(F.sum("change").over(prior), F.lit(0)))
     x = x.where((F.col("top") == 1) | (F.col("n_top") + F.col("before") < beasts))
-    return x.select(*keys, "seq_len", "rank", F.when(F.col("top") == 1, "top").otherwise("further").alias("hit"), "tax", "score", "relative", "error")
+    return x.select(*keys, "seq_len", F.col("rank").cast("long").alias("rank"), F.when(F.col("top") == 1, "top").otherwise("further").alias("hit"), "tax", "score", "relative", "error")
 
 
 def longest_matches(windows: DataFrame, idx: DataFrame, keys: Sequence[str], min_k: int, max_k: int, h: int = H64) -> DataFrame:

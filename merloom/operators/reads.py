@@ -29,7 +29,7 @@ def assemble(chunks: DataFrame) -> DataFrame:
     joined = lambda f: F.regexp_replace(F.array_join(F.transform("p", lambda x: x[f]), ""), BLANKS, "")
     first = lambda f: F.try_element_at(F.filter(F.transform("p", lambda x: x[f]), lambda y: y.isNotNull()), F.lit(1))
     out = rec.select("read_id", "mate", first("file").alias("file"), first("kind").alias("kind"), trim_all(first("name")).alias("name"), joined("seq").alias("seq"), joined("qual").alias("qual"), F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x["n_lines"], F.lit(0))).alias("n_lines"))
-    return out.withColumn("seq_len", F.length("seq"))
+    return out.withColumn("seq_len", F.length("seq").cast("long"))
 
 
 def check_quality(reads: DataFrame) -> DataFrame:

@@ -203,7 +203,7 @@ def open_frames(df: DataFrame, dna: Column, keys: Sequence[str]) -> DataFrame:
     rows = rows.select(*keys, "i", F.expr("substring(dna, i, 3)").alias("x")).where(F.col("x").isin("ATG", "TAA", "TAG", "TGA"))
     w = Window.partitionBy(*keys, F.col("i") % 3).orderBy((-F.col("i"))).rangeBetween(Window.unboundedPreceding, -6)
     near = rows.withColumn("stop", F.min(F.when(F.col("x") != "ATG", F.col("i"))).over(w))
-    return near.where("x = 'ATG' and stop is not null").select(*keys, F.col("i").alias("start"), "stop")
+    return near.where("x = 'ATG' and stop is not null").select(*keys, F.col("i").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
 
 
 def every_nth_dropped(windows: DataFrame, percent: float, keys: Sequence[str]) -> DataFrame:

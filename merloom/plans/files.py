@@ -44,7 +44,7 @@ def scan_fastq_gz(spark: SparkSession, d: str) -> DataFrame:
     """Gzip FASTQ through the data source."""
     p = _path(spark)
     sinks.write_fastq(_dna(spark, d), p, qual=None, compression="gzip")
-    return sequences.read_sequences(spark, p).select("name", "seq", F.length("qual").alias("qual_len"))
+    return sequences.read_sequences(spark, p).select("name", "seq", F.length("qual").cast("long").alias("qual_len"))
 
 
 def scan_files(spark: SparkSession, d: str) -> DataFrame:

@@ -321,7 +321,7 @@ _PROFILE = f"""recursive {_HITS}, {_FREQ}, {_NODES}, {_LAB}, {_UP},
                    string_agg(case when coalesce(rank_name, 'no rank') = 'no rank' then '' else ancestor::varchar end, '|' order by depth desc) as path,
                    string_agg(case when coalesce(rank_name, 'no rank') = 'no rank' then '' else coalesce(taxon, 'unnamed') end, '|' order by depth desc) as name_path
             from up left join lim using (tax) left join lab on lab.tax = ancestor where l is null or depth <= l group by up.tax),
-    prf as (select tax, rank_name, path, name_path, percentage, list_position({reports.RANKS}, rank_name) as rank_no from tot join pth using (tax) where list_position({reports.RANKS}, rank_name) > 0)"""
+    prf as (select tax, rank_name, path, name_path, percentage, list_position({reports.RANKS}, rank_name)::bigint as rank_no from tot join pth using (tax) where list_position({reports.RANKS}, rank_name) > 0)"""
 
 SQL = {
     "identify_match": f"with {_match()} select * from m",

@@ -109,7 +109,7 @@ def suffix_array(spark: SparkSession, d: str) -> DataFrame:
     """Suffixes of the names of the regions, joined."""
     name = table(spark, d, "region").agg(F.array_join(F.array_sort(F.collect_list("r_name")), "").alias("t"))
     chars = name.select(F.posexplode(F.split("t", "")).alias("pos", "c")).where("c <> ''")
-    return s.suffix_array(chars)
+    return s.suffix_array(chars).select(F.col("pos").cast("long").alias("pos"), "place")
 
 
 QUERIES = {

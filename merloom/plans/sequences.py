@@ -224,7 +224,7 @@ SQL = {
         k as (select lang, substr(s, i::int, 12) as kmer from w)
         select lang, count(*) as n_windows, count(distinct kmer) as n_kmers from k group by lang""",
     "kmer_encode_decode": f"""
-        select pair_id, {' + '.join(f"((ascii(substr(kmer, {i + 1}, 1)) & 31)::bigint << {5 * (11 - i)})" for i in range(12))} as packed, upper(kmer) as letters, packed >> 25 as prefix7, bit_count(packed) as bits
+        select pair_id, {' + '.join(f"((ascii(substr(kmer, {i + 1}, 1)) & 31)::bigint << {5 * (11 - i)})" for i in range(12))} as packed, upper(kmer) as letters, packed >> 25 as prefix7, bit_count(packed)::int as bits
         from idx_pairs where kmer is not null""",
     "kmer_entropy": """
         with l as (select kmer, unnest(string_split(kmer, '')) as c from base_idx), n as (select kmer, c, count(*) / 12.0 as p from l where c <> '' group by all)
