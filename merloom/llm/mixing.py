@@ -52,7 +52,7 @@ def slim(docs: DataFrame, row_id: Column, source: Column, tokens: Column, weight
 
 
 def budgets(docs: DataFrame, targets: DataFrame, total: int | None = None) -> DataFrame:
-    """One row for each listed source: its tokens, budget, complete epochs, the rest and whether it falls short.
+    """One row for each listed source: its tokens, budget, complete epochs and the rest.
 
     ``total`` is the size of the mix in tokens; by default that of all documents.
     """
@@ -65,7 +65,7 @@ def budgets(docs: DataFrame, targets: DataFrame, total: int | None = None) -> Da
     full = F.least(F.coalesce(F.floor(F.try_divide(F.col("budget"), F.col("available"))), F.lit(0)), F.col("max_repeats").cast("long"))
     out = out.withColumn("epochs", full)
     rest = F.when(F.col("epochs") < F.col("max_repeats"), F.col("budget") - F.col("epochs") * F.col("available")).otherwise(0.0)
-    return out.withColumn("rest", rest).withColumn("short", F.col("available") * F.col("max_repeats") < F.col("budget"))
+    return out.withColumn("rest", rest)
 
 
 def mix(docs: DataFrame, plan: DataFrame, seed: int = 1, buckets: int = BUCKETS) -> DataFrame:
@@ -86,9 +86,14 @@ def mix(docs: DataFrame, plan: DataFrame, seed: int = 1, buckets: int = BUCKETS)
 
 
 def mix_report(plan: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The plan of every source beside the tokens and share it really has in the mix."""
+    """The plan of every source beside the tokens and share it really has in the mix.
+
+    ``short``: every document of the source is used as often as it may be, and
+    the tokens still miss the budget.
+    """
     used = mixed.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("tokens") * F.col("uses")).alias("used"), F.max("uses").alias("most_uses"))
     out = plan.join(used, F.col("source") == F.col("s"), "left").withColumn("used", F.coalesce("used", F.lit(0)))
     # the listed sources are few: one window over them all
     share = F.try_divide(F.col("used").cast("double"), F.sum("used").over(Window.partitionBy(F.lit(0))))
-    return out.select("source", "target_share", "max_repeats", "available", "n_docs", "budget", "epochs", "used", "most_uses", share.alias("actual_share"), "short")
+    short = (F.col("used") >= F.col("available") * F.col("max_repeats")) & (F.col("used") < F.col("budget"))
+    return out.select("source", "target_share", "max_repeats", "available", "n_docs", "budget", "epochs", "used", "most_uses", share.alias("actual_share"), short.alias("short"))

@@ -235,13 +235,14 @@ def test_mix_against_brute_force(spark):
         if s:
             have[s.strip().lower()] += t
     rows = {x.source: x for x in plan.collect()}
+    rep = {x.source: x for x in mixing.mix_report(plan, mixed).collect()}
     keys = {x.id: x.k for x in slim.withColumn("k", -F.log(mixing._uniform(F.col("id"), 3)) / F.col("weight")).collect()}
     uses = defaultdict(list)
     for x in mixed.collect():
         uses[x.source].append((x.id, x.uses, x.tokens))
     for name, share, most in (("big", 0.2, 1), ("Mid", 0.5, 3), ("small", 0.2, 1), ("tiny", 0.05, 9), ("absent", 0.05, 2)):
         x, size = rows[name], have[name.lower()]
-        assert x.available == size and x.short == (size * most < share * total)
+        assert x.available == size and rep[name].short == (size * most < share * total)
         whole = min(int(share * total // size) if size else 0, most)
         assert x.epochs == whole
         rest = share * total - whole * size if whole < most else 0
@@ -259,7 +260,6 @@ def test_mix_against_brute_force(spark):
             assert u <= most
             more[i] += u - whole
         assert {i: n for i, n in more.items() if n} == got
-    rep = {x.source: x for x in mixing.mix_report(plan, mixed).collect()}
     assert sum(x.actual_share for x in rep.values()) == pytest.approx(1.0)
     assert abs(rep["big"].used - 0.2 * total) < 400
 
