@@ -184,7 +184,7 @@ def report_json_counts(spark: SparkSession, d: str) -> DataFrame:
     s = "struct<`Read number`: bigint, Length: bigint, `Top hits`: array<struct<`tax ID`: string, Name: string, `k-mer Score`: double>>, `Further hits`: array<struct<`tax ID`: string, `k-mer Score`: double>>>"
     j = report_json(spark, d).select(F.from_json("json", s.replace("`Read number`", "`Read number`")).alias("j"))
     total = F.aggregate(F.col("j.`Top hits`"), F.lit(0.0), lambda a, x: a + x["k-mer Score"])
-    return j.select(F.col("j.`Read number`").alias("read_id"), F.col("j.Length").alias("seq_len"), F.size("j.`Top hits`").alias("n_top"), F.size("j.`Further hits`").alias("n_further"), F.round(total, 5).alias("top_score"))
+    return j.select(F.col("j.`Read number`").alias("read_id"), F.col("j.Length").alias("seq_len"), F.size("j.`Top hits`").cast("long").alias("n_top"), F.size("j.`Further hits`").cast("long").alias("n_further"), F.round(total, 5).alias("top_score"))
 
 
 def report_tsv(spark: SparkSession, d: str) -> DataFrame:
