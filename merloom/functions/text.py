@@ -53,3 +53,10 @@ def bits_set(c: Column) -> Column:
 def highest_bit(c: Column) -> Column:
     """Position of the highest set bit of a positive number."""
     return F.floor(F.log2(c))
+
+
+def lookup(table: dict, key: Column, default: Column | None = None, what: str = "key") -> Column:
+    """Value of a key in a small table given as literals; a missing key gives ``default``, or raises where there is none."""
+    pairs = [F.lit(x) for kv in sorted(table.items()) for x in kv]
+    found = F.try_element_at(F.create_map(*pairs), key) if pairs else F.lit(None)
+    return F.coalesce(found, default if default is not None else F.raise_error(F.concat(F.lit(f"unknown {what}: "), key.cast("string"))))

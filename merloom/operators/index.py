@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from merloom.functions.codec import H64, decode_kmer, kmer_prefix_code
 from merloom.functions.scoring import entropy
+from merloom.session import materialise
 
 PAD_CODE = 30
 
@@ -63,14 +64,19 @@ def starts(counts: DataFrame, keys: list[str], letters: int) -> DataFrame:
 
     Sums go two letters at a time: the start of a prefix is that of its parent
     plus the sum over its smaller siblings. No window has more than 1,024
-    rows, however the prefixes are spread.
+    rows, however the prefixes are spread. The counts are written once, since
+    every level reads them.
     """
+    return _starts(materialise(counts), keys, letters)
+
+
+def _starts(counts: DataFrame, keys: list[str], letters: int) -> DataFrame:
     before = lambda w: F.coalesce(F.sum("cnt").over(w.orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     if letters <= 2:
         return counts.withColumn("start", before(Window.partitionBy(*(keys or [F.lit(0)]))))
     x = counts.withColumn("parent", F.shiftright("prefix", 10))
     up = x.groupBy(*keys, F.col("parent").alias("prefix")).agg(F.sum("cnt").alias("cnt"))
-    up = starts(up, keys, letters - 2).select(*keys, F.col("prefix").alias("parent"), F.col("start").alias("base"))
+    up = _starts(up, keys, letters - 2).select(*keys, F.col("prefix").alias("parent"), F.col("start").alias("base"))
     x = x.withColumn("within", before(Window.partitionBy(*keys, "parent"))).join(up, [*keys, "parent"])
     return x.select(*keys, "prefix", "cnt", (F.col("base") + F.col("within")).alias("start"))
 

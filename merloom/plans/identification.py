@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from merloom.functions.codec import clean_dna, decode_kmer, pair_key
 from merloom.operators import identify, index, profile, reads, reports, windows
 from merloom.plans import common_sql as q
-from merloom.session import table
+from merloom.session import materialise, table
 
 MIN_K, MAX_K = 5, 9
 KEYS = ["read_id"]
 
 
 def _idx(spark: SparkSession, d: str) -> DataFrame:
-    return index.build(table(spark, d, "idx_pairs"), pair_key(), F.col("tax"))
+    """The index, built once and stored: identification reads it several times."""
+    return materialise(index.build(table(spark, d, "idx_pairs"), pair_key(), F.col("tax")))
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
@@ -35,17 +36,18 @@ def _windows(spark: SparkSession, d: str, frames: int = 3, kind: str = "dna") ->
     return windows.kmer_windows(_records(spark, d), clean_dna(F.col("seq")), ["read_id", "mate"], frames=frames, min_k=MIN_K)
 
 
-def _matched(spark: SparkSession, d: str, frames: int = 3, unique: bool = False, kind: str = "dna") -> DataFrame:
-    return identify.match(_windows(spark, d, frames, kind), _idx(spark, d), KEYS, MIN_K, MAX_K, unique=unique)
+def _matched(spark: SparkSession, d: str, frames: int = 3, unique: bool = False, kind: str = "dna", idx: DataFrame | None = None) -> DataFrame:
+    return identify.match(_windows(spark, d, frames, kind), _idx(spark, d) if idx is None else idx, KEYS, MIN_K, MAX_K, unique=unique)
 
 
-def _freq12(spark: SparkSession, d: str) -> DataFrame:
-    return _idx(spark, d).groupBy("tax").agg(F.count_if(index.letter(F.col("code"), 12) != index.PAD_CODE).alias("n"))
+def _freq12(idx: DataFrame) -> DataFrame:
+    return idx.groupBy("tax").agg(F.count_if(index.letter(F.col("code"), 12) != index.PAD_CODE).alias("n"))
 
 
 def _rated(spark: SparkSession, d: str) -> DataFrame:
-    scores = identify.read_scores(_matched(spark, d), KEYS)
-    return identify.rate(scores, _reads(spark, d), _freq12(spark, d), KEYS, MIN_K, MAX_K)
+    idx = _idx(spark, d)
+    scores = identify.read_scores(_matched(spark, d, idx=idx), KEYS)
+    return identify.rate(scores, _reads(spark, d), _freq12(idx), KEYS, MIN_K, MAX_K)
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
@@ -109,8 +111,8 @@ def identify_spaced(spark: SparkSession, d: str) -> DataFrame:
     return occ.join(taxa, "code").groupBy("read_id").agg(F.sum("cnt").alias("n_matches"), F.sum("n_taxa").alias("n_taxa"))
 
 
-def _counts(spark: SparkSession, d: str) -> DataFrame:
-    return identify.taxon_counts(_windows(spark, d), _idx(spark, d), MIN_K, MAX_K)
+def _counts(spark: SparkSession, d: str, idx: DataFrame | None = None) -> DataFrame:
+    return identify.taxon_counts(_windows(spark, d), _idx(spark, d) if idx is None else idx, MIN_K, MAX_K)
 
 
 def _total(spark: SparkSession, d: str) -> DataFrame:
@@ -120,7 +122,8 @@ def _total(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _relative(spark: SparkSession, d: str) -> DataFrame:
-    return profile.relative(_counts(spark, d), _total(spark, d), index.frequencies(_idx(spark, d)))
+    idx = _idx(spark, d)
+    return profile.relative(_counts(spark, d, idx), _total(spark, d), index.frequencies(idx))
 
 
 def profile_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -139,3 +139,31 @@ def test_native_translation_equals_the_batch_one(spark):
     for x in df.select("d", windows.translate_native(F.col("d")).alias("n"), windows.in_one_frame(F.col("d")).alias("o")).collect():
         if x.d is not None:
             assert x.n == "".join(naive_letters(x.d, t)) and x.o == "".join(naive_letters(x.d, t)[::3])
+
+
+def test_reconstruction_agrees_where_it_knows():
+    from merloom.operators import reconstruct
+
+    r = random.Random(11)
+    known = total = 0
+    for _ in range(30):
+        dna = "".join(r.choice("ACGT") for _ in range(120))
+        again = reconstruct.bases("".join(naive_letters(dna, codec.codon_table())))
+        assert len(again) == len(dna) and all(a in ("N", b) for a, b in zip(again, dna))
+        known += sum(a != "N" for a in again)
+        total += len(dna)
+    assert known / total > 0.9
+    assert reconstruct.bases("") == ""
+    # with one letter for each codon everything is known
+    own = {c: chr(200 + i) for i, c in enumerate(codec.codon_table())}
+    dna = "ACGTTGCATGCCGTA"
+    assert reconstruct.bases("".join(own[dna[i : i + 3]] for i in range(len(dna) - 2)), own) == dna
+
+
+def test_lookup_guards(spark):
+    import pytest
+
+    df = spark.createDataFrame([(1,), (2,), (None,)], "k int")
+    assert [x[0] for x in df.select(text.lookup({1: 10}, F.col("k"), F.lit(0))).collect()] == [10, 0, 0]
+    with pytest.raises(Exception, match="unknown tax: 2"):
+        df.where("k = 2").select(text.lookup({1: 10}, F.col("k"), what="tax")).collect()
