@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 from merloom import modes
 from merloom.config import Settings
 from merloom.operators import content, index
+from merloom.session import prepare
 from merloom.sources import sinks
 
 
@@ -65,6 +66,7 @@ def settings_of(a: argparse.Namespace) -> Settings:
 
 
 def run(spark: SparkSession, argv: list[str]) -> None:
+    prepare(spark)
     a = parser().parse_args(argv)
     s = settings_of(a)
     m = a.mode

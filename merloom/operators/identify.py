@@ -47,7 +47,8 @@ def match(windows: DataFrame, idx: DataFrame, keys: Sequence[str], min_k: int, m
     """(keys..., k, prefix, cnt, taxa, n_taxa); ``unique`` counts equal windows of a read once."""
     occ = live(windows.select(*keys, "code"), idx, min_k, h).groupBy(*keys, "code").agg(F.count(F.lit(1)).alias("n")).withColumn("cnt", F.lit(1).cast("long") if unique else F.col("n"))
     hits = prefixes(occ, [*keys, "cnt"], min_k, max_k, h).groupBy(*keys, "k", "prefix").agg(F.sum("cnt").alias("cnt"))
-    return hits.join(index_prefixes(idx, min_k, max_k, h), ["k", "prefix"])
+    # sides made by generators are larger than estimated: never broadcast them unmeasured
+    return hits.hint("merge").join(index_prefixes(idx, min_k, max_k, h), ["k", "prefix"])
 
 
 def read_scores(matched: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -70,7 +71,7 @@ def rate(scores: DataFrame, reads: DataFrame, freq: DataFrame, keys: Sequence[st
     ``reads`` has keys and seq_len, ``freq`` (tax, n) the index rows of each taxon at k = h.
     """
     r = reads.select(*keys, "seq_len")
-    x = scores.join(r, list(keys)).join(freq.select("tax", "n"), "tax", "left")
+    x = scores.hint("merge").join(r, list(keys)).join(freq.select("tax", "n"), "tax", "left")
     best = scoring.best_score(F.col("seq_len"), min_k, max_k, frames)
     x = x.withColumn("relative", F.round(scoring.relative_score(F.col("score"), F.coalesce("n", F.lit(1)), F.col("seq_len")), digits))
     x = x.withColumn("error", F.round(scoring.error(F.col("score"), best), digits)).withColumn("score", F.round("score", digits))
@@ -102,9 +103,9 @@ def longest_matches(windows: DataFrame, idx: DataFrame, keys: Sequence[str], min
     """(keys..., strand, pos, len): the longest matching prefix of every window that matches."""
     windows = live(windows, idx, min_k, h)
     codes = windows.select("code").distinct()
-    found = prefixes(codes, ["code"], min_k, max_k, h).join(prefixes(idx, [], min_k, max_k, h).distinct(), ["k", "prefix"], "left_semi")
+    found = prefixes(codes, ["code"], min_k, max_k, h).hint("merge").join(prefixes(idx, [], min_k, max_k, h).distinct(), ["k", "prefix"], "left_semi")
     best = found.groupBy("code").agg(F.max("k").alias("len"))
-    return windows.join(best, "code").select(*keys, "strand", "pos", "len")
+    return windows.hint("merge").join(best, "code").select(*keys, "strand", "pos", "len")
 
 
 def coherence(matches: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -143,7 +144,7 @@ def matched_in_frame(protein: DataFrame, letters: Column, kmers: DataFrame, keys
     """
     pieces = protein.select(*keys, letters.alias("s")).where(F.length("s") >= n)
     pieces = pieces.select(*keys, F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - n + 1), lambda i: F.substring("s", i, F.lit(n)))).alias("piece"))
-    hit = pieces.join(kmers.select(F.substring("kmer", 1, n).alias("piece"), "tax").distinct(), "piece")
+    hit = pieces.hint("merge").join(kmers.select(F.substring("kmer", 1, n).alias("piece"), "tax").distinct(), "piece")
     return hit.groupBy(*keys, "tax").agg((F.count(F.lit(1)) * n).alias("matched"))
 
 

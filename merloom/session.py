@@ -81,3 +81,23 @@ def ship_package(spark: SparkSession) -> None:
         archive = shutil.make_archive(os.path.join(tempfile.gettempdir(), f"merloom-{app}"), "zip", os.path.dirname(staged))
     spark.sparkContext.addPyFile(archive)
     _shipped.add(app)
+
+
+def measured_broadcasts(spark: SparkSession) -> None:
+    """Broadcast sides of joins by their measured size only.
+
+    Estimates do not see how many rows a window or explode generator makes, so
+    a static choice may broadcast a table far larger than estimated. The static
+    threshold is moved to adaptive execution, which knows the size of a side
+    once it is computed. Sides under a broadcast hint are bounded by design.
+    """
+    static = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    if static != "-1":
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", static)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+
+
+def prepare(spark: SparkSession) -> None:
+    """What every query needs of a session."""
+    ship_package(spark)
+    measured_broadcasts(spark)
