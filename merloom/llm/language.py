@@ -55,8 +55,9 @@ def sentences(text: str) -> list[tuple[int, int]]:
         masked = text
     at = 0
     for m in _END.finditer(masked):
-        if masked[m.start()] == "." and m.end() - m.start() == 1:
-            word = _LAST.search(masked, max(at, m.start() - 5), m.start())
+        i = m.start()
+        if masked[i] == "." and m.end() == i + 1 and not (i >= at + 5 and masked[i - 5 : i].isalpha()):
+            word = _LAST.search(masked, max(at, i - 5), i)
             if word and (len(word.group()) == 1 or word.group() in _TITLES):
                 continue  # an initial or a title before a name
         spans.append((at, m.end()))
@@ -66,8 +67,11 @@ def sentences(text: str) -> list[tuple[int, int]]:
     out = []
     for s, e in spans:
         body = masked[s:e]
-        s += len(body) - len(body.lstrip())
-        e = s + len(body.strip())
+        lean = body.strip()
+        if not lean:
+            continue
+        s += body.index(lean[0])
+        e = s + len(lean)
         if e - s > 12 or any(c.isalpha() for c in masked[s:e]):
             out.append((s, e))
     return out
@@ -78,7 +82,9 @@ def _bytes(text: str) -> bytes:
 
 
 def windows(sentence: bytes) -> list[bytes]:
-    return [sentence[i : i + MAX_BYTES] for i in range(0, len(sentence), MAX_BYTES)] or [b" "]
+    if len(sentence) <= MAX_BYTES:
+        return [sentence or b" "]
+    return [sentence[i : i + MAX_BYTES] for i in range(0, len(sentence), MAX_BYTES)]
 
 
 def _damage(t: str, r: np.random.Generator) -> str:
@@ -160,24 +166,19 @@ def _viterbi(score: np.ndarray, switch: float) -> np.ndarray:
     return path
 
 
-def _decide(spans: list[tuple[int, int]], logit: np.ndarray, size: np.ndarray, labels: list[str], switch: float) -> list[dict]:
-    """Segments of one document from the mean logits of its sentences and their bytes."""
+def _scores(logit: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-probabilities of sentences, and what they are worth: a long sentence is more evidence than a short one, each at most 12 nats."""
     shifted = logit - logit.max(1, keepdims=True)
     logp = shifted - np.log(np.exp(shifted).sum(1, keepdims=True))
-    # a long sentence is more evidence than a short one; each is worth at most 12 nats
-    score = np.maximum(logp, -12.0) * np.minimum(1.0, size[:, None] / 24.0)
-    top = score.argmax(1)
-    path = top if (top == top[0]).all() else _viterbi(score, switch)
-    cuts = np.flatnonzero(np.diff(path)) + 1
-    runs = [(int(a), int(b)) for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(path)])]
-    out = []
-    for a, b in runs:
-        w = size[a:b].astype(np.float64)
-        mean = (logp[a:b] * w[:, None]).sum(0) / w.sum()
-        prob = np.exp(mean - mean.max())
-        prob /= prob.sum()
-        out.append({"start": spans[a][0], "end": spans[b - 1][1], "lang": labels[int(path[a])], "confidence": float(prob[path[a]]), "n_sentences": b - a, "n_bytes": int(w.sum())})
-    return out
+    return logp, np.maximum(logp, -12.0) * np.minimum(1.0, size[:, None] / 24.0)
+
+
+def _segment(spans: list[tuple[int, int]], logp: np.ndarray, size: np.ndarray, label: int, labels: list[str]) -> dict:
+    """One run of sentences in a language."""
+    w = size.sum(dtype=np.float64)
+    mean = size.astype(np.float64) @ logp / w
+    prob = np.exp(mean - mean.max())
+    return {"start": spans[0][0], "end": spans[-1][1], "lang": labels[label], "confidence": float(prob[label] / prob.sum()), "n_sentences": len(spans), "n_bytes": int(w)}
 
 
 def held(segments: list[dict], n_bytes: dict[str, int]) -> list[str]:
@@ -217,13 +218,22 @@ def label_texts(net: ByteGRU, texts: list[str | None], switch: float = SWITCH) -
     at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
     size = np.add.reduceat(lens, at)
     logit = np.add.reduceat(raw, at, axis=0) / size[:, None]
+    logp, score = _scores(logit, size)
+    top = score.argmax(1)
+    # where no two neighbours differ there is one segment, and nothing to search
+    turns = np.concatenate([[0], np.cumsum(top[1:] != top[:-1])])
     out: list = []
     for i in range(len(texts)):
         a, b = first[i], first[i + 1]
         if a == b:
             out.append(None)
             continue
-        seg = _decide(spans_of[a:b], logit[a:b], size[a:b], net.labels, switch)
+        if turns[a] == turns[b - 1]:
+            seg = [_segment(spans_of[a:b], logp[a:b], size[a:b], int(top[a]), net.labels)]
+        else:
+            path = _viterbi(score[a:b], switch)
+            cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), b - a]
+            seg = [_segment(spans_of[a + x : a + y], logp[a + x : a + y], size[a + x : a + y], int(path[x]), net.labels) for x, y in zip(cuts, cuts[1:])]
         weight: dict[str, int] = {}
         for s in seg:
             weight[s["lang"]] = weight.get(s["lang"], 0) + s["n_bytes"]
