@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from merloom.llm.gru import BLOCK, ByteGRU, pairs_of, to_blocks
+from merloom.session import small
 
 MIN_RUN = 3
 PER_LANGUAGE = 300
@@ -280,6 +281,6 @@ def fit(samples: DataFrame, docs: DataFrame | None = None, labels: DataFrame | N
         known = labels.where("code is not null").groupBy("label").agg(F.min("code").alias("code"))
         short = docs.where(F.length("text").between(20, 400)).select("lang", "text", F.xxhash64("doc_id").alias("h"))
         rank = F.row_number().over(Window.partitionBy("code").orderBy("h", "text"))
-        some = short.join(known, F.col("lang") == F.col("label")).withColumn("rank", rank).where(F.col("rank") <= per_language)
+        some = short.join(small(known), F.col("lang") == F.col("label")).withColumn("rank", rank).where(F.col("rank") <= per_language)
         extra = [(r["code"], r["text"]) for r in sorted(some.select("code", "rank", "text").collect())]
     return train(rows, extra, hidden, epochs)

@@ -24,11 +24,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from merloom.session import materialise
+from merloom.session import materialise, small
 
 BUCKETS = 4096
-#: more listed sources than this are joined by shuffle
-BROADCAST_SOURCES = 100_000
 
 
 def source_name(c: Column) -> Column:
@@ -70,9 +68,7 @@ def budgets(docs: DataFrame, targets: DataFrame, total: int | None = None) -> Da
 
 def mix(docs: DataFrame, plan: DataFrame, seed: int = 1, buckets: int = BUCKETS) -> DataFrame:
     """(source, id, tokens, uses) of every document used at least once. ``docs`` from slim(), ``plan`` from budgets()."""
-    few = plan.select("source", "key", "epochs", "rest")
-    few = F.broadcast(few) if plan.select("key").limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else few
-    rows = docs.join(few, F.col("src") == F.col("key"))
+    rows = docs.join(small(plan.select("source", "key", "epochs", "rest")), F.col("src") == F.col("key"))
     k = -F.log(_uniform(F.col("id"), seed)) / F.col("weight")
     rows = rows.withColumn("k", k).withColumn("bucket", F.floor((1.0 - F.exp(-F.col("k"))) * buckets).cast("int"))
     sums = rows.groupBy("key", "bucket").agg(F.sum("tokens").alias("w"))

@@ -9,7 +9,7 @@ from merloom.functions.codec import decode_kmer, encode_kmer, pair_key
 from merloom.llm import heavy, language, membership, mixing, packing, seen, splitting
 from merloom.llm.sql import SQL
 from merloom.llm.tokens import token_count
-from merloom.session import table
+from merloom.session import small, table
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -127,7 +127,7 @@ def _net(spark: SparkSession, d: str):
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     said = language.languages(table(spark, d, "documents"), F.col("doc_id"), F.col("text"), _net(spark, d), F.col("lang"), segments=False)
     known = table(spark, d, "lang_labels").where("code is not null").groupBy(F.col("label").alias("name")).agg(F.min("code").alias("code"))
-    named = said.join(known, F.col("label") == F.col("name"), "left")
+    named = said.join(small(known), F.col("label") == F.col("name"), "left")
     wrong = F.col("code").isNull() | (F.size("langs") > 1) | ~F.array_contains("langs", F.col("code"))
     return named.where(wrong).select(F.col("id").alias("doc_id"), F.explode("langs").alias("lang"))
 
