@@ -25,9 +25,10 @@ from merloom.functions.codec import H64, kmer_prefix_code
 from merloom.operators.index import PAD_CODE, letter
 
 
-def prefixes(df: DataFrame, keep: Sequence[str], min_k: int, max_k: int, h: int = H64) -> DataFrame:
-    """(keep..., k, prefix): the prefixes of each code whose last letter is no padding."""
-    each = F.array(*[F.when(letter(F.col("code"), k, h) != PAD_CODE, F.struct(F.lit(k).alias("k"), kmer_prefix_code(F.col("code"), k, h).alias("prefix"))) for k in range(min_k, max_k + 1)])
+def prefixes(df: DataFrame, keep: Sequence[str], min_k: int, max_k: int, h: int = H64, deeper: Column | None = None) -> DataFrame:
+    """(keep..., k, prefix): the prefixes of each code whose last letter is no padding; those beyond min_k only where ``deeper`` holds."""
+    ok = lambda k: (letter(F.col("code"), k, h) != PAD_CODE) if deeper is None or k == min_k else deeper & (letter(F.col("code"), k, h) != PAD_CODE)
+    each = F.array(*[F.when(ok(k), F.struct(F.lit(k).alias("k"), kmer_prefix_code(F.col("code"), k, h).alias("prefix"))) for k in range(min_k, max_k + 1)])
     return df.select(*keep, F.explode(each).alias("e")).where("e is not null").select(*keep, "e.k", "e.prefix")
 
 
@@ -46,7 +47,11 @@ def live(windows: DataFrame, idx: DataFrame, min_k: int, h: int = H64) -> DataFr
 def match(windows: DataFrame, idx: DataFrame, keys: Sequence[str], min_k: int, max_k: int, h: int = H64, unique: bool = False) -> DataFrame:
     """(keys..., k, prefix, cnt, taxa, n_taxa); ``unique`` counts equal windows of a read once."""
     occ = live(windows.select(*keys, "code"), idx, min_k, h).groupBy(*keys, "code").agg(F.count(F.lit(1)).alias("n")).withColumn("cnt", F.lit(1).cast("long") if unique else F.col("n"))
-    hits = prefixes(occ, [*keys, "cnt"], min_k, max_k, h).groupBy(*keys, "k", "prefix").agg(F.sum("cnt").alias("cnt"))
+    deeper = None
+    if max_k > min_k:  # most windows match at min_k only: one look at the next letter spares the rest
+        more = idx.select(kmer_prefix_code(F.col("code"), min_k + 1, h).alias("p1")).distinct().withColumn("deep", F.lit(True))
+        occ, deeper = occ.withColumn("p1", kmer_prefix_code(F.col("code"), min_k + 1, h)).join(more, "p1", "left"), F.coalesce("deep", F.lit(False))
+    hits = prefixes(occ, [*keys, "cnt"], min_k, max_k, h, deeper).groupBy(*keys, "k", "prefix").agg(F.sum("cnt").alias("cnt"))
     # sides made by generators are larger than estimated: never broadcast them unmeasured
     return hits.hint("merge").join(index_prefixes(idx, min_k, max_k, h), ["k", "prefix"])
 
