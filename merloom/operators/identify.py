@@ -141,16 +141,27 @@ def split_reads(reads: DataFrame, bad: DataFrame, keys: Sequence[str]) -> tuple[
     return reads.join(bad, list(keys), "left_anti"), reads.join(bad, list(keys), "left_semi")
 
 
-def matched_in_frame(protein: DataFrame, letters: Column, kmers: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+def matched_in_frame(protein: DataFrame, letters: Column, kmers: DataFrame, keys: Sequence[str], n: int, max_n: int | None = None) -> DataFrame:
     """(keys..., tax, matched): letters of the translated reads that lie in k-mers of each taxon.
 
-    Every n-letter piece of the frame is joined by equality; no pair of read
-    and k-mer is formed that does not match.
+    At each place the longest of the pieces of ``n`` to ``max_n`` letters that a
+    taxon has counts. Every piece of the frame is joined by equality; no pair of
+    read and k-mer is formed that does not match. Longer pieces are made only
+    where the n-letter piece matches.
     """
-    pieces = protein.select(*keys, letters.alias("s")).where(F.length("s") >= n)
-    pieces = pieces.select(*keys, F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - n + 1), lambda i: F.substring("s", i, F.lit(n)))).alias("piece"))
-    hit = pieces.hint("merge").join(kmers.select(F.substring("kmer", 1, n).alias("piece"), "tax").distinct(), "piece")
-    return hit.groupBy(*keys, "tax").agg((F.count(F.lit(1)) * n).alias("matched"))
+    max_n = max_n or n
+    at = protein.select(*keys, letters.alias("s")).where(F.length("s") >= n)
+    at = at.select(*keys, F.explode(F.transform(F.sequence(F.lit(1), F.length("s") - n + 1), lambda i: F.struct(i.alias("i"), F.substring("s", i, F.lit(max_n)).alias("t")))).alias("e")).select(*keys, "e.*")
+    at = at.withColumn("piece", F.substring("t", 1, n))
+    stored = kmers.select(F.substring("kmer", 1, max_n).alias("stored"), "tax").distinct()
+    if max_n == n:
+        hit = at.hint("merge").join(stored.withColumnRenamed("stored", "piece"), "piece")
+        return hit.groupBy(*keys, "tax").agg((F.count(F.lit(1)) * n).alias("matched"))
+    at = at.join(stored.select(F.substring("stored", 1, n).alias("piece")).distinct(), "piece", "left_semi")
+    every = lambda c: F.explode(F.transform(F.sequence(F.lit(n), F.length(c)), lambda k: F.substring(c, F.lit(1), k))).alias("piece")
+    hit = at.select(*keys, "i", every("t")).hint("merge").join(stored.select(every("stored"), "tax").distinct(), "piece")
+    longest = hit.groupBy(*keys, "i", "tax").agg(F.max(F.length("piece")).alias("len"))
+    return longest.groupBy(*keys, "tax").agg(F.sum("len").cast("long").alias("matched"))
 
 
 def spaced(code: Column, mask: str, h: int = H64) -> Column:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merloom.functions.codec import clean_dna, decode_kmer, pair_key
+from merloom.functions.codec import H64, clean_dna, decode_kmer, pair_key
 from merloom.operators import identify, index, profile, reads, reports, windows
 from merloom.plans import common_sql as q
 from merloom.session import materialise, table
 
 MIN_K, MAX_K = 5, 9
+#: Letters of the index: the queries NAME_k12 match as far as that.
+WHOLE_K = H64
 KEYS = ["read_id"]
 
 
@@ -36,70 +41,70 @@ def _windows(spark: SparkSession, d: str, frames: int = 3, kind: str = "dna") ->
     return windows.kmer_windows(_records(spark, d), clean_dna(F.col("seq")), ["read_id", "mate"], frames=frames, min_k=MIN_K)
 
 
-def _matched(spark: SparkSession, d: str, frames: int = 3, unique: bool = False, kind: str = "dna", idx: DataFrame | None = None) -> DataFrame:
-    return identify.match(_windows(spark, d, frames, kind), _idx(spark, d) if idx is None else idx, KEYS, MIN_K, MAX_K, unique=unique)
+def _matched(spark: SparkSession, d: str, frames: int = 3, unique: bool = False, kind: str = "dna", idx: DataFrame | None = None, max_k: int = MAX_K) -> DataFrame:
+    return identify.match(_windows(spark, d, frames, kind), _idx(spark, d) if idx is None else idx, KEYS, MIN_K, max_k, unique=unique)
 
 
 def _freq12(idx: DataFrame) -> DataFrame:
     return idx.groupBy("tax").agg(F.count_if(index.letter(F.col("code"), 12) != index.PAD_CODE).alias("n"))
 
 
-def _rated(spark: SparkSession, d: str) -> DataFrame:
+def _rated(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
     idx = _idx(spark, d)
-    scores = identify.read_scores(_matched(spark, d, idx=idx), KEYS)
-    return identify.rate(scores, _reads(spark, d), _freq12(idx), KEYS, MIN_K, MAX_K)
+    scores = identify.read_scores(_matched(spark, d, idx=idx, max_k=max_k), KEYS)
+    return identify.rate(scores, _reads(spark, d), _freq12(idx), KEYS, MIN_K, max_k)
 
 
-def _hits(spark: SparkSession, d: str) -> DataFrame:
-    return identify.rank_hits(_rated(spark, d), KEYS)
+def _hits(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
+    return identify.rank_hits(_rated(spark, d, max_k), KEYS)
 
 
 def _names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "tax_names").where("name_class = 'scientific name'")
 
 
-def identify_match(spark: SparkSession, d: str) -> DataFrame:
+def identify_match(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
     """Matched prefixes of every read for each k."""
-    return _matched(spark, d).select("read_id", "k", F.col("prefix"), "cnt", "n_taxa")
+    return _matched(spark, d, max_k=max_k).select("read_id", "k", F.col("prefix"), "cnt", "n_taxa")
 
 
-def identify_scores(spark: SparkSession, d: str) -> DataFrame:
+def identify_scores(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
     """Score of every read and taxon."""
-    s = identify.read_scores(_matched(spark, d), KEYS)
+    s = identify.read_scores(_matched(spark, d, max_k=max_k), KEYS)
     return s.select("read_id", "tax", F.round("score", 6).alias("score"), "hits")
 
 
-def identify_scores_six_frames(spark: SparkSession, d: str) -> DataFrame:
+def identify_scores_six_frames(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
     """G4 with A4: reads and their reverse complements."""
-    s = identify.read_scores(_matched(spark, d, frames=6), KEYS)
+    s = identify.read_scores(_matched(spark, d, frames=6, max_k=max_k), KEYS)
     return s.select("read_id", "tax", F.round("score", 6).alias("score"), "hits")
 
 
-def identify_scores_protein(spark: SparkSession, d: str) -> DataFrame:
+def identify_scores_protein(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
     """G3 with A4: protein reads."""
-    s = identify.read_scores(_matched(spark, d, kind="protein"), KEYS)
+    s = identify.read_scores(_matched(spark, d, kind="protein", max_k=max_k), KEYS)
     return s.select("read_id", "tax", F.round("score", 6).alias("score"), "hits")
 
 
-def identify_scores_unique(spark: SparkSession, d: str) -> DataFrame:
+def identify_scores_unique(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
     """F8: repeated k-mers of a read count once."""
-    s = identify.read_scores(_matched(spark, d, unique=True), KEYS)
+    s = identify.read_scores(_matched(spark, d, unique=True, max_k=max_k), KEYS)
     return s.select("read_id", "tax", F.round("score", 6).alias("score"), "hits")
 
 
-def identify_rated(spark: SparkSession, d: str) -> DataFrame:
+def identify_rated(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
     """Relative scores and errors."""
-    return _rated(spark, d)
+    return _rated(spark, d, max_k)
 
 
-def identify_best_score(spark: SparkSession, d: str) -> DataFrame:
+def identify_best_score(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
     """Greatest score of each read."""
-    return _rated(spark, d).groupBy("read_id").agg(F.max("score").alias("best"), F.max("relative").alias("best_relative"), F.min("error").alias("least_error"))
+    return _rated(spark, d, max_k).groupBy("read_id").agg(F.max("score").alias("best"), F.max("relative").alias("best_relative"), F.min("error").alias("least_error"))
 
 
-def identify_hits(spark: SparkSession, d: str) -> DataFrame:
+def identify_hits(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
     """Top and further hits of each read."""
-    return _hits(spark, d)
+    return _hits(spark, d, max_k)
 
 
 def identify_spaced(spark: SparkSession, d: str) -> DataFrame:
@@ -111,148 +116,155 @@ def identify_spaced(spark: SparkSession, d: str) -> DataFrame:
     return occ.join(taxa, "code").groupBy("read_id").agg(F.sum("cnt").alias("n_matches"), F.sum("n_taxa").alias("n_taxa"))
 
 
-def _counts(spark: SparkSession, d: str, idx: DataFrame | None = None) -> DataFrame:
-    return identify.taxon_counts(_windows(spark, d), _idx(spark, d) if idx is None else idx, MIN_K, MAX_K)
+def _counts(spark: SparkSession, d: str, idx: DataFrame | None = None, max_k: int = MAX_K) -> DataFrame:
+    return identify.taxon_counts(_windows(spark, d), _idx(spark, d) if idx is None else idx, MIN_K, max_k)
 
 
-def _total(spark: SparkSession, d: str) -> DataFrame:
+def _total(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
     n = _windows(spark, d).agg(F.count(F.lit(1)).alias("n"))
     r = _reads(spark, d).agg(F.count(F.lit(1)).alias("n"))
-    return profile.input_size(n, r, MIN_K, MAX_K)
+    return profile.input_size(n, r, MIN_K, max_k)
 
 
-def _relative(spark: SparkSession, d: str) -> DataFrame:
+def _relative(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
     idx = _idx(spark, d)
-    return profile.relative(_counts(spark, d, idx), _total(spark, d), index.frequencies(idx))
+    return profile.relative(_counts(spark, d, idx, max_k), _total(spark, d, max_k), index.frequencies(idx))
 
 
-def profile_counts(spark: SparkSession, d: str) -> DataFrame:
+def profile_counts(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
     """A1, A2, A3: counts, unique counts and matched prefixes of every taxon and k."""
-    return _counts(spark, d).withColumn("count_all", F.round("count_all", 6))
+    return _counts(spark, d, max_k=max_k).withColumn("count_all", F.round("count_all", 6))
 
 
-def profile_relative(spark: SparkSession, d: str) -> DataFrame:
+def profile_relative(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
     """Shares among identified and all windows, and coverage."""
     c = ("count_all", "unique_rel", "all_rel", "overall_rel", "overall_unique_rel", "coverage")
-    return _relative(spark, d).select("tax", "k", "count_unique", "count_total", *[F.round(x, 8).alias(x) for x in c])
+    return _relative(spark, d, max_k).select("tax", "k", "count_unique", "count_total", *[F.round(x, 8).alias(x) for x in c])
 
 
-def profile_not_identified(spark: SparkSession, d: str) -> DataFrame:
+def profile_not_identified(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
     """A15."""
-    return profile.not_identified(_relative(spark, d), _total(spark, d)).withColumn("overall_rel", F.round("overall_rel", 8))
+    return profile.not_identified(_relative(spark, d, max_k), _total(spark, d, max_k)).withColumn("overall_rel", F.round("overall_rel", 8))
 
 
-def profile_wide(spark: SparkSession, d: str) -> DataFrame:
+def profile_wide(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
     """One row for each taxon, ranked by unique counts from the largest k on."""
-    w = profile.ranked(profile.wide(_relative(spark, d), MIN_K, MAX_K), MIN_K, MAX_K)
-    return w.select("tax", "rank", *[f"count_unique_{k}" for k in range(MAX_K, MIN_K - 1, -1)], *[f"count_all_{k}" for k in range(MAX_K, MIN_K - 1, -1)])
+    w = profile.ranked(profile.wide(_relative(spark, d, max_k), MIN_K, max_k), MIN_K, max_k)
+    return w.select("tax", "rank", *[f"count_unique_{k}" for k in range(max_k, MIN_K - 1, -1)], *[f"count_all_{k}" for k in range(max_k, MIN_K - 1, -1)])
 
 
-def _coherent(spark: SparkSession, d: str) -> DataFrame:
-    m = identify.longest_matches(_windows(spark, d, 6), _idx(spark, d), ["read_id", "mate"], MIN_K, MAX_K)
+def _coherent(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
+    m = identify.longest_matches(_windows(spark, d, 6), _idx(spark, d), ["read_id", "mate"], MIN_K, max_k)
     return identify.coherence(m, ["read_id", "mate"])
 
 
-def coherence(spark: SparkSession, d: str) -> DataFrame:
+def coherence(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
     """Best cluster of overlapping matches of each read."""
-    return _coherent(spark, d).withColumn("coherence", F.round("coherence", 6))
+    return _coherent(spark, d, max_k).withColumn("coherence", F.round("coherence", 6))
 
 
-def filter_contaminated(spark: SparkSession, d: str) -> DataFrame:
+def filter_contaminated(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
     """Reads that match a taxon well (error under 0.9995)."""
-    r, bad = _reads(spark, d), identify.contaminated(_rated(spark, d), KEYS, 0.9995)
+    r, bad = _reads(spark, d), identify.contaminated(_rated(spark, d, max_k), KEYS, 0.9995)
     return identify.split_reads(r, bad, KEYS)[1]
 
 
-def filter_clean(spark: SparkSession, d: str) -> DataFrame:
+def filter_clean(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
     """All other reads."""
-    r, bad = _reads(spark, d), identify.contaminated(_rated(spark, d), KEYS, 0.9995)
+    r, bad = _reads(spark, d), identify.contaminated(_rated(spark, d, max_k), KEYS, 0.9995)
     return identify.split_reads(r, bad, KEYS)[0]
 
 
 def visualise_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Letters of the first frame that lie in seven-letter pieces of stored k-mers."""
+    """Letters of the first frame that lie in five-letter pieces of stored k-mers."""
     p = _records(spark, d).select("read_id", "mate", windows.in_one_frame(clean_dna(F.col("seq"))).alias("protein"))
     km = _idx(spark, d).select(decode_kmer(F.col("code")).alias("kmer"), "tax")
-    return identify.matched_in_frame(p, F.col("protein"), km, ["read_id", "mate"], 5)
+    return identify.matched_in_frame(p, F.col("protein"), km, ["read_id", "mate"], MIN_K)
+
 
+def visualise_matches_k12(spark: SparkSession, d: str) -> DataFrame:
+    """At each place of the first frame, the letters of the longest match with each taxon."""
+    p = _records(spark, d).select("read_id", "mate", windows.in_one_frame(clean_dna(F.col("seq"))).alias("protein"))
+    km = _idx(spark, d).select(decode_kmer(F.col("code")).alias("kmer"), "tax")
+    return identify.matched_in_frame(p, F.col("protein"), km, ["read_id", "mate"], MIN_K, WHOLE_K)
 
-def report_json(spark: SparkSession, d: str) -> DataFrame:
+
+def report_json(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
     """The JSON object of every read."""
-    return reports.read_json(_reads(spark, d), _hits(spark, d), _names(spark, d))
+    return reports.read_json(_reads(spark, d), _hits(spark, d, max_k), _names(spark, d))
 
 
-def report_json_counts(spark: SparkSession, d: str) -> DataFrame:
+def report_json_counts(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
     """K1, K2 read back: hits in each list."""
     s = "struct<`Read number`: bigint, Length: bigint, `Top hits`: array<struct<`tax ID`: string, Name: string, `k-mer Score`: double>>, `Further hits`: array<struct<`tax ID`: string, `k-mer Score`: double>>>"
-    j = report_json(spark, d).select(F.from_json("json", s.replace("`Read number`", "`Read number`")).alias("j"))
+    j = report_json(spark, d, max_k).select(F.from_json("json", s.replace("`Read number`", "`Read number`")).alias("j"))
     total = F.aggregate(F.col("j.`Top hits`"), F.lit(0.0), lambda a, x: a + x["k-mer Score"])
     return j.select(F.col("j.`Read number`").alias("read_id"), F.col("j.Length").alias("seq_len"), F.size("j.`Top hits`").cast("long").alias("n_top"), F.size("j.`Further hits`").cast("long").alias("n_further"), F.round(total, 5).alias("top_score"))
 
 
-def report_tsv(spark: SparkSession, d: str) -> DataFrame:
+def report_tsv(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
     """K3."""
-    return reports.read_tsv(_reads(spark, d), _hits(spark, d), _names(spark, d))
+    return reports.read_tsv(_reads(spark, d), _hits(spark, d, max_k), _names(spark, d))
 
 
-def report_short(spark: SparkSession, d: str) -> DataFrame:
+def report_short(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
     """K4."""
-    return reports.read_short(_reads(spark, d), _hits(spark, d))
+    return reports.read_short(_reads(spark, d), _hits(spark, d, max_k))
 
 
 def _n_reads(spark: SparkSession, d: str) -> DataFrame:
     return _reads(spark, d).agg(F.count(F.lit(1)).alias("n"))
 
 
-def read_frequencies(spark: SparkSession, d: str) -> DataFrame:
+def read_frequencies(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
     """Reads shared among the taxa that tie at the best relative score."""
-    f = reports.read_frequencies(_hits(spark, d), KEYS, _n_reads(spark, d))
+    f = reports.read_frequencies(_hits(spark, d, max_k), KEYS, _n_reads(spark, d))
     return f.select("tax", F.round("weight", 6).alias("weight"), F.round("share", 8).alias("share"))
 
 
-def read_frequencies_top_only(spark: SparkSession, d: str) -> DataFrame:
+def read_frequencies_top_only(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
     """Shared among all top hits."""
-    f = reports.read_frequencies(_hits(spark, d), KEYS, _n_reads(spark, d), top_only=True, ties_only=False)
+    f = reports.read_frequencies(_hits(spark, d, max_k), KEYS, _n_reads(spark, d), top_only=True, ties_only=False)
     return f.select("tax", F.round("weight", 6).alias("weight"), F.round("share", 8).alias("share"))
 
 
-def binning_first_hit(spark: SparkSession, d: str) -> DataFrame:
+def binning_first_hit(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
     """A23."""
-    return reports.binning(_hits(spark, d), KEYS)
+    return reports.binning(_hits(spark, d, max_k), KEYS)
 
 
-def reads_for_taxon(spark: SparkSession, d: str) -> DataFrame:
+def reads_for_taxon(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
     """Reads with a top hit among the taxa known to the taxonomy."""
-    return reports.reads_of_taxon(_reads(spark, d), _hits(spark, d), KEYS, table(spark, d, "tax_nodes").select("tax").distinct())
+    return reports.reads_of_taxon(_reads(spark, d), _hits(spark, d, max_k), KEYS, table(spark, d, "tax_nodes").select("tax").distinct())
 
 
-def reads_not_identified(spark: SparkSession, d: str) -> DataFrame:
+def reads_not_identified(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
     """J14."""
-    return reports.not_identified(_reads(spark, d), _hits(spark, d), KEYS)
+    return reports.not_identified(_reads(spark, d), _hits(spark, d, max_k), KEYS)
 
 
 def _node_table(spark: SparkSession, d: str) -> DataFrame:
     return reports.clean_nodes(table(spark, d, "tax_nodes"))
 
 
-def _quantities(spark: SparkSession, d: str) -> DataFrame:
-    return reports.read_frequencies(_hits(spark, d), KEYS, _n_reads(spark, d)).select("tax", (F.col("share") * 100).alias("quantity"))
+def _quantities(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
+    return reports.read_frequencies(_hits(spark, d, max_k), KEYS, _n_reads(spark, d)).select("tax", (F.col("share") * 100).alias("quantity"))
 
 
-def taxonomy_roll_up(spark: SparkSession, d: str) -> DataFrame:
+def taxonomy_roll_up(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
     """Read frequencies summed at the genus."""
-    return reports.roll_up_to_rank(_quantities(spark, d), _node_table(spark, d), "genus").withColumn("quantity", F.round("quantity", 6))
+    return reports.roll_up_to_rank(_quantities(spark, d, max_k), _node_table(spark, d), "genus").withColumn("quantity", F.round("quantity", 6))
 
 
-def taxonomy_profile(spark: SparkSession, d: str) -> DataFrame:
+def taxonomy_profile(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
     """Percentages of every ancestor, with paths of ids and names, numbered by rank."""
-    p = reports.taxon_profile(_quantities(spark, d), _node_table(spark, d), _names(spark, d))
+    p = reports.taxon_profile(_quantities(spark, d, max_k), _node_table(spark, d), _names(spark, d))
     return p.withColumn("percentage", F.round("percentage", 6))
 
 
-def taxonomy_pie(spark: SparkSession, d: str) -> DataFrame:
+def taxonomy_pie(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
     """The lowest rank keeps its value; the rest to 100."""
-    p = reports.taxon_profile(_quantities(spark, d), _node_table(spark, d), _names(spark, d))
+    p = reports.taxon_profile(_quantities(spark, d, max_k), _node_table(spark, d), _names(spark, d))
     return reports.pie_rows(p).withColumn("value", F.round("value", 6))
 
 
@@ -266,6 +278,22 @@ QUERIES = {
     )
 }
 
+
+def _whole(f: Callable) -> Callable:
+    """The query over all match lengths of the index."""
+
+    @wraps(f)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return f(spark, d, WHOLE_K)
+
+    return run
+
+
+#: identify_spaced has no range of lengths, visualise_matches a form of its own.
+RANGED = sorted(set(QUERIES) - {"identify_spaced", "visualise_matches"})
+QUERIES |= {f"{name}_k12": _whole(QUERIES[name]) for name in RANGED}
+QUERIES["visualise_matches_k12"] = visualise_matches_k12
+
 _SRC = f"select read_id, mate, {q.clean('seq')} as s, repeat('X', greatest(21, 36 - length(seq))) as pad from rd where kind = 'dna' and length(seq) > 0"
 _PSRC = "select read_id, mate, translate(upper(seq), '*', '[') as s, repeat('^', greatest(7, 12 - length(seq))) as pad from rd where kind = 'protein' and length(seq) > 0"
 _N3 = "case when len(ls) + 2 > 37 then len(ls) + 2 - 35 else 0 end"
@@ -274,14 +302,18 @@ _WIN = q.windows_cte(_SRC, [(0, "s")], _N3, 3, 1)
 _WIN6 = q.windows_cte(_SRC, [(0, "s"), (1, q.revcomp("s"))], _N3, 3, 1)
 _WINP = q.windows_cte(_PSRC, [(0, "s")], _NP, 1, 1, "cs")
 _CODE = " + ".join(f"((ascii(substr(kmer, {i + 1}, 1)) & 31)::bigint << {5 * (11 - i)})" for i in range(12))
-_BASE = f"""
-    ks as (select unnest(range({MIN_K}, {MAX_K + 1}))::int as k), {q.IDX}, idxc as (select {_CODE} as code, tax from idx),
+def _base(max_k: int) -> str:
+    return f"""
+    ks as (select unnest(range({MIN_K}, {max_k + 1}))::int as k), {q.IDX}, idxc as (select {_CODE} as code, tax from idx),
     ip as (select distinct k, code >> (5 * (12 - k)) as prefix, tax from idxc, ks where ((code >> (5 * (12 - k))) & 31) <> 30),
     pt as (select k, prefix, count(*) as n_taxa from ip group by all)"""
 
 
-def _match(win: str = _WIN, cnt: str = "count(*)") -> str:
-    return f"""{q.READS}, {win}, {_BASE},
+_BASE = _base(MAX_K)
+
+
+def _match(win: str = _WIN, cnt: str = "count(*)", max_k: int = MAX_K) -> str:
+    return f"""{q.READS}, {win}, {_base(max_k)},
     oc as (select read_id, code, {cnt} as cnt from win group by read_id, code),
     rp as (select read_id, k, code >> (5 * (12 - k)) as prefix, sum(cnt)::bigint as cnt from oc, ks where ((code >> (5 * (12 - k))) & 31) <> 30 group by all),
     m as (select rp.*, pt.n_taxa from rp join pt using (k, prefix)),
@@ -290,19 +322,28 @@ def _match(win: str = _WIN, cnt: str = "count(*)") -> str:
 
 _RDS = """rds as (select read_id, string_agg(name, ' ' order by mate nulls first) filter (name is not null) as nm, sum(length(seq))::bigint as seq_len from rd where kind = 'dna' group by read_id),
     reads as (select read_id, coalesce(nm, '') as name, seq_len from rds)"""
-_BEST = " + ".join(f"greatest(seq_len - {3 * k - 1}, 1) * {k * k} / 625.0" for k in range(MIN_K, MAX_K + 1))
-_RATED = f"""{_match()}, {_RDS},
+
+
+def _rated_sql(max_k: int) -> str:
+    best = " + ".join(f"greatest(seq_len - {3 * k - 1}, 1) * {k * k} / 625.0" for k in range(MIN_K, max_k + 1))
+    return f"""{_match(max_k=max_k)}, {_RDS},
     fq as (select tax, count(*) filter (((code) & 31) <> 30) as n from idxc group by tax),
     rt as (select read_id, seq_len, tax, round(score, 6) as score, round(score / (1 + log2(greatest(coalesce(n, 1), 1)::double * greatest(seq_len - 35, 1))), 6) as relative,
-                  round((({_BEST}) - score) / ({_BEST}), 6) as error from sc join reads using (read_id) left join fq using (tax))"""
-_HITS = f"""{_RATED},
+                  round((({best}) - score) / ({best}), 6) as error from sc join reads using (read_id) left join fq using (tax))"""
+
+
+def _hits_sql(max_k: int) -> str:
+    return f"""{_rated_sql(max_k)},
     h1 as (select *, row_number() over w as rank, first(relative) over w as most from rt window w as (partition by read_id order by relative desc, tax)),
     h2 as (select *, case when rank = 1 or (relative / most > 0.8 and rank <= 3) then 1 else 0 end as good from h1),
     h3 as (select *, min(good) over (partition by read_id order by rank) as top from h2),
     h4 as (select *, sum(top) over (partition by read_id) as n_top, case when top = 0 and (lag(top) over w = 1 or score <> lag(score) over w) then 1 else 0 end as change from h3 window w as (partition by read_id order by rank)),
     h5 as (select *, coalesce(sum(change) over (partition by read_id order by rank rows between unbounded preceding and 1 preceding), 0) as before from h4),
     hits as (select read_id, seq_len, rank, case when top = 1 then 'top' else 'further' end as hit, tax, score, relative, error from h5 where top = 1 or n_top + before < 3)"""
-_COUNTS = f"""{q.READS}, {_WIN}, {_BASE}, {_RDS},
+
+
+def _counts_sql(max_k: int) -> str:
+    return f"""{q.READS}, {_WIN}, {_base(max_k)}, {_RDS},
     oc as (select code, count(*) as cnt from win group by code),
     rp as (select k, code >> (5 * (12 - k)) as prefix, sum(cnt)::bigint as cnt from oc, ks where ((code >> (5 * (12 - k))) & 31) <> 30 group by all),
     ct as (select tax, k, sum(cnt / n_taxa) as count_all, sum(case when n_taxa = 1 then cnt else 0 end)::bigint as count_unique, count(*) as count_total from rp join pt using (k, prefix) join ip using (k, prefix) group by tax, k),
@@ -310,6 +351,9 @@ _COUNTS = f"""{q.READS}, {_WIN}, {_BASE}, {_RDS},
     fr as (select tax, k, count(*) filter (((code >> (5 * (12 - k))) & 31) <> 30) as n from idxc, ks group by tax, k),
     rl as (select tax, k, count_all, count_unique, count_total, coalesce(count_unique / nullif(sum(count_unique) over (partition by k), 0)::double, 0) as unique_rel, count_all / sum(count_all) over (partition by k) as all_rel,
                   count_all / total as overall_rel, count_unique / total::double as overall_unique_rel, count_total / nullif(n, 0)::double as coverage from ct join tt using (k) left join fr using (tax, k))"""
+
+
+_RATED, _COUNTS = _rated_sql(MAX_K), _counts_sql(MAX_K)
 _SCORES = "select read_id, tax, round(score, 6) as score, hits from sc"
 _LAB = "lab as (select tax, min(name) as taxon from tax_names where name_class = 'scientific name' group by tax)"
 _NODES = "nodes as (select tax, min(parent) as parent, min(rank_name) as rank_name from tax_nodes where tax is not null and parent is not null group by tax)"
@@ -317,7 +361,10 @@ _FREQ = """b as (select *, max(relative) over (partition by read_id) as mx from
     rf as (select tax, sum(w)::double as weight, sum(w)::double / (select count(*) from reads) as share from w group by tax), qt as (select tax, share * 100 as quantity from rf)"""
 _UP = """up(tax, ancestor, parent, rank_name, depth) as (select tax, tax, parent, rank_name, 0 from nodes
         union all select u.tax, n.tax, n.parent, n.rank_name, u.depth + 1 from up u join nodes n on n.tax = u.parent where u.parent <> u.ancestor)"""
-_PROFILE = f"""recursive {_HITS}, {_FREQ}, {_NODES}, {_LAB}, {_UP},
+
+
+def _profile_sql(max_k: int) -> str:
+    return f"""recursive {_hits_sql(max_k)}, {_FREQ}, {_NODES}, {_LAB}, {_UP},
     lim as (select tax, min(depth) as l from up where rank_name = 'superkingdom' group by tax),
     tot as (select ancestor as tax, sum(quantity) as percentage from up join qt using (tax) left join lim using (tax) where l is null or depth <= l group by ancestor),
     pth as (select up.tax, max(case when depth = 0 then up.rank_name end) as rank_name,
@@ -326,24 +373,27 @@ _PROFILE = f"""recursive {_HITS}, {_FREQ}, {_NODES}, {_LAB}, {_UP},
             from up left join lim using (tax) left join lab on lab.tax = ancestor where l is null or depth <= l group by up.tax),
     prf as (select tax, rank_name, path, name_path, percentage, list_position({reports.RANKS}, rank_name)::bigint as rank_no from tot join pth using (tax) where list_position({reports.RANKS}, rank_name) > 0)"""
 
-SQL = {
-    "identify_match": f"with {_match()} select * from m",
-    "identify_scores": f"with {_match()} {_SCORES}",
-    "identify_scores_six_frames": f"with {_match(_WIN6)} {_SCORES}",
-    "identify_scores_protein": f"with {_match(_WINP)} {_SCORES}",
-    "identify_scores_unique": f"with {_match(cnt='1')} {_SCORES}",
-    "identify_rated": f"with {_RATED} select * from rt",
-    "identify_best_score": f"with {_RATED} select read_id, max(score) as best, max(relative) as best_relative, min(error) as least_error from rt group by read_id",
-    "identify_hits": f"with {_HITS} select * from hits",
-    "identify_spaced": f"""with {q.READS}, {_WIN}, {_BASE}, mk as (select (31::bigint << 55) | (31::bigint << 50) | (31::bigint << 40) | (31::bigint << 35) | (31::bigint << 25) | (31::bigint << 20) | (31::bigint << 15) as mask),
+
+def _sql(max_k: int) -> dict[str, str]:
+    hits, counts, rated, prof = _hits_sql(max_k), _counts_sql(max_k), _rated_sql(max_k), _profile_sql(max_k)
+    return {
+        "identify_match": f"with {_match(max_k=max_k)} select * from m",
+        "identify_scores": f"with {_match(max_k=max_k)} {_SCORES}",
+        "identify_scores_six_frames": f"with {_match(_WIN6, max_k=max_k)} {_SCORES}",
+        "identify_scores_protein": f"with {_match(_WINP, max_k=max_k)} {_SCORES}",
+        "identify_scores_unique": f"with {_match(cnt='1', max_k=max_k)} {_SCORES}",
+        "identify_rated": f"with {rated} select * from rt",
+        "identify_best_score": f"with {rated} select read_id, max(score) as best, max(relative) as best_relative, min(error) as least_error from rt group by read_id",
+        "identify_hits": f"with {hits} select * from hits",
+        "identify_spaced": f"""with {q.READS}, {_WIN}, {_base(max_k)}, mk as (select (31::bigint << 55) | (31::bigint << 50) | (31::bigint << 40) | (31::bigint << 35) | (31::bigint << 25) | (31::bigint << 20) | (31::bigint << 15) as mask),
         tx as (select code & mask as c, count(distinct tax) as n_taxa from idxc, mk group by 1), oc as (select read_id, code & mask as c, count(*) as cnt from win, mk group by all)
         select read_id, sum(cnt)::bigint as n_matches, sum(n_taxa)::bigint as n_taxa from oc join tx using (c) group by read_id""",
-    "profile_counts": f"with {_COUNTS} select tax, k, round(count_all, 6) as count_all, count_unique, count_total from ct",
-    "profile_relative": f"with {_COUNTS} select tax, k, count_unique, count_total, {', '.join(f'round({c}, 8) as {c}' for c in ('count_all', 'unique_rel', 'all_rel', 'overall_rel', 'overall_unique_rel', 'coverage'))} from rl",
-    "profile_not_identified": f"with {_COUNTS} select k, round(1 - coalesce(sum(overall_rel), 0), 8) as overall_rel from ks left join rl using (k) group by k",
-    "profile_wide": f"""with {_COUNTS}, w as (select tax, {', '.join(f"coalesce(sum(count_unique) filter (k = {k}), 0)::bigint as count_unique_{k}, round(coalesce(sum(count_all) filter (k = {k}), 0), 6) as count_all_{k}" for k in range(MAX_K, MIN_K - 1, -1))} from rl group by tax)
-        select *, row_number() over (order by {', '.join(f'count_unique_{k} desc' for k in range(MAX_K, MIN_K - 1, -1))}, tax) as rank from w where count_all_{MIN_K} > 0""",
-    "coherence": f"""with {q.READS}, {_WIN6}, {_BASE}, cd as (select distinct code from win),
+        "profile_counts": f"with {counts} select tax, k, round(count_all, 6) as count_all, count_unique, count_total from ct",
+        "profile_relative": f"with {counts} select tax, k, count_unique, count_total, {', '.join(f'round({c}, 8) as {c}' for c in ('count_all', 'unique_rel', 'all_rel', 'overall_rel', 'overall_unique_rel', 'coverage'))} from rl",
+        "profile_not_identified": f"with {counts} select k, round(1 - coalesce(sum(overall_rel), 0), 8) as overall_rel from ks left join rl using (k) group by k",
+        "profile_wide": f"""with {counts}, w as (select tax, {', '.join(f"coalesce(sum(count_unique) filter (k = {k}), 0)::bigint as count_unique_{k}, round(coalesce(sum(count_all) filter (k = {k}), 0), 6) as count_all_{k}" for k in range(max_k, MIN_K - 1, -1))} from rl group by tax)
+        select *, row_number() over (order by {', '.join(f'count_unique_{k} desc' for k in range(max_k, MIN_K - 1, -1))}, tax) as rank from w where count_all_{MIN_K} > 0""",
+        "coherence": f"""with {q.READS}, {_WIN6}, {_base(max_k)}, cd as (select distinct code from win),
         mx as (select code, max(k) as len from cd, ks where ((code >> (5 * (12 - k))) & 31) <> 30 and exists (select 1 from pt where pt.k = ks.k and pt.prefix = code >> (5 * (12 - ks.k))) group by code),
         mt as (select read_id, mate, strand, pos, len, lag(pos + len) over (partition by read_id, mate, strand order by pos) as last from win join mx using (code)),
         cl as (select *, sum(case when pos <= last then 0 else 1 end) over (partition by read_id, mate, strand order by pos) as cluster, case when pos <= last then case when pos + len < last then len else last - pos end end as overlap from mt),
@@ -351,29 +401,40 @@ SQL = {
         tp as (select read_id, mate, max(overlap) as o, max_by(n, overlap) as n from pr group by read_id, mate, strand, cluster),
         bs as (select read_id, mate, max(o + 1.0 - 1.0 / n) as c from tp group by read_id, mate)
         select d.read_id, d.mate, round(coalesce(c, 0)::double, 6) as coherence from (select distinct read_id, mate from mt) d left join bs on d.read_id = bs.read_id and d.mate is not distinct from bs.mate""",
-    "filter_contaminated": f"with {_RATED}, bad as (select read_id from rt group by read_id having min(error) < 0.9995) select * from reads where read_id in (select read_id from bad)",
-    "filter_clean": f"with {_RATED}, bad as (select read_id from rt group by read_id having min(error) < 0.9995) select * from reads where read_id not in (select read_id from bad)",
-    "visualise_matches": f"""with {q.READS}, {q.IDX}, c as (select read_id, mate, {q.clean('seq')} as dna from rd where kind = 'dna'),
+        "filter_contaminated": f"with {rated}, bad as (select read_id from rt group by read_id having min(error) < 0.9995) select * from reads where read_id in (select read_id from bad)",
+        "filter_clean": f"with {rated}, bad as (select read_id from rt group by read_id having min(error) < 0.9995) select * from reads where read_id not in (select read_id from bad)",
+        "visualise_matches": f"""with {q.READS}, {q.IDX}, c as (select read_id, mate, {q.clean('seq')} as dna from rd where kind = 'dna'),
         p as (select read_id, mate, array_to_string(list_transform(range(1, length(dna) - 1, 3), lambda i: {q.codon('substr(dna, i::int, 3)')}), '') as s from c),
         pc as (select read_id, mate, substr(s, i::int, 5) as piece from (select *, unnest(range(1, length(s) - 3)) as i from p)),
         km as (select distinct substr(kmer, 1, 5) as piece, tax from idx)
         select read_id, mate, tax, count(*) * 5 as matched from pc join km using (piece) group by all""",
-    "report_json_counts": f"""with {_HITS} select r.read_id, r.seq_len, count(*) filter (hit = 'top') as n_top, count(*) filter (hit = 'further') as n_further, round(coalesce(sum(h.score) filter (hit = 'top'), 0), 5) as top_score
+        "report_json_counts": f"""with {hits} select r.read_id, r.seq_len, count(*) filter (hit = 'top') as n_top, count(*) filter (hit = 'further') as n_further, round(coalesce(sum(h.score) filter (hit = 'top'), 0), 5) as top_score
         from reads r left join hits h using (read_id) group by r.read_id, r.seq_len""",
-    "report_tsv": f"""with {_HITS}, {_LAB}, g as (select read_id, string_agg(tax::varchar, ';' order by rank) as taxa, string_agg(coalesce(taxon, 'unnamed'), ';' order by rank) as names,
+        "report_tsv": f"""with {hits}, {_LAB}, g as (select read_id, string_agg(tax::varchar, ';' order by rank) as taxa, string_agg(coalesce(taxon, 'unnamed'), ';' order by rank) as names,
             string_agg(printf('%.6f', relative) || ',' || printf('%.6f', score), ';' order by rank) as scores, string_agg(printf('%.6f', error), ';' order by rank) as errors from hits left join lab using (tax) group by read_id)
         select read_id, name, coalesce(taxa, '-') as taxa, coalesce(names, '-') as names, coalesce(scores, '-') as scores, coalesce(errors, '-') as errors from reads left join g using (read_id)""",
-    "report_short": f"""with {_HITS}, g as (select read_id, first(tax order by rank) as t, string_agg(tax::varchar || ':' || printf('%.6f', score), ' ' order by rank) as pairs from hits group by read_id)
+        "report_short": f"""with {hits}, g as (select read_id, first(tax order by rank) as t, string_agg(tax::varchar || ':' || printf('%.6f', score), ' ' order by rank) as pairs from hits group by read_id)
         select read_id, case when pairs is null then 'U' else 'C' end as status, name, coalesce(t, 0) as tax, seq_len as length, coalesce(pairs, 'A:00') as pairs from reads left join g using (read_id)""",
-    "read_frequencies": f"with {_HITS}, {_FREQ} select tax, round(weight, 6) as weight, round(share, 8) as share from rf",
-    "read_frequencies_top_only": f"with {_HITS}, w as (select *, 1.0 / count(*) over (partition by read_id) as w from hits where hit = 'top') select tax, round(sum(w)::double, 6) as weight, round(sum(w)::double / (select count(*) from reads), 8) as share from w group by tax",
-    "binning_first_hit": f"with {_HITS} select read_id, tax from hits where rank = 1",
-    "reads_for_taxon": f"with {_HITS} select * from reads where read_id in (select read_id from hits where hit = 'top' and tax in (select tax from tax_nodes))",
-    "reads_not_identified": f"with {_HITS} select * from reads where read_id not in (select read_id from hits)",
-    "taxonomy_roll_up": f"""with recursive {_HITS}, {_FREQ}, {_NODES}, {_UP},
+        "read_frequencies": f"with {hits}, {_FREQ} select tax, round(weight, 6) as weight, round(share, 8) as share from rf",
+        "read_frequencies_top_only": f"with {hits}, w as (select *, 1.0 / count(*) over (partition by read_id) as w from hits where hit = 'top') select tax, round(sum(w)::double, 6) as weight, round(sum(w)::double / (select count(*) from reads), 8) as share from w group by tax",
+        "binning_first_hit": f"with {hits} select read_id, tax from hits where rank = 1",
+        "reads_for_taxon": f"with {hits} select * from reads where read_id in (select read_id from hits where hit = 'top' and tax in (select tax from tax_nodes))",
+        "reads_not_identified": f"with {hits} select * from reads where read_id not in (select read_id from hits)",
+        "taxonomy_roll_up": f"""with recursive {hits}, {_FREQ}, {_NODES}, {_UP},
         an as (select tax, min_by(ancestor, depth) as node from up where rank_name = 'genus' or parent = 1 group by tax)
         select node as tax, round(sum(quantity), 6) as quantity from qt join an using (tax) group by node""",
-    "taxonomy_profile": f"with {_PROFILE} select tax, rank_name, path, name_path, round(percentage, 6) as percentage, rank_no from prf",
-    "taxonomy_pie": f"""with {_PROFILE}, v as (select case when rank_no = (select max(rank_no) from prf) then percentage else 0 end as value, name_path from prf)
+        "taxonomy_profile": f"with {prof} select tax, rank_name, path, name_path, round(percentage, 6) as percentage, rank_no from prf",
+        "taxonomy_pie": f"""with {prof}, v as (select case when rank_no = (select max(rank_no) from prf) then percentage else 0 end as value, name_path from prf)
         select round(value, 6) as value, name_path from v union all select round(100 - sum(value), 6), '' from v""",
-}
+    }
+
+
+SQL = _sql(MAX_K)
+_WHOLE = _sql(WHOLE_K)
+SQL |= {f"{name}_k12": _WHOLE[name] for name in RANGED if name in _WHOLE}
+SQL["visualise_matches_k12"] = f"""with {q.READS}, {q.IDX}, ks as (select unnest(range({MIN_K}, {WHOLE_K + 1}))::int as k), c as (select read_id, mate, {q.clean('seq')} as dna from rd where kind = 'dna'),
+        p as (select read_id, mate, array_to_string(list_transform(range(1, length(dna) - 1, 3), lambda i: {q.codon('substr(dna, i::int, 3)')}), '') as s from c),
+        pc as (select read_id, mate, i, k, substr(s, i::int, k) as piece from (select *, unnest(range(1, length(s) - {MIN_K - 2})) as i from p), ks where i + k - 1 <= length(s)),
+        km as (select distinct k, substr(kmer, 1, k) as piece, tax from idx, ks),
+        lg as (select read_id, mate, i, tax, max(k) as len from pc join km using (k, piece) group by all)
+        select read_id, mate, tax, sum(len)::bigint as matched from lg group by all"""
