@@ -65,8 +65,12 @@ def read_scores(matched: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def taxon_counts(windows: DataFrame, idx: DataFrame, min_k: int, max_k: int, h: int = H64) -> DataFrame:
     """(tax, k, count_all, count_unique, count_total): the profile counts, without any read-wise work."""
-    m = match(windows, idx, [], min_k, max_k, h)
-    rows = m.select("k", F.explode("taxa").alias("tax"), (F.col("cnt") / F.col("n_taxa")).alias("a"), F.when(F.col("n_taxa") == 1, F.col("cnt")).otherwise(0).alias("u"))
+    return count_taxa(match(windows, idx, [], min_k, max_k, h))
+
+
+def count_taxa(matched: DataFrame) -> DataFrame:
+    """(tax, k, count_all, count_unique, count_total) from (k, prefix, cnt, taxa, n_taxa), one row for each prefix."""
+    rows = matched.select("k", F.explode("taxa").alias("tax"), (F.col("cnt") / F.col("n_taxa")).alias("a"), F.when(F.col("n_taxa") == 1, F.col("cnt")).otherwise(0).alias("u"))
     return rows.groupBy("tax", "k").agg(F.sum("a").alias("count_all"), F.sum("u").alias("count_unique"), F.count(F.lit(1)).alias("count_total"))
 
 
