@@ -55,6 +55,17 @@ def sniff_format(first_line: Column) -> Column:
     return F.when(c == ">", "fasta").when(c == "@", "fastq").otherwise(F.raise_error(F.lit("Input does not start with @ or >.")))
 
 
+def whole_header(name: Column) -> Column:
+    """The accession of a header, else the whole header; null for an empty one."""
+    return F.coalesce(accession_of(name), F.nullif(F.trim(name, F.lit(" \t\n\r")), F.lit("")))
+
+
+def with_content(reads: DataFrame, content: DataFrame) -> DataFrame:
+    """Records with the taxon that the content table gives their accession or whole header, dummies included."""
+    known = content.select(F.explode("accessions").alias("acc"), "tax").groupBy("acc").agg(F.min("tax").alias("tax"))
+    return reads.withColumn("acc", whole_header(F.col("name"))).join(known, "acc")
+
+
 def with_tax(reads: DataFrame, acc_map: DataFrame) -> DataFrame:
     """Records whose header holds a known accession, with its taxon (inner join; of several taxa of one accession the least)."""
     known = acc_map.where("tax is not null").groupBy(F.col("accession").alias("acc")).agg(F.min("tax").alias("tax"))

@@ -30,7 +30,18 @@ def index_build(spark: SparkSession, d: str) -> DataFrame:
 
 def index_from_references(spark: SparkSession, d: str) -> DataFrame:
     """Index rows per taxon built from the records with a known accession."""
-    ref = reads.with_tax(reads.assemble(table(spark, d, "read_chunks")), table(spark, d, "acc_map")).where("kind = 'dna'")
+    return _reference_index(reads.with_tax(reads.assemble(table(spark, d, "read_chunks")), table(spark, d, "acc_map")))
+
+
+def index_from_references_headers(spark: SparkSession, d: str) -> DataFrame:
+    """The same from all records that have a header, dummies included."""
+    from merloom.plans.taxonomy import _generated
+
+    return _reference_index(reads.with_content(reads.assemble(table(spark, d, "read_chunks")), _generated(spark, d, "lowest", True)))
+
+
+def _reference_index(refs: DataFrame) -> DataFrame:
+    ref = refs.where("kind = 'dna'")
     w = windows.drop_unknown(windows.kmer_windows(ref, clean_dna(F.col("seq")), ["tax"], side="reference"))
     return index.build(w, F.col("code"), F.col("tax")).groupBy("tax").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.pmod("code", F.lit(1000003))).alias("checksum"))
 
@@ -134,7 +145,7 @@ def hash_letter_pairs(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        index_build, index_from_references, index_frequencies, index_directory, index_update, index_merge_renamed, index_delete, index_taxa_per_kmer, redundancy_histogram, redundancy_cutoff,
+        index_build, index_from_references, index_from_references_headers, index_frequencies, index_directory, index_update, index_merge_renamed, index_delete, index_taxa_per_kmer, redundancy_histogram, redundancy_cutoff,
         shrink_every_nth, shrink_entropy, shrink_halve, shrink_overrepresented, frequent_kmers, csr_transform, kmer_lookup, repack_odd_letters, hash_letter_pairs,
     )
 }
@@ -177,3 +188,14 @@ SQL = {
     "repack_odd_letters": f"{_I} select distinct {_ODD6} as code, tax from idx",
     "hash_letter_pairs": f"{_I} select distinct {_HASH} as code, tax from idx",
 }
+
+_DUMMIES = """a as (with mp as (select accession, min(tax) as tax from acc_map where tax is not null group by accession),
+        hd as (select distinct coalesce(ACC, trim(name, chr(32) || chr(9) || chr(10) || chr(13))) as accession from read_chunks where trim(name, chr(32) || chr(9) || chr(10) || chr(13)) <> '')
+        select accession, case when tax is null then 4294967295 - row_number() over (partition by tax is null order by accession) else tax end as tax from hd left join mp using (accession))""".replace("ACC", q.accession("name"))
+SQL["index_from_references_headers"] = f"""with {q.READS}, {_DUMMIES},
+        ref as (select r.*, a.tax from (select *, coalesce({q.accession('name')}, name) as acc from rd) r join a on r.acc = a.accession),
+        {q.windows_cte(_DNA_REF, [(0, "s")], "len(ls) - 33", 3, 1, where=q.NO_UNKNOWN)},
+        i as (select distinct read_id as tax, code from win)
+        select tax, count(*) as n_rows, sum(code % 1000003)::bigint as checksum from i group by tax"""
+SQL["reference_sequences_headers"] = f"""with {q.READS}, {_DUMMIES}
+        select read_id, mate, accession, tax, kind, length(seq) as seq_len from (select *, coalesce({q.accession('name')}, name) as acc from rd) r join a on r.acc = a.accession"""

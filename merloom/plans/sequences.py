@@ -51,6 +51,13 @@ def reference_sequences(spark: SparkSession, d: str) -> DataFrame:
     return reads.with_tax(_reads(spark, d), table(spark, d, "acc_map")).select("read_id", "mate", F.col("acc").alias("accession"), "tax", "kind", "seq_len")
 
 
+def reference_sequences_headers(spark: SparkSession, d: str) -> DataFrame:
+    """All records that have a header; those without a known accession with the dummy of the generated content."""
+    from merloom.plans.taxonomy import _generated
+
+    return reads.with_content(_reads(spark, d), _generated(spark, d, "lowest", True)).select("read_id", "mate", F.col("acc").alias("accession"), "tax", "kind", "seq_len")
+
+
 def dna_clean_revcomp(spark: SparkSession, d: str) -> DataFrame:
     """P3, P4."""
     return _dna(spark, d).select("read_id", "mate", "dna", codec.reverse_complement(F.col("dna")).alias("revcomp"))
@@ -171,7 +178,7 @@ def file_stems(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        reads_assembled, reads_paired, reads_quality_check, reads_kind_sniffed, accession_extract, reference_sequences, dna_clean_revcomp, translate_one_frame, translate_all_offsets, open_reading_frames, reconstruct_dna,
+        reads_assembled, reads_paired, reads_quality_check, reads_kind_sniffed, accession_extract, reference_sequences, reference_sequences_headers, dna_clean_revcomp, translate_one_frame, translate_all_offsets, open_reading_frames, reconstruct_dna,
         windows_three_frames, windows_six_frames, windows_one_frame, windows_protein, windows_reference, windows_reference_one_frame, windows_reference_protein, windows_reference_thinned, windows_long_kmers, windows_text,
         kmer_encode_decode, kmer_entropy, best_scores, file_stems,
     )

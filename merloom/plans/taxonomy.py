@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merloom.functions.text import accession_of, comma_to_blank, split_list
-from merloom.operators import content, reports
+from merloom.operators import content, reads, reports
 from merloom.plans import common_sql as q
 from merloom.session import table
 
@@ -19,8 +19,13 @@ def _accessions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "read_chunks").select(accession_of(F.col("name")).alias("accession")).where("accession is not null").distinct()
 
 
-def _generated(spark: SparkSession, d: str, level: str) -> DataFrame:
-    return content.generate(_accessions(spark, d), table(spark, d, "acc_map"), _nodes(spark, d), table(spark, d, "tax_names"), level)
+def _headers(spark: SparkSession, d: str) -> DataFrame:
+    """Every header's accession, or the whole header where it has none."""
+    return table(spark, d, "read_chunks").select(reads.whole_header(F.col("name")).alias("accession")).where("accession is not null").distinct()
+
+
+def _generated(spark: SparkSession, d: str, level: str, headers: bool = False) -> DataFrame:
+    return content.generate((_headers if headers else _accessions)(spark, d), table(spark, d, "acc_map"), _nodes(spark, d), table(spark, d, "tax_names"), level)
 
 
 def taxonomy_names(spark: SparkSession, d: str) -> DataFrame:
@@ -81,6 +86,42 @@ def content_repair(spark: SparkSession, d: str) -> DataFrame:
     return content.joined(content.repair(both))
 
 
+def content_generate_species_headers(spark: SparkSession, d: str) -> DataFrame:
+    """Content table of all headers, those without an accession as dummies."""
+    return content.joined(_generated(spark, d, "species", True))
+
+
+def content_generate_genus_headers(spark: SparkSession, d: str) -> DataFrame:
+    """U9, J7 at the level of genus."""
+    return content.joined(_generated(spark, d, "genus", True))
+
+
+def content_generate_lowest_headers(spark: SparkSession, d: str) -> DataFrame:
+    """Every taxon by itself."""
+    return content.joined(_generated(spark, d, "lowest", True))
+
+
+def content_numbered_headers(spark: SparkSession, d: str) -> DataFrame:
+    """Q21: all headers numbered in their order."""
+    return content.generate_lowest_numbered(_headers(spark, d))
+
+
+def content_merge_headers(spark: SparkSession, d: str) -> DataFrame:
+    """U5, U6, A11 with all headers."""
+    return content.joined(content.merge(content.parse(table(spark, d, "content_file")), _generated(spark, d, "species", True))[0])
+
+
+def content_dummies_renamed_headers(spark: SparkSession, d: str) -> DataFrame:
+    """U5 with all headers."""
+    return content.merge(content.parse(table(spark, d, "content_file")), _generated(spark, d, "species", True))[1]
+
+
+def content_repair_headers(spark: SparkSession, d: str) -> DataFrame:
+    """U7 with all headers."""
+    both = content.parse(table(spark, d, "content_file")).unionByName(_generated(spark, d, "lowest", True))
+    return content.joined(content.repair(both))
+
+
 def content_accessions(spark: SparkSession, d: str) -> DataFrame:
     """Accessions of the content file as rows."""
     return table(spark, d, "content_file").select("tax", F.explode(split_list(F.col("accessions"))).alias("accession")).distinct()
@@ -112,6 +153,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         taxonomy_names, taxonomy_paths, taxonomy_lift, accession_lookup, content_generate_species, content_generate_genus, content_generate_lowest, content_numbered, content_merge, content_dummies_renamed, content_repair,
+        content_generate_species_headers, content_generate_genus_headers, content_generate_lowest_headers, content_numbered_headers, content_merge_headers, content_dummies_renamed_headers, content_repair_headers,
         content_accessions, content_ordinals, content_ordinals_as_text, frequency_file, frequency_totals,
     )
 }
@@ -120,6 +162,7 @@ _NODES = "nodes as (select tax, min(parent) as parent, min(rank_name) as rank_na
 _UP = """up(tax, ancestor, parent, rank_name, depth) as (select tax, tax, parent, rank_name, 0 from nodes
         union all select u.tax, n.tax, n.parent, n.rank_name, u.depth + 1 from up u join nodes n on n.tax = u.parent where u.parent <> u.ancestor)"""
 _ACC = f"acc as (select distinct {q.accession('name')} as accession from read_chunks where name is not null and {q.accession('name')} is not null)"
+_HEADERS = f"acc as (select distinct coalesce({q.accession('name')}, trim(name, chr(32) || chr(9) || chr(10) || chr(13))) as accession from read_chunks where trim(name, chr(32) || chr(9) || chr(10) || chr(13)) <> '')"
 _MAP = "mp as (select accession, min(tax) as tax from acc_map where tax is not null group by accession)"
 _NAMES = "nm as (select tax, min(name) as name from tax_names where name_class = 'scientific name' and tax is not null group by tax)"
 
@@ -166,3 +209,8 @@ SQL = {
     "frequency_file": f"with f as (select shard_id, tax, k, max(n) as n from freq where tax is not null group by all) select shard_id, tax, {', '.join(f'max(n) filter (k = {k}) as k{k}' for k in range(12, 0, -1))} from f group by shard_id, tax",
     "frequency_totals": "with f as (select shard_id, tax, k, max(n) as n from freq where tax is not null group by all) select tax, k, sum(n)::bigint as n from f group by tax, k",
 }
+
+SQL |= {
+    f"{name}_headers": SQL[name].replace(_ACC, _HEADERS)
+    for name in ("content_generate_species", "content_generate_genus", "content_generate_lowest", "content_numbered", "content_merge", "content_dummies_renamed", "content_repair")
+}
