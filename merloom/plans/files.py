@@ -110,6 +110,13 @@ def scan_index(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(p).where((F.col("code") >= lo) & (F.col("code") < hi))
 
 
+def scan_index_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The stored index, read back whole."""
+    p = _path(spark)
+    index.store(ident._idx(spark, d), p)
+    return spark.read.parquet(p)
+
+
 def custom_code_table(spark: SparkSession, d: str) -> DataFrame:
     """First frames under a code in which TGA means tryptophan."""
     from merloom.functions.codec import STANDARD_CODE, codon_table
@@ -165,7 +172,7 @@ def sink_filtered_fastq(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_fasta, scan_fasta_numbered, scan_fastq_gz, scan_files, scan_nodes_dump, scan_names_dump, scan_accession_map, scan_content_file, scan_frequency_file, scan_frequency_file_named, scan_index, custom_code_table,
+        scan_fasta, scan_fasta_numbered, scan_fastq_gz, scan_files, scan_nodes_dump, scan_names_dump, scan_accession_map, scan_content_file, scan_frequency_file, scan_frequency_file_named, scan_index, scan_index_whole, custom_code_table,
         sink_translated, sink_json_array, sink_profile_csv, sink_filtered_fastq,
     )
 }
@@ -187,6 +194,7 @@ SQL = {
     "scan_frequency_file": f"with {q.IDX}, k as (select unnest(range(1, 13))::int as k) select case when tax = 0 then 'non_unique' else 'tax_' || tax end as name, k, count(*) filter (substr(kmer, k, 1) <> '^') as n from idx, k group by tax, k",
     "scan_frequency_file_named": f"with {q.IDX}, k as (select unnest(range(1, 13))::int as k), {ident._LAB}, f as (select tax, k, count(*) filter (substr(kmer, k, 1) <> '^') as n from idx, k group by tax, k) select case when f.tax = 0 then 'non_unique' else coalesce(taxon, 'tax_' || f.tax) end as name, k, n from f left join lab on lab.tax = f.tax",
     "scan_index": f"with {q.IDX} select {ident._CODE} as code, tax from idx where kmer[1] = 'K'",
+    "scan_index_whole": f"with {q.IDX} select {ident._CODE} as code, tax from idx",
     "custom_code_table": f"{_R}, c as (select read_id, mate, {q.clean('seq')} as dna from rd where {_DNAW}) select read_id, mate, translate({_FRAME}, ']', 'W') as protein from c",
     "sink_translated": f"{_R}, c as (select {_NM}, {q.clean('seq')} as dna from rd where {_DNAW}), f as (select name, {_FRAME} as seq from c) select name, seq, repeat('I', length(seq)) as qual from f where length(seq) > 0",
     "sink_json_array": f"{_R}, {ident._RDS} select read_id, seq_len from reads",
