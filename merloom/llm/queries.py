@@ -20,7 +20,7 @@ def _answers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _answers(spark, d).where("seen").select(F.col("id").alias("pair_id"))
+    return _answers(spark, d).where("said_seen and seen").select(F.col("id").alias("pair_id"))
 
 
 def p2_error_rate(spark: SparkSession, d: str) -> DataFrame:
