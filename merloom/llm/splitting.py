@@ -122,8 +122,9 @@ def best_cuts(total: int, natural: np.ndarray, limit: int, overlap: int) -> tupl
         extra = []
         for a, b in zip(edges[:-1], edges[1:]):
             if b - a > (limit if a == 0 else span):
-                n = -(-(b - a) // span)
-                extra += [a + (b - a) * i // n for i in range(1, n)]
+                lead = overlap if a == 0 else 0  # the first piece has no overlap before it
+                n = -(-(b - a - lead) // span)
+                extra += [a + lead + (b - a - lead) * i // n for i in range(1, n)]
         extra = np.array([x for x in extra if x >= overlap], np.int64)
         points = np.concatenate([natural, extra])
         forced = np.concatenate([forced, np.ones(len(extra), bool)])
