@@ -118,14 +118,12 @@ def gram(a: DataFrame) -> DataFrame:
     return matrix_multiply(matrix_transpose(a), a)
 
 
-def suffix_array(chars: DataFrame, rounds: int = 20) -> DataFrame:
-    """(pos, place) of the suffixes of a text given as (pos, c): prefix doubling, ranks written after each round."""
+def suffix_array(chars: DataFrame) -> DataFrame:
+    """(pos, place) of the suffixes of a text given as (pos, c): prefix doubling until all ranks differ, ranks written after each round."""
     n = chars.count()
     r = chars.select("pos", F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("c")).alias("r")) if n < 2 else _dense(chars.select("pos", F.col("c").alias("a"), F.lit(0).alias("b")))
     step = 1
-    for _ in range(rounds):
-        if step >= n:
-            break
+    while step < n and r.agg(F.max("r")).first()[0] < n:
         nxt = r.select((F.col("pos") - step).alias("pos"), F.col("r").alias("b"))
         r = _dense(r.withColumnRenamed("r", "a").join(nxt, "pos", "left").select("pos", "a", F.coalesce("b", F.lit(0)).alias("b")))
         step *= 2
