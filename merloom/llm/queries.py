@@ -27,6 +27,12 @@ def p2_error_rate(spark: SparkSession, d: str) -> DataFrame:
     return seen.error_report(_answers(spark, d))
 
 
+def p2_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Rows, rows whose key is seen and rows whose key is new, as the chain and its check give them, and whether the rate of wrong answers keeps its bound."""
+    r = seen.error_report(_answers(spark, d))
+    return r.select("n_rows", (F.col("n_said_seen") - F.col("n_wrong_seen")).alias("n_seen"), "n_new", (F.coalesce("wrong_rate", F.lit(0.0)) <= F.coalesce("error_bound", F.lit(0.0))).alias("within_bound"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     top = heavy.frequent_items(table(spark, d, "idx_pairs"), pair_key(), 5, 1000)
     return top.select(decode_kmer(F.col("key")).alias("kmer"))
@@ -145,5 +151,5 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_error_rate, p3_found, p3_counts, p4_found, p4_distinct_counts, p5_found, p5_pieces, p6_found, p6_containers, p6_fill, p7_found, p7_mix, p7_report, p8_found, p8_documents, p8_segments)
+    for f in (p2_found, p2_error_rate, p2_totals, p3_found, p3_counts, p4_found, p4_distinct_counts, p5_found, p5_pieces, p6_found, p6_containers, p6_fill, p7_found, p7_mix, p7_report, p8_found, p8_documents, p8_segments)
 }

@@ -6,16 +6,24 @@ threshold (half of its bits set, reached at its design capacity); then a layer
 added. With rates p0, p0*t, p0*t^2, ... the chance that a new key is called
 seen stays below p0 / (1 - t) however long the history grows.
 
-Distribution: keys are hashed to tasks, each task owns one chain for its keys
-and reads them in order of arrival. Before that shuffle every chunk of input
-rows is reduced to the first row of each key in the chunk; the other rows of
-the chunk are certainly seen and travel spread by their own id, so a key that
-holds a third of all rows costs its task one row a chunk.
+Distribution: keys are hashed to ``buckets``, each with one chain, and the rows
+of a bucket pass its chain in order of arrival. Before that shuffle every chunk
+of input rows is reduced to the first row of each key in the chunk; the other
+rows of the chunk are certainly seen and travel spread by their own id, so a
+key that holds a third of all rows costs its bucket one row a chunk.
 
-The exact check that follows reads the rows of the same task once more, sorted
-by key: of the rows the chain called seen, those without any smaller id of the
-same key are its wrong answers. It needs no further shuffle and no memory
-beyond one batch.
+Stored history: chains are rows (bucket, layer, blob) that can be written and
+given to a later run, which loads the layers of a bucket before its first row
+and grows them on; the keys themselves need not be read again.
+
+The chain decides: a row it calls new is new, as it has no false negatives. Only
+rows it calls seen are checked, and of these only the first of each key in
+question: it is a wrong answer unless an earlier row (one the chain called new)
+or a known key holds its key. The check joins keys, never whole rows, and what
+it finds wrong is a small table.
+
+Keys may be bigint or text; text is hashed for the chain and compared as text
+elsewhere.
 
 Cases: a null key is never seen and enters no chain; rows with a null id come
 after all others; of rows with the same id and key none is earlier than the
@@ -25,17 +33,25 @@ other; an empty table gives no rows.
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from merloom.session import materialise, small
 
 CHUNK_ROWS = 1 << 19
+BUCKETS = 128
 LAST = np.iinfo(np.int64).max
+#: places in the order before every row: layers of a stored chain, then known keys
+FIRST_LAYER, KNOWN = -(2**63) + 1, -(2**62)
 #: states of a row on its way
-NEW, MAYBE, REPEAT, BASE, NO_KEY = 0, 1, 2, 3, 4
+NEW, MAYBE, REPEAT, BASE, NO_KEY, LAYER = 0, 1, 2, 3, 4, 5
 
 
 def mix64(x: np.ndarray, seed: int) -> np.ndarray:
@@ -57,6 +73,18 @@ class BloomLayer:
         self.m = max(64, math.ceil(capacity * self.hashes / math.log(2)))
         self.bits = np.zeros((self.m + 7) // 8, np.uint8)
 
+    _HEAD = struct.Struct("<qdq")
+
+    def to_bytes(self) -> bytes:
+        return self._HEAD.pack(self.capacity, self.rate, self.used) + self.bits.tobytes()
+
+    @classmethod
+    def from_bytes(cls, blob: bytes) -> BloomLayer:
+        capacity, rate, used = cls._HEAD.unpack_from(blob)
+        out = cls(capacity, rate)
+        out.bits, out.used = np.frombuffer(blob, np.uint8, offset=cls._HEAD.size).copy(), used
+        return out
+
     def _places(self, h1: np.ndarray, h2: np.ndarray, j: int) -> np.ndarray:
         with np.errstate(over="ignore"):
             return (h1 + np.uint64(j) * h2 + np.uint64(j * j * j)) % np.uint64(self.m)
@@ -133,101 +161,160 @@ class BloomChain:
 
 
 def _numpy(col: pa.ChunkedArray | pa.Array, null: int) -> np.ndarray:
-    return col.fill_null(null).to_numpy(zero_copy_only=False) if isinstance(col, pa.Array) else col.combine_chunks().fill_null(null).to_numpy(zero_copy_only=False)
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    return col.fill_null(null).to_numpy(zero_copy_only=False)
 
 
-def _mark_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of (id, ord, key, state): rows whose key has a smaller ord in the same chunk become REPEAT."""
+def _mark_repeats(chunk_rows: int):
+    """Chunks of (id, ord, key, hash, state): rows whose key has a smaller ord in the same chunk become REPEAT."""
 
     def emit(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held).combine_chunks()
         state = _numpy(t["state"], NEW).copy()
         live = np.flatnonzero(state != NO_KEY)
         if len(live):
-            keys, order = _numpy(t["key"], 0)[live], _numpy(t["ord"], LAST)[live]
-            _, inverse = np.unique(keys, return_inverse=True)
-            least = np.full(inverse.max() + 1, LAST, np.int64)
-            np.minimum.at(least, inverse, order)
-            state[live[order > least[inverse]]] = REPEAT
+            order = _numpy(t["ord"], LAST)[live]
+            if pa.types.is_integer(t.schema.field("key").type):
+                same = np.unique(_numpy(t["key"], 0)[live], return_inverse=True)[1]
+            else:  # text is compared as text, not by its hash
+                same = _numpy(pc.dictionary_encode(t["key"].take(pa.array(live))).combine_chunks().indices, 0)
+            least = np.full(int(same.max()) + 1, LAST, np.int64)
+            np.minimum.at(least, same, order)
+            state[live[order > least[same]]] = REPEAT
         t = t.set_column(t.schema.get_field_index("state"), "state", pa.array(state, pa.int32()))
-        spread = np.where((state == REPEAT) | (state == NO_KEY), _numpy(t["ord"], LAST), _numpy(t["key"], 0))
+        spread = np.where((state == REPEAT) | (state == NO_KEY), _numpy(t["ord"], LAST), _numpy(t["hash"], 0))
         yield from t.append_column("spread", pa.array(spread, pa.int64())).to_batches(max_chunksize=65536)
 
-    held: list[pa.RecordBatch] = []
-    n = 0
-    for b in batches:
-        if b.num_rows:
-            held.append(b)
-            n += b.num_rows
-        if n >= CHUNK_ROWS:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                n += b.num_rows
+            if n >= chunk_rows:
+                yield from emit(held)
+                held, n = [], 0
+        if held:
             yield from emit(held)
-            held, n = [], 0
-    if held:
-        yield from emit(held)
 
+    return run
+
+
+def _answer(capacity: int, bound: float, save: bool):
+    """Rows in order of (bucket, ord) through the chain of their bucket; with ``save`` its layers follow its last row."""
 
-def _answer(capacity: int, bound: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chain = BloomChain(capacity, bound)
+        chain: BloomChain | None = None
+        bucket: int | None = None
+        loaded: list[BloomLayer] = []
+
+        def layers(schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+            if not save or chain is None:
+                return
+            n = len(chain.layers)
+            cols = {"state": pa.array([LAYER] * n, pa.int32()), "bucket": pa.array([bucket] * n, pa.int32()), "ord": pa.array([FIRST_LAYER + i for i in range(n)]), "blob": pa.array([x.to_bytes() for x in chain.layers])}
+            yield pa.RecordBatch.from_arrays([cols[f.name] if f.name in cols else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+        schema = None
         for b in batches:
-            state = _numpy(b.column("state"), NEW).copy()
-            live = np.flatnonzero((state == NEW) | (state == BASE))
-            if len(live):
-                said = chain.seen_then_add(_numpy(b.column("key"), 0)[live])
-                mark = live[said]
-                mark = mark[state[mark] == NEW]
-                state[mark] = MAYBE
-            out = b.set_column(b.schema.get_field_index("state"), "state", pa.array(state, pa.int32()))
-            yield out.append_column("bound", pa.array(np.full(b.num_rows, chain.compounded_bound())))
+            if not b.num_rows:
+                continue
+            own = _numpy(b.column("bucket"), 0)
+            state, keys = _numpy(b.column("state"), NEW).copy(), _numpy(b.column("hash"), 0)
+            bounds = np.zeros(len(own))
+            gone = state == LAYER
+            schema = pa.schema([*[f for f in b.schema if f.name != "hash"], pa.field("bound", pa.float64())])
+            cut = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
+            for lo, hi in zip(cut, cut[1:]):
+                if own[lo] != bucket:
+                    yield from layers(schema)
+                    bucket, chain, loaded = int(own[lo]), None, []
+                at = lo
+                while at < hi and state[at] == LAYER:
+                    loaded.append(BloomLayer.from_bytes(b.column("blob")[at].as_py()))
+                    at += 1
+                live = at + np.flatnonzero((state[at:hi] == NEW) | (state[at:hi] == BASE))
+                if chain is None and (at < hi or loaded):
+                    chain = BloomChain(capacity, bound)
+                if loaded and at < hi:
+                    chain.layers, loaded = loaded, []
+                if len(live):
+                    said = chain.seen_then_add(keys[live])
+                    mark = live[said]
+                    state[mark[state[mark] == NEW]] = MAYBE
+                if chain is not None:
+                    bounds[at:hi] = chain.compounded_bound()
+            if chain is not None and loaded:  # a bucket that got no row keeps its layers
+                chain.layers = list(loaded)
+            out = [pa.array(state, pa.int32()) if f.name == "state" else pa.array(bounds) if f.name == "bound" else b.column(f.name) for f in schema]
+            yield pa.RecordBatch.from_arrays(out, schema=schema).filter(pa.array(~gone))
+        if schema is not None:
+            yield from layers(schema)
 
     return run
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, ord): a row is truly seen if its key has a smaller ord."""
-    key0: int | None = None
-    least0 = 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        state, keys, order = _numpy(b.column("state"), NEW), _numpy(b.column("key"), 0), _numpy(b.column("ord"), LAST)
-        true = state == REPEAT
-        live = np.flatnonzero((state != REPEAT) & (state != NO_KEY))
-        if len(live):
-            k, o = keys[live], order[live]
-            start = np.r_[True, k[1:] != k[:-1]]
-            least = o[np.flatnonzero(start)]
-            if key0 is not None and k[0] == key0:
-                least[0] = least0
-            least = least[np.cumsum(start) - 1]
-            true[live] = o > least
-            key0, least0 = int(k[-1]), int(least[-1])
-        keep = state != BASE
-        yield pa.RecordBatch.from_arrays(
-            [b.column("id"), b.column("key"), pa.array((state == MAYBE) | (state == REPEAT)), pa.array(true), b.column("bound")],
-            names=["id", "key", "said_seen", "seen", "bound"],
-        ).filter(pa.array(keep))
-
-
-def seen_before(df: DataFrame, row_id: Column, key: Column, base: DataFrame | None = None, base_key: Column | None = None, capacity: int = 1 << 15, bound: float = 1e-3) -> DataFrame:
+def answered(df: DataFrame, row_id: Column, key: Column, base: DataFrame | None = None, base_key: Column | None = None, history: DataFrame | None = None, capacity: int = 1 << 12, bound: float = 1e-3, buckets: int = BUCKETS, save: bool = False) -> DataFrame:
+    """(id, ord, key, state, bucket, blob, bound) as the chains answer, written once; with ``save`` also the layers of every chain."""
+    if history is not None:
+        kept = history.agg(F.max("buckets")).first()[0]  # one number
+        buckets = kept or buckets
+    state = F.when(F.col("key").isNull(), NO_KEY).otherwise(NEW).cast("int")
+    rows = df.select(row_id.cast("long").alias("id"), key.alias("key"))
+    if not isinstance(rows.schema["key"].dataType, T.StringType):
+        rows = rows.select("id", F.col("key").cast("long").alias("key"))
+    kind = rows.schema["key"].dataType.simpleString()
+    hashed = F.col("key") if kind == "bigint" else F.xxhash64("key")
+    rows = rows.select("id", F.coalesce("id", F.lit(int(LAST))).alias("ord"), "key", hashed.alias("hash"), state.alias("state"))
+    marked = rows.mapInArrow(_mark_repeats(CHUNK_ROWS), f"id long, ord long, key {kind}, hash long, state int, spread long")
+    bucket = F.pmod(F.xxhash64("spread"), F.lit(buckets)).cast("int").alias("bucket")
+    every = marked.select("id", "ord", "key", "hash", "state", bucket, F.lit(None).cast("binary").alias("blob"))
+    none = lambda t: F.lit(None).cast(t)
+    if base is not None:
+        known = base.select(base_key.cast(kind).alias("key")).where(F.col("key").isNotNull()).distinct().withColumn("hash", hashed).withColumn("spread", F.col("hash"))
+        every = every.unionByName(known.select(none("long").alias("id"), F.lit(KNOWN).cast("long").alias("ord"), "key", "hash", F.lit(BASE).cast("int").alias("state"), bucket, none("binary").alias("blob")))
+    if history is not None:
+        layer = history.select(none("long").alias("id"), (F.lit(FIRST_LAYER) + F.col("layer")).alias("ord"), none(kind).alias("key"), none("long").alias("hash"), F.lit(LAYER).cast("int").alias("state"), "bucket", "blob")
+        every = every.unionByName(layer)
+    own = every.repartition("bucket").sortWithinPartitions("bucket", "ord", "hash")
+    return materialise(own.mapInArrow(_answer(capacity, bound, save), f"id long, ord long, key {kind}, state int, bucket int, blob binary, bound double"))
+
+
+def chain_of(answers: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """(buckets, bucket, layer, blob): the chains of a run of ``answered`` with ``save``, to be written and given on as ``history``."""
+    return answers.where(F.col("state") == LAYER).select(F.lit(buckets).alias("buckets"), "bucket", (F.col("ord") - F.lit(FIRST_LAYER)).cast("int").alias("layer"), "blob")
+
+
+def confirmed(answers: DataFrame) -> DataFrame:
+    """(id, key, said_seen, seen, bound) of every row: the chain's answer, and the same less what the check found wrong."""
+    fresh = answers.where(F.col("state").isin(NEW, BASE)).select(F.col("key").alias("fresh"), F.col("ord").alias("since"))
+    maybe = answers.where(F.col("state") == MAYBE)
+    first = maybe.groupBy("key").agg(F.min("ord").alias("first"))
+    # the first row of a key that was called seen, with no earlier row of that key
+    earlier = first.join(fresh, (F.col("key") == F.col("fresh")) & (F.col("since") < F.col("first")), "left_anti")
+    wrong = small(materialise(earlier.select(F.col("key").alias("wrong_key"), F.col("first").alias("wrong_ord"))))
+    hit = maybe.join(wrong, (F.col("key") == F.col("wrong_key")) & (F.col("ord") == F.col("wrong_ord")), "left")
+    rest = answers.where(F.col("state").isin(NEW, REPEAT, NO_KEY))
+    again = F.col("state") == REPEAT
+    return rest.select("id", "key", again.alias("said_seen"), again.alias("seen"), "bound").unionByName(hit.select("id", "key", F.lit(True).alias("said_seen"), F.col("wrong_key").isNull().alias("seen"), "bound"))
+
+
+def seen_before(df: DataFrame, row_id: Column, key: Column, base: DataFrame | None = None, base_key: Column | None = None, history: DataFrame | None = None, capacity: int = 1 << 12, bound: float = 1e-3, buckets: int = BUCKETS) -> DataFrame:
     """(id, key, said_seen, seen, bound) of every row.
 
-    ``key`` and ``row_id`` are bigint; ``base`` holds keys known before the
-    first row. ``said_seen`` is the chain's answer, ``seen`` the checked one,
-    ``bound`` the chain's error bound at the time.
+    ``base`` holds keys known before the first row, ``history`` a stored chain.
+    ``said_seen`` is the chain's answer, ``seen`` the same without the wrong
+    answers that the check found, ``bound`` the chain's error bound at the
+    time. Keys known by ``history`` alone cannot be confirmed: take ``said_seen``.
     """
-    state = F.when(F.col("key").isNull(), NO_KEY).otherwise(NEW).cast("int")
-    rows = df.select(row_id.cast("long").alias("id"), key.cast("long").alias("key"))
-    rows = rows.select("id", F.coalesce("id", F.lit(int(LAST))).alias("ord"), "key", state.alias("state"))
-    kind = "id long, ord long, key long, state int, spread long"
-    marked = rows.mapInArrow(_mark_repeats, kind)
-    if base is not None:
-        known = base.select(base_key.cast("long").alias("key")).where(F.col("key").isNotNull()).distinct()
-        least = F.lit(-(2**63) + 1).cast("long")
-        marked = marked.unionByName(known.select(F.lit(None).cast("long").alias("id"), least.alias("ord"), "key", F.lit(BASE).cast("int").alias("state"), F.col("key").alias("spread")))
-    own = marked.repartition("spread").drop("spread").sortWithinPartitions("ord")
-    answered = own.mapInArrow(_answer(capacity, bound), "id long, ord long, key long, state int, bound double")
-    return answered.sortWithinPartitions("key", "ord").mapInArrow(_verify, "id long, key long, said_seen boolean, seen boolean, bound double")
+    return confirmed(answered(df, row_id, key, base, base_key, history, capacity, bound, buckets))
+
+
+def remember(df: DataFrame, key: Column, history: DataFrame | None = None, capacity: int = 1 << 12, bound: float = 1e-3, buckets: int = BUCKETS) -> DataFrame:
+    """A stored chain of the keys of a table, grown from ``history`` where given."""
+    a = answered(df, F.lit(0), key, history=history, capacity=capacity, bound=bound, buckets=buckets, save=True)
+    return chain_of(a, history.agg(F.max("buckets")).first()[0] or buckets if history is not None else buckets)
 
 
 def error_report(answers: DataFrame) -> DataFrame:

@@ -14,6 +14,11 @@ SQL = {
         with p as (select pair_id, {KEY_SQL} as km from idx_pairs),
         w as (select pair_id, km, row_number() over (partition by km order by pair_id) as rn from p where km is not null)
         select pair_id from w where rn > 1 or km in (select kmer from base_idx)""",
+    "p2_totals": f"""
+        with p as (select pair_id, {KEY_SQL} as km from idx_pairs),
+        w as (select km, row_number() over (partition by km order by pair_id) as rn from p),
+        c as (select count(*) as n_rows, count(*) filter (km is not null and (rn > 1 or km in (select kmer from base_idx))) as n_seen, count(km) as n_keyed from w)
+        select n_rows, n_seen, n_keyed - n_seen as n_new, true as within_bound from c""",
     "p3_found": f"""
         with p as (select {KEY_SQL} as km from idx_pairs)
         select km as kmer from p where km is not null group by km having count(*) * 1000 >= 5 * (select count(*) from idx_pairs)""",
