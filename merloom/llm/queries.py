@@ -86,6 +86,20 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.piece_texts(chunks, splitting.split_records(chunks))
 
 
+def p5_records(spark: SparkSession, d: str) -> DataFrame:
+    """Of every oversized record: its letters, forced cuts, whether all pieces keep the limit, and a hash of its pieces joined without their overlaps."""
+    chunks = table(spark, d, "read_chunks")
+    s = splitting.split_records(chunks)
+    text = splitting.piece_texts(chunks, s)
+    over = F.when(F.col("piece_no") == 0, 0).when(F.col("kind") == "protein", splitting.OVERLAP["protein"]).otherwise(splitting.OVERLAP["dna"])
+    parts = text.join(s.select("read_id", F.coalesce("mate", F.lit(-1)).alias("m"), "kind"), (F.coalesce(text["mate"], F.lit(-1)) == F.col("m")) & (text["read_id"] == s["read_id"]))
+    parts = parts.select(text["read_id"], "m", "piece_no", F.length("text").alias("size"), F.substring("text", over + 1, F.length("text")).alias("t"))
+    whole = parts.groupBy("read_id", "m").agg(F.array_sort(F.collect_list(F.struct("piece_no", "t"))).alias("ts"), F.max("size").alias("most"))
+    whole = whole.select("read_id", "m", F.md5(F.array_join(F.transform("ts", lambda x: x["t"]), "")).alias("joined"), (F.col("most") <= splitting.LIMIT).alias("within"))
+    got = s.select("read_id", F.coalesce("mate", F.lit(-1)).alias("m"), "n_letters", F.col("n_forced").cast("long").alias("n_forced"))
+    return got.join(whole, ["read_id", "m"]).withColumnRenamed("m", "mate")
+
+
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return packing.pack(docs, F.col("doc_id"), token_count(F.col("text")))
@@ -151,5 +165,5 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_error_rate, p2_totals, p3_found, p3_counts, p4_found, p4_distinct_counts, p5_found, p5_pieces, p6_found, p6_containers, p6_fill, p7_found, p7_mix, p7_report, p8_found, p8_documents, p8_segments)
+    for f in (p2_found, p2_error_rate, p2_totals, p3_found, p3_counts, p4_found, p4_distinct_counts, p5_found, p5_pieces, p5_records, p6_found, p6_containers, p6_fill, p7_found, p7_mix, p7_report, p8_found, p8_documents, p8_segments)
 }

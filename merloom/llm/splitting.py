@@ -4,14 +4,16 @@ A record is the chunks of one (read_id, mate) in the order of chunk_no. Its
 letters are all characters but line breaks, tabs and blanks; positions count
 letters. Every chunk is first reduced to its letter count and the places of
 its boundaries, so a shuffle carries positions, never text, and a hot chunk
-(delivered many times) is reduced to one before it is gathered.
+(delivered many times) is reduced to one before records are put together.
+Chunks then stream through a task in the order of their record; what is held
+of a record are the offsets of its boundaries as numbers (8 bytes each).
 
 Cuts are chosen by dynamic programming over boundary positions: least number
-of forced cuts, then least size imbalance, subject to the length limit. The first piece holds at most ``limit`` letters;
-every other piece begins ``overlap`` letters before the cut that ends the
-piece before it, so consecutive cuts are at most ``limit - overlap`` apart. If
-no all-natural cutting exists, evenly spaced forced positions are added in the
-gaps that are too wide.
+of forced cuts, then least size imbalance, subject to the length limit. The
+first piece holds at most ``limit`` letters; every other piece begins
+``overlap`` letters before the cut that ends the piece before it, so
+consecutive cuts are at most ``limit - overlap`` apart. A record is ``forced``
+if the program had to choose a cut that is no boundary.
 
 Cases: null text counts as empty; chunks delivered twice count once (of
 differing copies the one read last, then the greater text); null chunk
@@ -31,8 +33,6 @@ from pyspark.sql import functions as F
 
 LIMIT = 2000
 OVERLAP = {"dna": 35, "protein": 11}
-#: cost of a cut; size imbalance of a piece is at most 1
-PENALTY = {"natural": 0.0, "forced": 1e6}
 MIN_RUN = 5
 _BLANK = re.compile(r"[\r\n\t ]+")
 _RUN = re.compile(r"[Nn]+")
@@ -75,84 +75,88 @@ def _features(text: Column, kind: Column) -> Column:
     return features(text, kind)
 
 
-def record_boundaries(chunks: list[dict], kind: str) -> tuple[int, np.ndarray]:
+class Places:
+    """Boundaries of one record, gathered chunk by chunk as letter offsets."""
+
+    def __init__(self):
+        self.total, self.at, self.starts, self.ends = 0, [], [], []
+
+    def add(self, n: int, brk: np.ndarray, run_start: np.ndarray, run_end: np.ndarray, stops: np.ndarray) -> None:
+        for x in (brk, stops):
+            if len(x):
+                self.at.append(np.asarray(x, np.int64) + self.total)
+        if len(run_start):
+            self.starts.append(np.asarray(run_start, np.int64) + self.total)
+            self.ends.append(np.asarray(run_end, np.int64) + self.total)
+        self.total += n
+
+    def inner(self) -> np.ndarray:
+        at = list(self.at)
+        if self.starts:
+            s, e = np.concatenate(self.starts), np.concatenate(self.ends)
+            apart = s[1:] != e[:-1]  # a run may go on in the next chunk
+            s, e = s[np.r_[True, apart]], e[np.r_[apart, True]]
+            long = e - s >= MIN_RUN
+            at += [s[long], e[long]]
+        p = np.unique(np.concatenate(at)) if at else np.zeros(0, np.int64)
+        return p[(p > 0) & (p < self.total)]
+
+
+def record_boundaries(chunks: list[dict], kind: str) -> tuple[int, np.ndarray]:  # noqa: ARG001
     """Letters of a record and its sorted inner boundaries, from chunk features in order."""
-    base, places, runs = 0, [], []
+    out = Places()
     for c in chunks:
-        f = c["f"]
-        places.extend(base + x for x in f["brk"])
-        places.extend(base + x for x in f["stops"])
-        for s, e in zip(f["run_start"], f["run_end"]):
-            if runs and runs[-1][1] == base + s:
-                runs[-1][1] = base + e
-            else:
-                runs.append([base + s, base + e])
-        base += f["n"]
-    for s, e in runs:
-        if e - s >= MIN_RUN:
-            places += [s, e]
-    p = np.unique(np.array(places, np.int64))
-    return base, p[(p > 0) & (p < base)]
-
-
-def _reachable(points: np.ndarray, total: int, limit: int, span: int) -> bool:
-    """Whether cuts at the points alone keep all pieces within the limit."""
-    p = np.concatenate([points, [total]])
-    if p[0] > limit:
-        return False
-    # the first cut may lie at most `limit`, all later gaps at most `span`; the
-    # farthest first cut leaves the least to cover
-    first = int(p[p <= limit][-1])
-    rest = np.concatenate([[first], p[p > first]])
-    return bool((np.diff(rest) <= span).all())
+        out.add(*(c["f"][k] for k in ("n", "brk", "run_start", "run_end", "stops")))
+    return out.total, out.inner()
 
 
 def best_cuts(total: int, natural: np.ndarray, limit: int, overlap: int) -> tuple[list[int], bool]:
-    """Cut positions and whether all are natural."""
+    """Cut positions and whether all are natural: least forced cuts, and of these cuttings the least imbalance.
+
+    The program goes over the natural boundaries. From one to a later one a
+    hop takes as many forced cuts as its width asks for; evenly spaced they
+    are the least unbalanced of all places they may have, so every position is
+    offered though none is listed. A hop over a boundary never needs fewer
+    forced cuts than one that stops there: the forced cuts of the gaps between
+    neighbours add up to the least possible, and a hop is open if it asks for
+    no more than the gaps it covers. Less the letters that forced cuts cover, open
+    hops are those of at most one span, so the program looks back one span.
+    """
     if overlap >= limit:
         raise ValueError("the overlap must be less than the limit")
     if total <= limit:
         return [], True
     span = limit - overlap
-    natural = natural[natural >= overlap]  # the next piece begins `overlap` letters before its cut
-    ok = _reachable(natural, total, limit, span)
-    points, forced = natural, np.zeros(len(natural), bool)
-    if not ok:
-        edges = np.concatenate([[0], natural, [total]])
-        extra = []
-        for a, b in zip(edges[:-1], edges[1:]):
-            if b - a > (limit if a == 0 else span):
-                lead = overlap if a == 0 else 0  # the first piece has no overlap before it
-                n = -(-(b - a - lead) // span)
-                extra += [a + lead + (b - a - lead) * i // n for i in range(1, n)]
-        extra = np.array([x for x in extra if x >= overlap], np.int64)
-        points = np.concatenate([natural, extra])
-        forced = np.concatenate([forced, np.ones(len(extra), bool)])
-        order = np.argsort(points, kind="stable")
-        points, forced = points[order], forced[order]
-    pos = np.concatenate([[0], points, [total]])
-    pen = np.concatenate([[0.0], np.where(forced, PENALTY["forced"], PENALTY["natural"]), [0.0]])
+    natural = np.asarray(natural, np.int64)
+    natural = natural[(natural >= overlap) & (natural < total)]  # the next piece begins `overlap` letters before its cut
+    # the first piece repeats nothing: it is as if it began at `overlap` with the room of any other
+    pos = np.concatenate([[overlap], natural, [total]])
+    forced = np.concatenate([[0], np.cumsum(np.maximum(-(-np.diff(pos) // span) - 1, 0))])
+    slack = pos - forced * span
+    back_to = np.searchsorted(slack, slack - span)
     pieces = max(2, -(-(total - overlap) // span))
-    want = (total + (pieces - 1) * overlap) / pieces
-    cost, back = np.full(len(pos), np.inf), np.zeros(len(pos), np.int64)
-    cost[0] = 0.0
-    lo = np.searchsorted(pos, pos - span)
+    want = (total + (pieces - 1) * overlap) / pieces - overlap
+    cost, back = np.zeros(len(pos)), np.zeros(len(pos), np.int64)
     for j in range(1, len(pos)):
-        i = lo[j]
-        size = pos[j] - pos[i:j] + overlap
-        c = cost[i:j] + ((size - want) / limit) ** 2
-        if i == 0:
-            c[0] = ((pos[j] - want) / limit) ** 2
-        elif pos[j] <= limit:
-            c = np.concatenate([[((pos[j] - want) / limit) ** 2], c])
-        if len(c):
-            b = int(np.argmin(c))
-            cost[j] = c[b] + pen[j]
-            back[j] = 0 if (i > 0 and pos[j] <= limit and b == 0) else (b + i - (1 if i > 0 and pos[j] <= limit else 0))
-    cuts, j = [], len(pos) - 1
-    while back[j]:
-        j = int(back[j])
-        cuts.append(int(pos[j]))
+        i = min(int(back_to[j]), j - 1)
+        width = pos[j] - pos[i:j]
+        if forced[j] == forced[i]:
+            c = cost[i:j] + ((width - want) / limit) ** 2
+        else:
+            parts = forced[j] - forced[i:j] + 1
+            q, r = width // parts, width % parts
+            c = cost[i:j] + (r * (q + 1 - want) ** 2 + (parts - r) * (q - want) ** 2) / limit**2
+        b = int(np.argmin(c))
+        cost[j], back[j] = c[b], i + b
+    cuts, ok, j = [], True, len(pos) - 1
+    while j:
+        i = int(back[j])
+        n = int(forced[j] - forced[i])
+        ok = ok and n == 0
+        cuts += [int(pos[i] + (pos[j] - pos[i]) * t // (n + 1)) for t in range(n, 0, -1)]
+        if i:
+            cuts.append(int(pos[i]))
+        j = i
     return cuts[::-1], ok
 
 
@@ -162,27 +166,53 @@ def pieces_of(total: int, cuts: list[int], overlap: int) -> list[tuple[int, int]
 
 
 def _split(limit: int, overlaps: dict[str, int]):
+    """Chunks in order of (read_id, mate, chunk_no); a record is held as the offsets of its boundaries until its last chunk."""
+
+    def finish(key: tuple, numbers: list, sizes: list[int], kinds: set, places: Places) -> dict | None:
+        if places.total <= limit:
+            return None
+        kind = max(kinds) if kinds else "dna"
+        overlap = overlaps.get(kind, 0)
+        natural = places.inner()
+        cuts, ok = best_cuts(places.total, natural, limit, overlap)
+        pieces = pieces_of(places.total, cuts, overlap)
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        spans = []
+        for k, (s, e) in enumerate(pieces):
+            for i in range(max(0, int(np.searchsorted(starts, s, "right")) - 1), len(sizes)):
+                if starts[i] >= e:
+                    break
+                f, t = max(s, int(starts[i])) - int(starts[i]), min(e, int(starts[i + 1])) - int(starts[i])
+                if t > f:
+                    spans.append({"piece_no": k, "chunk_no": numbers[i], "from": f, "to": t})
+        n_forced = int((~np.isin(cuts, natural)).sum()) if not ok else 0
+        return {"read_id": key[0], "mate": key[1], "kind": kind, "n_letters": places.total, "cut": "natural" if ok else "forced", "n_forced": n_forced, "pieces": [{"piece_no": k, "start": s, "end": e} for k, (s, e) in enumerate(pieces)], "spans": spans}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, numbers, sizes, kinds, places, rows, held = None, [], [], set(), Places(), [], 0
         for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                kind = r["kind"] or "dna"
-                overlap = overlaps.get(kind, 0)
-                chunks = sorted(r["chunks"], key=lambda c: (c["chunk_no"] is not None, c["chunk_no"] or 0))
-                total, natural = record_boundaries(chunks, kind)
-                cuts, ok = best_cuts(total, natural, limit, overlap)
-                pieces = pieces_of(total, cuts, overlap)
-                starts = np.concatenate([[0], np.cumsum([c["f"]["n"] for c in chunks])])
-                spans = []
-                for k, (s, e) in enumerate(pieces):
-                    for i in range(max(0, int(np.searchsorted(starts, s, "right")) - 1), len(chunks)):
-                        if starts[i] >= e:
-                            break
-                        f, t = max(s, int(starts[i])) - int(starts[i]), min(e, int(starts[i + 1])) - int(starts[i])
-                        if t > f:
-                            spans.append({"piece_no": k, "chunk_no": chunks[i]["chunk_no"], "from": f, "to": t})
-                cut = "natural" if ok else "forced"
-                rows.append({"read_id": r["read_id"], "mate": r["mate"], "kind": kind, "n_letters": total, "cut": cut, "pieces": [{"piece_no": k, "start": s, "end": e} for k, (s, e) in enumerate(pieces)], "spans": spans})
+            n = b.column("n").to_numpy(zero_copy_only=False)
+            lists = []
+            for c in ("brk", "run_start", "run_end", "stops"):
+                col = b.column(c)
+                lists.append((col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False)))
+            for i, (r, m, no, kind) in enumerate(zip(*(b.column(c).to_pylist() for c in ("read_id", "mate", "chunk_no", "kind")))):
+                if key != (r, m):
+                    if key is not None and (row := finish(key, numbers, sizes, kinds, places)):
+                        rows.append(row)
+                        held += len(row["pieces"])
+                    if held > 4096:
+                        yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+                        rows, held = [], 0
+                    key, numbers, sizes, kinds, places = (r, m), [], [], set(), Places()
+                numbers.append(no)
+                sizes.append(int(n[i]))
+                if kind is not None:
+                    kinds.add(kind)
+                places.add(int(n[i]), *(v[o[i] : o[i + 1]] for o, v in lists))
+        if key is not None and (row := finish(key, numbers, sizes, kinds, places)):
+            rows.append(row)
+        if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
     return run
@@ -190,12 +220,12 @@ def _split(limit: int, overlaps: dict[str, int]):
 
 _ARROW = pa.schema(
     [
-        ("read_id", pa.int64()), ("mate", pa.int32()), ("kind", pa.string()), ("n_letters", pa.int64()), ("cut", pa.string()),
+        ("read_id", pa.int64()), ("mate", pa.int32()), ("kind", pa.string()), ("n_letters", pa.int64()), ("cut", pa.string()), ("n_forced", pa.int32()),
         ("pieces", pa.list_(pa.struct([("piece_no", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))),
         ("spans", pa.list_(pa.struct([("piece_no", pa.int32()), ("chunk_no", pa.int32()), ("from", pa.int32()), ("to", pa.int32())]))),
     ]
 )
-SPLIT_SCHEMA = "read_id long, mate int, kind string, n_letters long, cut string, pieces array<struct<piece_no int, start long, end long>>, spans array<struct<piece_no int, chunk_no int, `from` int, `to` int>>"
+SPLIT_SCHEMA = "read_id long, mate int, kind string, n_letters long, cut string, n_forced int, pieces array<struct<piece_no int, start long, end long>>, spans array<struct<piece_no int, chunk_no int, `from` int, `to` int>>"
 
 
 def _latest(chunks: DataFrame, what: Column) -> DataFrame:
@@ -207,10 +237,9 @@ def _latest(chunks: DataFrame, what: Column) -> DataFrame:
 def split_records(chunks: DataFrame, limit: int = LIMIT, overlaps: dict[str, int] | None = None) -> DataFrame:
     """One row for each record of more than ``limit`` letters: its pieces, how they were cut and the chunk spans they take."""
     one = _latest(chunks, F.struct(_features(F.col("seq"), F.col("kind")).alias("f"), F.col("kind")))
-    recs = one.groupBy("read_id", "mate").agg(
-        F.collect_list(F.struct("chunk_no", F.col("v.f").alias("f"))).alias("chunks"), F.max("v.kind").alias("kind"), F.sum("v.f.n").alias("n")
-    )
-    return recs.where(F.col("n") > limit).drop("n").mapInArrow(_split(limit, overlaps or OVERLAP), SPLIT_SCHEMA)
+    flat = one.select("read_id", "mate", "chunk_no", F.col("v.kind").alias("kind"), *[F.col(f"v.f.{c}").alias(c) for c in ("n", "brk", "run_start", "run_end", "stops")])
+    own = flat.repartition("read_id", "mate").sortWithinPartitions("read_id", "mate", "chunk_no")
+    return own.mapInArrow(_split(limit, overlaps or OVERLAP), SPLIT_SCHEMA)
 
 
 def piece_texts(chunks: DataFrame, splits: DataFrame) -> DataFrame:

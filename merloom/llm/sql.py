@@ -44,4 +44,26 @@ SQL = {
         g as (select e.read_id, pt - lag(pt) over (partition by e.read_id order by pt) as gap, ov from e join f using (read_id) where pt >= first_cut)
         select r.read_id, case when f.first_cut is null or exists (select 1 from g where g.read_id = r.read_id and g.gap > 2000 - g.ov) then 'forced' else 'natural' end as cut
         from r join f using (read_id)""",
+    "p5_records": r"""
+        with c0 as (select * from read_chunks qualify row_number() over (partition by read_id, mate, chunk_no order by read_at desc) = 1),
+        t as (select read_id, coalesce(mate, -1) as mate, max(coalesce(kind, 'dna')) as kind, string_agg(coalesce(seq, ''), '' order by chunk_no) as s from c0 group by all),
+        l as (select *, regexp_replace(s, '[\r\n\t ]', '', 'g') as x, case when kind = 'protein' then 11 else 35 end as ov from t),
+        r as (select * from l where length(x) > 2000),
+        a as (select read_id, mate, list_transform(regexp_split_to_array(s, '[\r\n]+'), lambda y: length(regexp_replace(y, '[\t ]', '', 'g'))) as w from r),
+        n as (select read_id, mate, list_transform(regexp_split_to_array(regexp_replace(x, '([Nn]{5,})', chr(1) || '\1' || chr(1), 'g'), chr(1)), lambda y: length(y)) as w from r where kind <> 'protein'),
+        p as (select read_id, mate, list_transform(string_split(replace(x, '*', '*' || chr(1)), chr(1)), lambda y: length(y)) as w from r where kind = 'protein'),
+        b as (select distinct read_id, mate, list_sum(w[1:i])::bigint as pt from (select *, unnest(range(1, len(w) + 1)) as i from (select * from a union all select * from n union all select * from p))),
+        -- the first piece has no overlap: as if it began at ov
+        e as (select read_id, mate, b.pt, r.ov from b join r using (read_id, mate) where b.pt >= r.ov and b.pt < length(r.x) union select read_id, mate, length(x), ov from r union select read_id, mate, ov, ov from r),
+        g as (select read_id, mate, ov, pt - lag(pt) over (partition by read_id, mate order by pt) as gap from e),
+        f as (select read_id, mate, sum(greatest(ceil(gap / (2000.0 - ov)) - 1, 0))::bigint as n_forced from g group by all)
+        select read_id, mate, length(x) as n_letters, n_forced, md5(x) as joined, true as within from r join f using (read_id, mate)""",
 }
+
+#: Characters that stand for the 4,096 tokens of a container: no text is near enough to the limit for the tokenizer to matter.
+_CHARS = 4 * 4096
+SQL["p6_found"] = f"select doc_id from documents where length(text) > {_CHARS}"
+SQL["p7_found"] = """
+        with d as (select lower(trim(source)) as src, coalesce(length(text), 0) as n from documents), t as (select sum(n) as total from d),
+        a as (select src, sum(n) as n from d where src is not null group by src)
+        select source from source_targets s, t left join a on a.src = lower(trim(s.source)) where coalesce(a.n, 0) * max_repeats < target_share * total"""
