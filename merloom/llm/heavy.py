@@ -10,6 +10,10 @@ time by level, so no task reads more than ``fan_in * m`` counters. With
 ``m > 1 / share`` every item holding ``share`` of the rows is among the at most
 ``m`` candidates; these (bounded by ``m``) are broadcast to count them exactly.
 
+Keys may be bigint or text: text is summarised by its 64-bit hash and counted
+exactly as text. If the greatest count an item outside the summary may have
+reaches the share, the query fails rather than miss an item.
+
 Cases: null keys are counted as rows but are no item; equal counts are ordered
 by key; an empty table gives no rows.
 """
@@ -22,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SCHEMA = "part long, key long, count long, err long, least long, n long"
 CHUNK_ROWS = 1 << 19
@@ -127,10 +132,15 @@ def frequent_items(df: DataFrame, key: Column, share_num: int, share_den: int, m
     """(key, rows, count, err, n): items held by at least share_num/share_den of all rows, counted exactly, beside their summary counts."""
     if m * share_num <= share_den:
         raise ValueError("m counters must be more than 1 / share")
-    s = summary(df, key, m, fan_in, levels)
-    likely = s.where(F.col("key").isNotNull() & (F.col("count") * share_den >= F.col("n") * share_num))
-    rows = df.select(key.cast("long").alias("row_key")).where(F.col("row_key").isNotNull())
+    rows = df.select(key.alias("key"))
+    text = isinstance(rows.schema["key"].dataType, T.StringType)
+    rows = rows.select(F.xxhash64("key").alias("code"), "key") if text else rows.select(F.col("key").cast("long").alias("code"), F.col("key").cast("long").alias("key"))
+    s = summary(rows, F.when(F.col("key").isNotNull(), F.col("code")), m, fan_in, levels)
+    # an item outside the summary occurs at most ``least`` times: the summary must have room for the share
+    lost = F.raise_error(F.lit("too few counters for the share: take a greater m")).cast("boolean")
+    kept = F.when(F.col("least") * share_den >= F.col("n") * share_num, lost).otherwise(F.col("count") * share_den >= F.col("n") * share_num)
+    likely = s.where(kept).where(F.col("key").isNotNull()).withColumnRenamed("key", "likely")
     # at most m rows of 40 bytes are broadcast
-    hit = rows.join(F.broadcast(likely), F.col("row_key") == F.col("key"))
+    hit = rows.where(F.col("key").isNotNull()).join(F.broadcast(likely), F.col("code") == F.col("likely"))
     exact = hit.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.max("count").alias("count"), F.max("err").alias("err"), F.max("n").alias("n"))
     return exact.where(F.col("rows") * share_den >= F.col("n") * share_num)

@@ -6,7 +6,8 @@ the patterns answer every combination of groups exactly (the error bound is
 0): the distinct identifiers of a union of groups are those whose pattern
 touches any of them, of an intersection those whose pattern touches all.
 Pattern totals of disjoint sets of identifiers add up, so partial results of
-hash ranges of identifiers are mergeable.
+hash ranges of identifiers are mergeable; sets of identifiers (``member_sets``)
+merge whatever they share, so a new day is added to what is stored.
 
 Skew: (identifier, cell) pairs are made distinct first, combined before the
 shuffle and spread over both columns; what is then gathered by identifier is at
@@ -41,13 +42,30 @@ def cell_shard(c: Column) -> Column:
     return c.bitwiseAND(F.lit((1 << SHARD_BITS) - 1)) - 2
 
 
-def patterns(df: DataFrame, ident: Column, cell: Column) -> DataFrame:
-    """(pattern array<bigint>, n): how many identifiers occur in exactly these cells."""
+def member_sets(df: DataFrame, ident: Column, cell: Column) -> DataFrame:
+    """(ident, pattern array<bigint>): each identifier with the sorted set of its cells; can be stored and merged."""
     pairs = df.select(ident.alias("ident"), cell.alias("cell")).where(F.col("ident").isNotNull() & F.col("cell").isNotNull()).distinct()
-    sets = pairs.groupBy("ident").agg(F.array_sort(F.collect_list("cell")).alias("pattern"))
+    return pairs.groupBy("ident").agg(F.array_sort(F.collect_list("cell")).alias("pattern"))
+
+
+def merge_sets(*parts: DataFrame) -> DataFrame:
+    """Sets of partial tables that may share identifiers and cells, as those of a new day and of all days before."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("ident").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("pattern")))).alias("pattern"))
+
+
+def patterns_of(sets: DataFrame) -> DataFrame:
+    """(pattern, n): identifiers counted by their set."""
     return sets.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
 
 
+def patterns(df: DataFrame, ident: Column, cell: Column) -> DataFrame:
+    """(pattern array<bigint>, n): how many identifiers occur in exactly these cells."""
+    return patterns_of(member_sets(df, ident, cell))
+
+
 def merge_patterns(*parts: DataFrame) -> DataFrame:
     """Totals of disjoint sets of identifiers."""
     out = parts[0]

@@ -8,15 +8,18 @@ ascending order of key, and the prefix sum of their tokens is cut at the
 budget.
 
 Skew: the prefix sum of a source is never computed in one task. Keys fall
-into ``buckets`` ranges, bucket totals (sources x buckets rows) give every
-bucket its offset, and rows are summed within (source, bucket).
+into order-keeping buckets, ``buckets`` for each power of two, so weights of
+any scale spread alike; bucket totals give every bucket its offset, and rows
+are summed within (source, bucket).
 
 Names of sources are equal if they differ only in case and outer blanks.
 
 Cases: documents with a null or unlisted source count in the total only;
 documents of 0 tokens are used with the complete epochs and cost nothing; a
 source without documents falls short; repeated rows are documents of their
-own, ordered by id; empty tables give no rows, or a report of shortfalls.
+own, ordered by id; a document whose weight is null, zero, negative or not a
+number comes after all others of its source, in the order of its hash; empty
+tables give no rows, or a report of shortfalls.
 """
 
 from __future__ import annotations
@@ -26,7 +29,8 @@ from pyspark.sql import functions as F
 
 from merloom.session import materialise, small
 
-BUCKETS = 4096
+BUCKETS = 256
+TAIL = 1 << 30  # buckets of documents without a weight
 
 
 def source_name(c: Column) -> Column:
@@ -69,8 +73,12 @@ def budgets(docs: DataFrame, targets: DataFrame, total: int | None = None) -> Da
 def mix(docs: DataFrame, plan: DataFrame, seed: int = 1, buckets: int = BUCKETS) -> DataFrame:
     """(source, id, tokens, uses) of every document used at least once. ``docs`` from slim(), ``plan`` from budgets()."""
     rows = docs.join(small(plan.select("source", "key", "epochs", "rest")), F.col("src") == F.col("key"))
-    k = -F.log(_uniform(F.col("id"), seed)) / F.col("weight")
-    rows = rows.withColumn("k", k).withColumn("bucket", F.floor((1.0 - F.exp(-F.col("k"))) * buckets).cast("int"))
+    u = _uniform(F.col("id"), seed)
+    able = F.coalesce((F.col("weight") > 0) & ~F.isnan("weight"), F.lit(False))
+    k = F.when(able, -F.log(u) / F.col("weight")).otherwise(1.0 - u)
+    place = F.floor(F.log2(F.greatest(F.least("k", F.lit(1e300)), F.lit(1e-300))) * buckets)
+    bucket = F.when(F.col("able"), place).otherwise(TAIL + F.floor(F.col("k") * (16 * buckets))).cast("int")
+    rows = rows.withColumn("able", able).withColumn("k", k).withColumn("bucket", bucket)
     sums = rows.groupBy("key", "bucket").agg(F.sum("tokens").alias("w"))
     before = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offs = sums.select(F.col("key").alias("ok"), F.col("bucket").alias("ob"), F.coalesce(F.sum("w").over(before), F.lit(0)).alias("offset"))

@@ -6,7 +6,10 @@ multiset of remaining lengths, held as one big integer whose bit s says that
 sum s is reachable, finds the subset that fills the rest closest to capacity,
 and the counts of each length are traced back. Containers of a window that
 stay under ``keep_fill`` are dissolved and packed again together with those of
-other windows, so poor containers are few however many windows there are.
+the other windows of a group of ``merge`` windows, so poor containers are few
+however many windows there are. Windows are numbered over all tasks, and both
+passes have tasks in proportion to the items, whatever the shuffle setting.
+The first pass is written once; only rows of dissolved containers move again.
 
 An item is split only if it exceeds the capacity: full containers of its own,
 and the remainder is packed as an item.
@@ -22,13 +25,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from merloom.session import materialise
+
 CAPACITY = 4096
 WINDOW = 4096
-SCHEMA = "id long, n_tokens long, piece_no int, size long, container long, grp long"
-_ARROW = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("piece_no", pa.int32()), ("size", pa.int64()), ("container", pa.int64()), ("grp", pa.int64())])
+SCHEMA = "id long, n_tokens long, piece_no int, size long, container long, part int, win int"
+_ARROW = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("piece_no", pa.int32()), ("size", pa.int64()), ("container", pa.int64()), ("part", pa.int32()), ("win", pa.int32())])
+#: windows that one task packs
+TASK_WINDOWS = 8
 
 
 def fill_one(lengths: list[int], counts: dict[int, int], room: int) -> dict[int, int]:
@@ -96,7 +103,7 @@ def _explode(capacity: int, ids: np.ndarray, tokens: np.ndarray) -> tuple[np.nda
     return ids[at], tokens[at], piece.astype(np.int32), size
 
 
-def _pack(capacity: int, window: int, keep_fill: float, merge: int):
+def _pack(capacity: int, window: int, keep_fill: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -113,9 +120,9 @@ def _pack(capacity: int, window: int, keep_fill: float, merge: int):
                 fill = np.bincount(box[real], weights=size[real])
                 poor = fill < keep_fill * capacity
                 box[real] = np.where(poor[box[real]], -2, box[real] + (part << 44) + (no << 24))
-            grp = np.full(len(ids), part // merge)
+            own = [pa.array(np.full(len(ids), v, np.int32)) for v in (part, no)]
             no += 1
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(tokens), pa.array(piece), pa.array(size), pa.array(box), pa.array(grp)], schema=_ARROW)
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(tokens), pa.array(piece), pa.array(size), pa.array(box), *own], schema=_ARROW)
 
         held, n = [], 0
         for b in batches:
@@ -134,50 +141,63 @@ def _pack(capacity: int, window: int, keep_fill: float, merge: int):
     return run
 
 
+AGAIN = "id long, n_tokens long, piece_no int, size long, container long"
+
+
 def _repack(capacity: int, window: int):
-    """Packs the rows of dissolved containers (container -2) again; all others pass."""
+    """Packs the rows of each group of windows again, in order of the group, by windows of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        grp, no, held, n = None, 0, [], 0
 
-        part, no = TaskContext.get().partitionId(), 0
+        def flush() -> pa.RecordBatch:
+            nonlocal no, held, n
+            t = pa.Table.from_batches(held).combine_chunks()
+            box = pack_window(t["size"].to_numpy(), capacity) + (1 << 62) + (int(grp) << 32) + (no << 20)
+            no, held, n = no + 1, [], 0
+            return t.select(["id", "n_tokens", "piece_no", "size"]).append_column("container", pa.array(box)).to_batches()[0]
 
-        def flush(t: pa.Table) -> pa.RecordBatch:
-            nonlocal no
-            t = t.sort_by([("id", "ascending"), ("piece_no", "ascending")]).combine_chunks()
-            box = pack_window(t["size"].to_numpy(), capacity) + (1 << 62) + (part << 44) + (no << 24)
-            no += 1
-            return t.set_column(4, "container", pa.array(box)).to_batches()[0]
-
-        held, n = [], 0
         for b in batches:
-            again = np.asarray(b.column("container").to_numpy(zero_copy_only=False) == -2)
-            if not again.all():
-                yield b.filter(pa.array(~again))
-            if again.any():
-                held.append(b.filter(pa.array(again)))
-                n += held[-1].num_rows
-            if n >= window:
-                yield flush(pa.Table.from_batches(held))
-                held, n = [], 0
+            g = b.column("grp").to_numpy(zero_copy_only=False)
+            cut = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist(), len(g)]
+            for lo, hi in zip(cut, cut[1:]):
+                if lo == hi:
+                    continue
+                if g[lo] != grp:
+                    if n:
+                        yield flush()
+                    grp, no = g[lo], 0
+                while lo < hi:
+                    k = min(window - n, hi - lo)
+                    held.append(b.slice(lo, k))
+                    n, lo = n + k, lo + k
+                    if n == window:
+                        yield flush()
         if n:
-            yield flush(pa.Table.from_batches(held))
+            yield flush()
 
     return run
 
 
 def pack(df: DataFrame, row_id: Column, tokens: Column, capacity: int = CAPACITY, window: int = WINDOW, keep_fill: float = 0.98, merge: int = 64) -> DataFrame:
     """(id, n_tokens, piece_no, size, container, oversized): every item and its container."""
+    tasks = max(1, -(-df.count() // (TASK_WINDOWS * window)))
     items = df.select(row_id.cast("long").alias("id"), F.coalesce(tokens, F.lit(0)).cast("long").alias("n_tokens"))
     items = items.select(F.coalesce("id", F.lit(-(2**63) + 1)).alias("id"), "n_tokens")
-    spread = items.repartition(F.xxhash64("id", "n_tokens")).sortWithinPartitions("id", "n_tokens")
-    first = spread.mapInArrow(_pack(capacity, window, keep_fill, merge), SCHEMA)
-    poor = F.col("container") == -2
+    spread = items.repartition(tasks).sortWithinPartitions("id", "n_tokens")
+    first = materialise(spread.mapInArrow(_pack(capacity, window, keep_fill), SCHEMA))
+    done, poor = first.where("container <> -2"), first.where("container = -2")
+    # windows are numbered over all tasks: one row a task
+    per = first.groupBy("part").agg((F.max("win") + 1).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = per.select(F.col("part").alias("p"), before.alias("base"))
+    grouped = poor.join(base, F.col("part") == F.col("p")).withColumn("grp", F.floor((F.col("base") + F.col("win")) / merge))
     # in a fixed order, so that a task that runs again packs alike
-    grouped = first.repartition(F.when(poor, F.col("grp")).otherwise(F.xxhash64("container", "id"))).sortWithinPartitions("grp", "id", "piece_no")
-    second = grouped.mapInArrow(_repack(capacity, window), SCHEMA)
+    again = grouped.repartition(max(1, -(-tasks * TASK_WINDOWS // merge)), "grp").sortWithinPartitions("grp", "id", "piece_no", "n_tokens")
+    second = again.select("id", "n_tokens", "piece_no", "size", "grp").mapInArrow(_repack(capacity, window), AGAIN)
+    every = done.select("id", "n_tokens", "piece_no", "size", "container").unionByName(second)
     box = F.when(F.col("container") >= 0, F.col("container"))
-    return second.select(F.when(F.col("id") != -(2**63) + 1, F.col("id")).alias("id"), "n_tokens", "piece_no", "size", box.alias("container"), (F.col("n_tokens") > capacity).alias("oversized"))
+    return every.select(F.when(F.col("id") != -(2**63) + 1, F.col("id")).alias("id"), "n_tokens", "piece_no", "size", box.alias("container"), (F.col("n_tokens") > capacity).alias("oversized"))
 
 
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

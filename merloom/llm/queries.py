@@ -9,7 +9,7 @@ from merloom.functions.codec import decode_kmer, encode_kmer, pair_key
 from merloom.llm import heavy, language, membership, mixing, packing, seen, splitting
 from merloom.llm.sql import SQL
 from merloom.llm.tokens import token_count
-from merloom.session import small, table
+from merloom.session import materialise, small, table
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -75,6 +75,17 @@ def p4_distinct_counts(spark: SparkSession, d: str) -> DataFrame:
     return _cube(spark, d)
 
 
+def p4_combinations(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct keys of the first three shards together (any), of the rows that each of them has (all), and the same once the shards come as partial sets merged one by one."""
+    df, cell = _cells(spark, d)
+    parts = [membership.member_sets(df.where(F.col("shard_id") == i), pair_key(), cell) for i in (1, 2, 3)]
+    pats = materialise(membership.patterns_of(membership.merge_sets(*parts)))
+    of = lambda i: F.exists("pattern", lambda c: membership.cell_shard(c) == i)
+    has = [of(i) for i in (1, 2, 3)]
+    n = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    return pats.agg(n(has[0] | has[1] | has[2]).alias("n_any"), n(has[0] & has[1] & has[2]).alias("n_all"), n(has[0] & ~has[1]).alias("n_first_not_second"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     single = table(spark, d, "read_chunks").where(F.col("mate").isNull())
     return splitting.split_records(single).select("read_id", "cut")
@@ -117,6 +128,25 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(_packed(spark, d))
 
 
+def p6_fill_by_letters(spark: SparkSession, d: str) -> DataFrame:
+    """The same packing with sizes in characters, which SQL can count: items, their total, the least containers for it, and what must not occur.
+
+    ``n_over`` containers hold more than their capacity, ``n_torn`` documents within the
+    capacity lie in more than one, ``n_wrong`` documents lack a part of their size;
+    ``full`` says that at most 1 % more containers (and one) are used than the least.
+    """
+    docs = table(spark, d, "documents")
+    room = 4 * packing.CAPACITY
+    got = materialise(packing.pack(docs, F.col("doc_id"), F.length("text").cast("long"), room))
+    per = got.groupBy("id").agg(F.max("n_tokens").alias("n"), F.sum("size").alias("s"), F.countDistinct("container").alias("boxes"))
+    bad = per.agg(F.count(F.lit(1)).alias("n_docs"), F.count_if((F.col("n") <= room) & (F.col("boxes") > 1)).alias("n_torn"), F.count_if(F.col("n") != F.col("s")).alias("n_wrong"))
+    box = got.where(F.col("container").isNotNull()).groupBy("container").agg(F.sum("size").alias("used"))
+    fill = box.agg(F.count(F.lit(1)).alias("c"), F.coalesce(F.sum("used"), F.lit(0)).alias("n_letters"), F.count_if(F.col("used") > room).alias("n_over"))
+    least = F.ceil(F.col("n_letters") / F.lit(room))
+    one = F.lit(1).alias("one")
+    return bad.select("*", one).join(fill.select("*", one), "one").select("n_docs", "n_letters", least.alias("least_containers"), "n_over", "n_torn", "n_wrong", (F.col("c") <= least * 1.01 + 1).alias("full"))
+
+
 def _mix_docs(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source", F.length("text").alias("chars"), token_count(F.col("text")).alias("n_tokens"))
     return mixing.slim(docs, F.col("doc_id"), F.col("source"), F.col("n_tokens"), mixing.quality_weight(F.col("chars"), F.col("n_tokens")))
@@ -165,5 +195,5 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_error_rate, p2_totals, p3_found, p3_counts, p4_found, p4_distinct_counts, p5_found, p5_pieces, p5_records, p6_found, p6_containers, p6_fill, p7_found, p7_mix, p7_report, p8_found, p8_documents, p8_segments)
+    for f in (p2_found, p2_error_rate, p2_totals, p3_found, p3_counts, p4_found, p4_distinct_counts, p4_combinations, p5_found, p5_pieces, p5_records, p6_found, p6_containers, p6_fill, p6_fill_by_letters, p7_found, p7_mix, p7_report, p8_found, p8_documents, p8_segments)
 }

