@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,21 +9,17 @@ from merloom.functions.codec import clean_dna
 from merloom.operators import identify, index, reads, windows
 from merloom.plans import common_sql as q
 from merloom.plans import identification as ident
-from merloom.session import shared_folder, table
+from merloom.session import new_path, table
 from merloom.sources import sequences, sinks, tables
 
 
-def _path(spark: SparkSession) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/merloom-{uuid.uuid4().hex}"
-
-
 def _dna(spark: SparkSession, d: str) -> DataFrame:
     return reads.assemble(table(spark, d, "read_chunks")).where("kind = 'dna' and seq_len > 0").withColumn("name", F.concat_ws("/", F.col("read_id").cast("string"), F.col("mate").cast("string")))
 
 
 def scan_fasta(spark: SparkSession, d: str) -> DataFrame:
     """Split scan of FASTA text, lines of 70 letters."""
-    p = _path(spark)
+    p = new_path(spark)
     lines = F.regexp_replace("seq", "(.{70})", "$1\n")
     sinks.write_fasta(_dna(spark, d).withColumn("seq", lines), p)
     return sequences.read_fasta(spark, p).select("name", "seq")
@@ -33,7 +27,7 @@ def scan_fasta(spark: SparkSession, d: str) -> DataFrame:
 
 def scan_fasta_numbered(spark: SparkSession, d: str) -> DataFrame:
     """Records of each file numbered densely; how many, the least and greatest number."""
-    p = _path(spark)
+    p = new_path(spark)
     sinks.write_fasta(_dna(spark, d), p)
     n = sequences.number_records(sequences.read_fasta(spark, p))
     per = n.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("read_no").alias("m"), F.min("read_no").alias("lo"), F.max("read_no").alias("hi"))
@@ -42,14 +36,14 @@ def scan_fasta_numbered(spark: SparkSession, d: str) -> DataFrame:
 
 def scan_fastq_gz(spark: SparkSession, d: str) -> DataFrame:
     """Gzip FASTQ through the data source."""
-    p = _path(spark)
+    p = new_path(spark)
     sinks.write_fastq(_dna(spark, d), p, qual=None, compression="gzip")
     return sequences.read_sequences(spark, p).select("name", "seq", F.length("qual").cast("long").alias("qual_len"))
 
 
 def scan_files(spark: SparkSession, d: str) -> DataFrame:
     """Bytes of the files of a folder."""
-    p = _path(spark)
+    p = new_path(spark)
     sinks.write_fasta(_dna(spark, d).coalesce(1), p)
     found = sequences.expand(p)
     return spark.createDataFrame([(len(found), any(z for _, z, _ in found), sum(n for _, _, n in found))], "n_files int, any_gzip boolean, n_bytes bigint")
@@ -57,7 +51,7 @@ def scan_files(spark: SparkSession, d: str) -> DataFrame:
 
 def scan_nodes_dump(spark: SparkSession, d: str) -> DataFrame:
     """A node dump, fields closed by tab, pipe, tab."""
-    p = _path(spark)
+    p = new_path(spark)
     t = table(spark, d, "tax_nodes").select(F.concat_ws("\t|\t", F.col("tax").cast("string"), F.col("parent").cast("string"), F.coalesce("rank_name", F.lit("")), F.lit("x")).alias("v"))
     sinks.write_lines(t, F.concat("v", F.lit("\t|")), p)
     return tables.read_nodes(spark, p)
@@ -65,7 +59,7 @@ def scan_nodes_dump(spark: SparkSession, d: str) -> DataFrame:
 
 def scan_names_dump(spark: SparkSession, d: str) -> DataFrame:
     """A name dump."""
-    p = _path(spark)
+    p = new_path(spark)
     t = table(spark, d, "tax_names").select(F.concat_ws("\t|\t", F.col("tax").cast("string"), "name", F.coalesce("unique_name", F.lit("")), "name_class").alias("v"))
     sinks.write_lines(t, F.concat("v", F.lit("\t|")), p)
     return tables.read_names(spark, p)
@@ -73,7 +67,7 @@ def scan_names_dump(spark: SparkSession, d: str) -> DataFrame:
 
 def scan_accession_map(spark: SparkSession, d: str) -> DataFrame:
     """Four columns, gzip, with a header."""
-    p = _path(spark)
+    p = new_path(spark)
     t = table(spark, d, "acc_map").select(F.concat_ws("\t", F.split("accession", "\\.").getItem(0), "accession", F.coalesce(F.col("tax").cast("string"), F.lit("")), F.lit("0")).alias("v"))
     head = spark.createDataFrame([("accession\taccession.version\ttaxid\tgi",)], "v string")
     sinks.write_lines(head.unionByName(t), F.col("v"), p, compression="gzip")
@@ -82,14 +76,14 @@ def scan_accession_map(spark: SparkSession, d: str) -> DataFrame:
 
 def scan_content_file(spark: SparkSession, d: str) -> DataFrame:
     """The content file written and read again."""
-    p = _path(spark)
+    p = new_path(spark)
     sinks.write_content(table(spark, d, "content_file").select("name", "tax", "sub_taxids", "accessions"), p)
     return tables.read_content(spark, p).select("name", F.col("tax").cast("long").alias("tax"), "sub_taxids", "accessions")
 
 
 def scan_frequency_file(spark: SparkSession, d: str) -> DataFrame:
     """The wide frequency file of the index."""
-    p = _path(spark)
+    p = new_path(spark)
     names = table(spark, d, "tax_names").where("name_class = 'scientific name'")
     sinks.write_frequencies(index.frequencies(ident._idx(spark, d)), names.limit(0), p)
     return tables.read_frequencies(spark, p)
@@ -97,14 +91,14 @@ def scan_frequency_file(spark: SparkSession, d: str) -> DataFrame:
 
 def scan_frequency_file_named(spark: SparkSession, d: str) -> DataFrame:
     """The wide frequency file of the index with the names of its taxa."""
-    p = _path(spark)
+    p = new_path(spark)
     sinks.write_frequencies(index.frequencies(ident._idx(spark, d)), ident._names(spark, d), p)
     return tables.read_frequencies(spark, p)
 
 
 def scan_index(spark: SparkSession, d: str) -> DataFrame:
     """The stored index, sorted by range, and the rows of a prefix range found through file statistics."""
-    p = _path(spark)
+    p = new_path(spark)
     index.store(ident._idx(spark, d), p)
     lo, hi = 11 << 55, 12 << 55  # k-mers that begin with K
     return spark.read.parquet(p).where((F.col("code") >= lo) & (F.col("code") < hi))
@@ -112,7 +106,7 @@ def scan_index(spark: SparkSession, d: str) -> DataFrame:
 
 def scan_index_whole(spark: SparkSession, d: str) -> DataFrame:
     """The stored index, read back whole."""
-    p = _path(spark)
+    p = new_path(spark)
     index.store(ident._idx(spark, d), p)
     return spark.read.parquet(p)
 
@@ -129,7 +123,7 @@ def custom_code_table(spark: SparkSession, d: str) -> DataFrame:
 
 def sink_translated(spark: SparkSession, d: str) -> DataFrame:
     """The first frames as FASTQ with best qualities, read again."""
-    p = _path(spark)
+    p = new_path(spark)
     x = _dna(spark, d).select("name", windows.in_one_frame(clean_dna(F.col("seq"))).alias("seq")).where("length(seq) > 0")
     sinks.write_fastq(x, p, qual=None)
     return sequences.read_sequences(spark, p).select("name", "seq", "qual")
@@ -137,7 +131,7 @@ def sink_translated(spark: SparkSession, d: str) -> DataFrame:
 
 def sink_json_array(spark: SparkSession, d: str) -> DataFrame:
     """K1: one JSON array, read again as a whole document."""
-    p = _path(spark)
+    p = new_path(spark)
     sinks.write_json_array(ident.report_json(spark, d), p, "read_id")
     rows = spark.read.text(p, wholetext=False).select(F.regexp_replace("value", "^(\\[ |, )", "").alias("value")).where("value not in (']', '[ ]')")
     j = rows.select(F.from_json("value", "struct<`Read number`: bigint, Length: bigint>").alias("j"))
@@ -148,7 +142,7 @@ def sink_profile_csv(spark: SparkSession, d: str) -> DataFrame:
     """K5: the profile file with its first row, read again."""
     from merloom.operators import profile
 
-    p = _path(spark)
+    p = new_path(spark)
     rel, total = ident._relative(spark, d), ident._total(spark, d)
     rows = profile.ranked(profile.wide(rel, ident.MIN_K, ident.MAX_K), ident.MIN_K, ident.MAX_K)
     sinks.write_profile(rows, profile.not_identified(rel, total), ident._names(spark, d), p, ident.MIN_K, ident.MAX_K)
@@ -163,7 +157,7 @@ def sink_filtered_fastq(spark: SparkSession, d: str) -> DataFrame:
     clean, dirty = identify.split_reads(_dna(spark, d), bad, ["read_id"])
     out = []
     for kind, part in (("clean", clean), ("contaminated", dirty)):
-        p = _path(spark)
+        p = new_path(spark)
         sinks.write_fastq(part, p, qual=None, compression="gzip")
         out.append(sequences.read_sequences(spark, p).agg(F.count(F.lit(1)).alias("n_records"), F.sum(F.length("seq")).alias("n_letters")).withColumn("part", F.lit(kind)))
     return out[0].unionByName(out[1])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -33,33 +35,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a temporary one only where it names none."""
-    sc = spark.sparkContext
-    set_already = sc.getCheckpointDir()
-    if set_already:
-        return set_already
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, named by ``spark.checkpoint.dir``.
+
+    A local session without one gets a temporary folder of its own; a cluster
+    must name one.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = os.path.join(tempfile.gettempdir(), "merloom-checkpoints")
-    sc.setCheckpointDir(folder)
-    return folder
+    if folder:
+        return folder
+    if not (spark.sparkContext.master or "").startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    global _own_folder
+    if _own_folder is None:
+        _own_folder = "file://" + tempfile.mkdtemp(prefix="merloom-")
+        atexit.register(shutil.rmtree, _own_folder[7:], ignore_errors=True)
+    return _own_folder
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A folder all executors can read: the cluster's checkpoint folder, else a local temporary one (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    return folder or "file://" + os.path.join(tempfile.gettempdir(), "merloom-checkpoints")
+_own_folder: str | None = None
+
+
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop file system, path object) of a path, local or remote."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = file_system(spark, path)
+    return fs.exists(p)
+
+
+_app_folders: dict[str, str] = {}
+
+
+def new_path(spark: SparkSession) -> str:
+    """A new folder name within a folder of this application, which goes when the application ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _app_folders:
+        folder = f"{shared_folder(spark).rstrip('/')}/merloom-{app}"
+        fs, p = file_system(spark, folder)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _app_folders[app] = folder
+    return f"{_app_folders[app]}/{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
-    Used where a small table derived from a costly pass is read more than
-    once; the written copy survives the loss of executors.
+    Used where a table derived from a costly pass is read more than once; the
+    written copy survives the loss of executors and goes when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/merloom-{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -69,8 +99,6 @@ _shipped: set[str] = set()
 
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once for each application."""
-    import shutil
-
     import merloom
 
     app = spark.sparkContext.applicationId

@@ -6,7 +6,6 @@ what is there now, writing results and checkpoints to the shared folder.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from merloom.session import shared_folder
+from merloom.session import new_path
 
 ASSEMBLED = "read_id long, mate int, name string, kind string, seq string, n_chunks int"
 _STATE = "chunks string"
@@ -74,7 +73,7 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
 def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there and give what it wrote."""
     spark = stream.sparkSession
-    base = f"{shared_folder(spark).rstrip('/')}/merloom-{uuid.uuid4().hex}"
+    base = new_path(spark)
     q = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/out")
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
@@ -83,7 +82,7 @@ def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
 def run_batches(stream: DataFrame, partial: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Partial results of every micro-batch, written under the number of the batch, so that a batch run again replaces its own."""
     spark = stream.sparkSession
-    base = f"{shared_folder(spark).rstrip('/')}/merloom-{uuid.uuid4().hex}"
+    base = new_path(spark)
 
     def one(df: DataFrame, batch: int) -> None:
         partial(df).write.mode("overwrite").parquet(f"{base}/out/batch={batch}")

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from merloom import session
@@ -9,19 +10,47 @@ def plan_of(df):
 
 
 def test_broadcasts_are_measured(spark):
-    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    old = {n: spark.conf.get(n, None) for n in names}
     try:
+        spark.conf.set(names[0], "10485760b")
+        spark.conf.unset(names[1])
         session.measured_broadcasts(spark)
         session.measured_broadcasts(spark)
         assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "-1"
-        assert spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") == old
+        assert spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") == "10485760b"
         # a generator that makes a thousand rows of one is not broadcast on its estimate
         many = spark.range(5).select(F.explode(F.sequence(F.lit(1), F.lit(1000))).alias("k"))
         assert "SortMergeJoin" in plan_of(spark.range(10**6).withColumnRenamed("id", "k").join(many, "k"))
         assert "BroadcastHashJoin" in plan_of(spark.range(10**6).join(session.small(spark.range(3)), "id"))
         assert "BroadcastHashJoin" not in plan_of(spark.range(10**6).join(session.small(spark.range(30), rows=10), "id"))
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        for n, v in old.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
+def test_the_shared_folder(spark, monkeypatch, tmp_path):
+    import os
+
+    assert session.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+    path = session.new_path(spark)
+    assert path.startswith(session.shared_folder(spark)) and not session.exists(spark, path)
+    spark.range(3).write.parquet(path)
+    assert session.exists(spark, path + "/_SUCCESS")
+
+    class Unset:
+        def __init__(self, master):
+            self.conf = self
+            self.sparkContext = type("S", (), {"master": master})
+
+        def get(self, key, default=None):
+            return default
+
+    own = session.shared_folder(Unset("local[4]"))
+    assert own == session.shared_folder(Unset("local[2]")) and os.path.isdir(own[7:])
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1000]"):
+        with pytest.raises(ValueError):
+            session.shared_folder(Unset(master))
 
 
 def test_written_tables_are_read_back(spark):
