@@ -164,6 +164,21 @@ class ByteGRU:
             out[part] = self._pooled(x, steps)
         return out
 
+    def block_logits(self, texts: list[bytes], batch: int = 512) -> tuple[np.ndarray, np.ndarray]:
+        """Logits of every step of every text, one after the other, and the steps of each: they hold for the BLOCK positions of the step."""
+        steps = np.array([max(1, -(-len(t) // BLOCK)) for t in texts], np.int64)
+        first = np.cumsum(steps) - steps
+        out = np.empty((int(steps.sum()), len(self.labels)), np.float32)
+        order = np.argsort(steps, kind="stable")
+        for at in range(0, len(order), batch):
+            part = order[at : at + batch]
+            x, own = to_blocks([texts[i] for i in part])
+            hid = self._hidden(x, own).transpose(1, 0, 2)
+            live = np.arange(hid.shape[1])[None, :] < own[:, None]
+            to = np.repeat(first[part] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
+            out[to] = hid[live] @ self.p["V"] + self.p["d"]
+        return out, steps
+
     def position_logits(self, text: bytes) -> np.ndarray:
         """Logits of every position (byte) of one text."""
         x, steps = to_blocks([text])
@@ -178,30 +193,31 @@ class ByteGRU:
             self._pairs = [(table[o][:, None, :] + table[o + 1][None, :, :]).reshape(65536, -1) + shared for o in range(0, BLOCK, 2)]
             self._pairs[0] += self.p["b"].reshape(-1)
         xt = np.ascontiguousarray(x.transpose(1, 0, 2)).astype(np.int64)  # steps first
-        xi = np.take(self._pairs[0], xt[:, :, 0] * 256 + xt[:, :, 1], axis=0)
+        xi = np.take(self._pairs[0], xt[:, :, 0] * 256 + xt[:, :, 1], axis=0, mode="clip")
         for o in range(2, BLOCK, 2):
-            xi += np.take(self._pairs[o // 2], xt[:, :, o] * 256 + xt[:, :, o + 1], axis=0)
+            xi += np.take(self._pairs[o // 2], xt[:, :, o] * 256 + xt[:, :, o + 1], axis=0, mode="clip")
         return xi
 
     def _run(self, xi: np.ndarray, steps: np.ndarray, d: int, sink) -> None:
         """Texts are in order of length: at step t only those from first[t] on are live."""
         h, n = self.h, len(steps)
-        u, c = self.p["U"][d], self.p["c"][d]
+        lo = 3 * h * d
+        # whole arrays for the gates and for the state: slices of columns are slow to work on
+        u_zr, u_g = (np.ascontiguousarray(x) for x in (self.p["U"][d][:, : 2 * h], self.p["U"][d][:, 2 * h :]))
+        c = self.p["c"][d]
         first = np.searchsorted(steps, np.arange(len(xi)), "right")
         s = np.zeros((n, h), np.float32)
-        lo = 3 * h * d
         for t in range(len(xi)) if d == 0 else range(len(xi) - 1, -1, -1):
             f = first[t]
             sv = s[f:]
-            a = sv @ u
-            row = xi[t, f:, lo : lo + 3 * h]
-            zr = a[:, : 2 * h]
-            zr += row[:, : 2 * h]
+            row = xi[t, f:]
+            zr = sv @ u_zr
+            zr += row[:, lo : lo + 2 * h]
             _sigmoid(zr)
-            g = a[:, 2 * h :]
+            g = sv @ u_g
             g += c
             g *= zr[:, h:]
-            g += row[:, 2 * h :]
+            g += row[:, lo + 2 * h : lo + 3 * h]
             np.tanh(g, out=g)
             sv -= g
             sv *= zr[:, :h]
@@ -223,7 +239,7 @@ class ByteGRU:
 
     def _hidden(self, x: np.ndarray, steps: np.ndarray) -> np.ndarray:
         xi = self._inputs(x)
-        out = np.zeros((len(xi), len(steps), 2 * self.h), np.float32)
+        out = np.zeros((len(xi), len(steps), 2 * self.h), np.float32)  # steps first
         for d in range(2):
 
             def put(t, f, s, d=d):

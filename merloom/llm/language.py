@@ -2,45 +2,58 @@
 
 A text is lower-cased and composed (NFC), interruptions in brackets or between
 dashes are set aside, and the rest is cut into sentences. The network labels
-the positions of each sentence; the pooled log-probabilities of a document's
-sentences go through a Viterbi pass with a cost for changing the language.
-Runs of ``MIN_RUN`` or more sentences are segments; a language without such a
-run is not held by the text, unless no language has one: then the language of
-the greatest pooled probability is that of the whole text.
-
-Training: the labelled samples, then also at most ``PER_LANGUAGE`` short
-documents for each delivered language, last without those whose label the
-network still rejects. The model (a few hundred kB) is broadcast.
-
-Cases: null or blank text holds no language and gives no row; a text of
-interruptions only is labelled by them; ties go to the label that sorts first;
-very long sentences are read in windows of ``MAX_BYTES`` and pooled.
+every position (a step of ``BLOCK`` bytes at a time) from its neighbourhood on
+both sides. Runs of positions with one label are the units of a Viterbi pass
+over the document, with a cost for changing the language that is lower between
+sentences than inside one; what it leaves are the labels of the positions, and
+their runs are the segments, which may begin inside a sentence. A sentence is
+in the language of most of its positions. A text holds a language that
+``MIN_RUN`` or more sentences in a row are in, or, where there is none such, the language
+of most positions.
+
+Training: the labelled samples (at most ``PER_LANGUAGE_SAMPLES`` a language), then
+also at most ``PER_LANGUAGE`` short documents for each delivered language, last
+without those whose label the network still rejects. The trained network (a
+few hundred kB) is stored in the shared folder under a hash of all it was
+trained with, so queries over the same tables train once; it is broadcast.
+
+Cases: null or blank text holds no language and gives no row, nor does a text
+without any letter; a text of interruptions only is labelled by them; ties go
+to the label that sorts first; very long sentences are read in windows of
+``MAX_BYTES``.
 """
 
 from __future__ import annotations
 
+import hashlib
+import io
 import re
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from merloom.llm.gru import BLOCK, ByteGRU, pairs_of, to_blocks
-from merloom.session import small
+from merloom.session import exists, shared_folder, small
 
+VERSION = 2  # of the way of training: part of the name of a stored network
 MIN_RUN = 3
 PER_LANGUAGE = 300
+PER_LANGUAGE_SAMPLES = 2000
 MAX_BYTES = 512
-SWITCH = 2.5  # cost of a change of language between sentences, in nats; two changes cost less than one clear sentence is worth
+SWITCH = 2.5  # cost of a change of language between sentences, in nats
+INSIDE = 8.0  # and inside a sentence
+FLOOR = 4.0  # a step counts at most this much against a language
 # Fixed value: abbreviations before names that end no sentence.
 _TITLES = frozenset("dr prof mr mrs ms mme mlle sr sra srta dra hr fr dhr mevr drs".split())
 _SHORT_DOT = "|".join([r"(?<=\b\w)\.", *(rf"(?<=\b{t})\." for t in sorted(_TITLES))])  # of an initial or a title
 _ASIDE = re.compile(rf"\([^()\n]*\)|\[[^\[\]\n]*\]|(?<!\S)[–—](?=\s)(?:[^–—.!?\n]|{_SHORT_DOT}|[.!?]+(?=\s*[–—]))*(?<=\s)[–—](?!\S)")
 _END = re.compile(r"[.!?…]+[\"'»”’]*(?=\s|$)")
 _LAST = re.compile(r"[^\W\d_]+$")
+_LETTER = re.compile(r"[^\W\d_]")
 
 
 def plain(text: str) -> str:
@@ -73,7 +86,7 @@ def sentences(text: str) -> list[tuple[int, int]]:
             continue
         s += body.index(lean[0])
         e = s + len(lean)
-        if e - s > 12 or any(c.isalpha() for c in masked[s:e]):
+        if _LETTER.search(masked, s, e):  # what has no letter is in no language
             out.append((s, e))
     return out
 
@@ -111,7 +124,7 @@ def _damage(t: str, r: np.random.Generator) -> str:
 def _batches(texts: list[str], y: np.ndarray, epochs: int, size: int, r: np.random.Generator):
     total, done = epochs * (-(-len(texts) // size)), 0
     for _ in range(epochs):
-        noisy = [_bytes(_damage(t, r))[:MAX_BYTES] for t in texts]
+        noisy = [_bytes(_damage(t, r)) for t in texts]
         order = sorted(range(len(texts)), key=lambda i: (len(noisy[i]) // 16, r.random()))
         chunks = [order[i : i + size] for i in range(0, len(order), size)]
         for k in r.permutation(len(chunks)):
@@ -130,8 +143,9 @@ def train(samples: list[tuple[str, str]], extra: list[tuple[str, str]] = (), hid
         for g, t in rows:
             p = plain(t)
             for s, e in sentences(p):
-                texts.append(p[s:e])
-                y.append(labels.index(g))
+                for at in range(s, e, MAX_BYTES):
+                    texts.append(p[at : min(e, at + MAX_BYTES)])
+                    y.append(labels.index(g))
         return texts, np.array(y, np.int64)
 
     texts, y = cut(samples)
@@ -147,18 +161,17 @@ def train(samples: list[tuple[str, str]], extra: list[tuple[str, str]] = (), hid
     return net
 
 
-def _viterbi(score: np.ndarray, switch: float) -> np.ndarray:
-    """Best path of labels, one for each sentence."""
+def _viterbi(score: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Best path of labels, one for each unit; ``cost[i]`` is that of a change before unit i."""
     n, k = score.shape
-    if n == 1:
-        return score.argmax(1)
     best = score[0].copy()
     back = np.zeros((n, k), np.int64)
+    own = np.arange(k)
     for i in range(1, n):
         top = int(best.argmax())
-        jump = best[top] - switch
+        jump = best[top] - cost[i]
         stay = best >= jump
-        back[i] = np.where(stay, np.arange(k), top)
+        back[i] = np.where(stay, own, top)
         best = np.where(stay, best, jump) + score[i]
     path = np.zeros(n, np.int64)
     path[-1] = best.argmax()
@@ -167,25 +180,19 @@ def _viterbi(score: np.ndarray, switch: float) -> np.ndarray:
     return path
 
 
-def _scores(logit: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-probabilities of sentences, and what they are worth: a long sentence is more evidence than a short one, each at most 12 nats."""
+def _logp(logit: np.ndarray) -> np.ndarray:
     shifted = logit - logit.max(1, keepdims=True)
-    logp = shifted - np.log(np.exp(shifted).sum(1, keepdims=True))
-    return logp, np.maximum(logp, -12.0) * np.minimum(1.0, size[:, None] / 24.0)
+    return shifted - np.log(np.exp(shifted).sum(1, keepdims=True))
 
 
-def _segment(spans: list[tuple[int, int]], logp: np.ndarray, size: np.ndarray, label: int, labels: list[str]) -> dict:
-    """One run of sentences in a language."""
-    w = size.sum(dtype=np.float64)
-    mean = size.astype(np.float64) @ logp / w
-    prob = np.exp(mean - mean.max())
-    return {"start": spans[0][0], "end": spans[-1][1], "lang": labels[label], "confidence": float(prob[label] / prob.sum()), "n_sentences": len(spans), "n_bytes": int(w)}
-
-
-def held(segments: list[dict], n_bytes: dict[str, int]) -> list[str]:
-    """Languages the text holds: of runs of MIN_RUN sentences or more, else the one with most bytes."""
-    long = sorted({s["lang"] for s in segments if s["n_sentences"] >= MIN_RUN})
-    return long or [min(n_bytes, key=lambda g: (-n_bytes[g], g))]
+def held(labels: list[int], n_bytes: np.ndarray) -> list[int]:
+    """Languages of the runs of MIN_RUN sentences or more; without any, the one of most bytes."""
+    found, run = set(), 0
+    for i, g in enumerate(labels):
+        run = run + 1 if i and labels[i - 1] == g else 1
+        if run >= MIN_RUN:
+            found.add(g)
+    return sorted(found) or [int(n_bytes.argmax())]
 
 
 _SEGMENT = "struct<start int, end int, lang string, confidence double, n_sentences int, n_bytes int>"
@@ -198,14 +205,14 @@ _ARROW = pa.schema(
 )
 
 
-def label_texts(net: ByteGRU, texts: list[str | None], switch: float = SWITCH) -> list[tuple[list[str], list[dict]] | None]:
+def label_texts(net: ByteGRU, texts: list[str | None], switch: float = SWITCH, inside: float = INSIDE) -> list[tuple[list[str], list[dict]] | None]:
     """Languages and segments of each text; None for blank ones."""
-    spans_of, first, parts, owner = [], [], [], []
+    plains, spans_of, first, parts, owner = [], [], [], [], []
     for t in texts:
         p = plain(t) if t else ""
-        spans = sentences(p) if p.strip() else []
+        plains.append(p)
         first.append(len(spans_of))
-        for s, e in spans:
+        for s, e in sentences(p) if p.strip() else []:
             for w in windows(_bytes(p[s:e])):
                 parts.append(w)
                 owner.append(len(spans_of))
@@ -213,32 +220,57 @@ def label_texts(net: ByteGRU, texts: list[str | None], switch: float = SWITCH) -
     first.append(len(spans_of))
     if not parts:
         return [None] * len(texts)
-    lens = np.array([len(w) for w in parts], np.float32)
-    own = np.array(owner)
-    raw = net.logits(parts) * lens[:, None]
-    at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-    size = np.add.reduceat(lens, at)
-    logit = np.add.reduceat(raw, at, axis=0) / size[:, None]
-    logp, score = _scores(logit, size)
-    top = score.argmax(1)
-    # where no two neighbours differ there is one segment, and nothing to search
-    turns = np.concatenate([[0], np.cumsum(top[1:] != top[:-1])])
+    logit, steps = net.block_logits(parts)
+    # positions: the sentence and the bytes of each step
+    last = np.cumsum(steps) - 1
+    size = np.full(len(logit), BLOCK, np.float32)
+    size[last] = np.array([len(w) for w in parts]) - BLOCK * (steps - 1)
+    sent = np.repeat(np.array(owner), steps)
+    logp = _logp(logit)
+    label = logp.argmax(1)
+    # units: runs of positions of one label in a sentence
+    fresh = np.r_[True, sent[1:] != sent[:-1]]
+    at = np.flatnonzero(fresh | np.r_[True, label[1:] != label[:-1]])
+    score = np.add.reduceat(np.maximum(logp, -FLOOR) * (size / BLOCK)[:, None], at, axis=0)
+    weighed = np.add.reduceat(logp * size[:, None], at, axis=0)
+    byte_at = np.cumsum(size) - size
+    n_bytes, unit_sent, unit_label, unit_fresh = np.add.reduceat(size, at), sent[at], label[at], fresh[at]
+    cost = np.where(unit_fresh, switch, inside)
+    of = np.searchsorted(unit_sent, first)
+    sent_byte = byte_at[fresh.nonzero()[0]]  # where each sentence begins
+    unit_byte = byte_at[at] - sent_byte[unit_sent]
+    turns = np.concatenate([[0], np.cumsum(unit_label[1:] != unit_label[:-1])])
+    k = len(net.labels)
+
+    def place(doc: int, u: int) -> int:
+        """Offset of the first character of a unit."""
+        s, e = spans_of[unit_sent[u]]
+        return s if unit_fresh[u] else s + len(_bytes(plains[doc][s:e])[: int(unit_byte[u])].decode("utf-8", "ignore"))
+
     out: list = []
     for i in range(len(texts)):
-        a, b = first[i], first[i + 1]
+        a, b = int(of[i]), int(of[i + 1])
         if a == b:
             out.append(None)
             continue
-        if turns[a] == turns[b - 1]:
-            seg = [_segment(spans_of[a:b], logp[a:b], size[a:b], int(top[a]), net.labels)]
+        if turns[a] == turns[b - 1]:  # one label everywhere: nothing to search
+            path, cuts = None, [a, b]
+            have = [int(unit_label[a])]
         else:
-            path = _viterbi(score[a:b], switch)
-            cuts = [0, *(np.flatnonzero(np.diff(path)) + 1).tolist(), b - a]
-            seg = [_segment(spans_of[a + x : a + y], logp[a + x : a + y], size[a + x : a + y], int(path[x]), net.labels) for x, y in zip(cuts, cuts[1:])]
-        weight: dict[str, int] = {}
-        for s in seg:
-            weight[s["lang"]] = weight.get(s["lang"], 0) + s["n_bytes"]
-        out.append((held(seg, weight), seg))
+            path = _viterbi(score[a:b], cost[a:b])
+            cuts = [a, *(a + 1 + np.flatnonzero(np.diff(path))).tolist(), b]
+            total = np.zeros((first[i + 1] - first[i], k))
+            np.add.at(total, (unit_sent[a:b] - first[i], path), n_bytes[a:b])
+            have = held(total.argmax(1).tolist(), total.sum(0))
+        segments = []
+        for x, y in zip(cuts, cuts[1:]):
+            g = have[0] if path is None else int(path[x - a])
+            w = n_bytes[x:y].sum(dtype=np.float64)
+            mean = weighed[x:y].sum(0, dtype=np.float64) / w
+            prob = np.exp(mean - mean.max())
+            end = spans_of[unit_sent[y - 1]][1] if y == b or unit_fresh[y] else place(i, y)
+            segments.append({"start": place(i, x), "end": end, "lang": net.labels[g], "confidence": float(prob[g] / prob.sum()), "n_sentences": int(unit_sent[y - 1] - unit_sent[x]) + 1, "n_bytes": int(w)})
+        out.append(([net.labels[g] for g in have], segments))
     return out
 
 
@@ -270,17 +302,42 @@ def languages(df: DataFrame, row_id: Column, text: Column, net: ByteGRU, label:
     return df.select(row_id.cast("long").alias("id"), label.alias("label"), text.alias("text")).mapInArrow(run, SCHEMA)
 
 
-def fit(samples: DataFrame, docs: DataFrame | None = None, labels: DataFrame | None = None, per_language: int = PER_LANGUAGE, hidden: int = 24, epochs: int = 40) -> ByteGRU:
-    """Train on ``samples`` (lang, text) and on at most ``per_language`` short labelled documents of each language.
-
-    Documents of 20 to 400 characters are taken in the order of a hash of their id.
-    """
-    rows = sorted((r["lang"], r["text"]) for r in samples.select("lang", "text").where("lang is not null and text is not null").collect())
+def _training_rows(samples: DataFrame, docs: DataFrame | None, labels: DataFrame | None, per_language: int) -> tuple[list, list]:
+    """(language, text) samples and short labelled documents: at most so many a language, in the order of a hash."""
+    by = lambda *o: F.row_number().over(Window.partitionBy("code").orderBy(*o))
+    known = samples.select(F.col("lang").alias("code"), "text").where("code is not null and text is not null").withColumn("rank", by(F.xxhash64("text"), "text"))
+    rows = sorted((r["code"], r["text"]) for r in known.where(F.col("rank") <= PER_LANGUAGE_SAMPLES).collect())
     extra: list[tuple[str, str]] = []
     if docs is not None and labels is not None and per_language:
-        known = labels.where("code is not null").groupBy("label").agg(F.min("code").alias("code"))
+        code = labels.where("code is not null").groupBy("label").agg(F.min("code").alias("code"))
         short = docs.where(F.length("text").between(20, 400)).select("lang", "text", F.xxhash64("doc_id").alias("h"))
-        rank = F.row_number().over(Window.partitionBy("code").orderBy("h", "text"))
-        some = short.join(small(known), F.col("lang") == F.col("label")).withColumn("rank", rank).where(F.col("rank") <= per_language)
+        some = short.join(small(code), F.col("lang") == F.col("label")).withColumn("rank", by("h", "text")).where(F.col("rank") <= per_language)
         extra = [(r["code"], r["text"]) for r in sorted(some.select("code", "rank", "text").collect())]
-    return train(rows, extra, hidden, epochs)
+    return rows, extra
+
+
+def _stored(spark: SparkSession, name: str, make) -> ByteGRU:
+    """The network of that name in the shared folder; made and written there once."""
+    path = f"{shared_folder(spark).rstrip('/')}/merloom-byte-gru-{name}"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        net = make()
+        blob = io.BytesIO()
+        np.savez(blob, labels=np.array(net.labels), hidden=np.array(net.h), pair_id=net.pair_id, **{f"p_{k}": v for k, v in net.p.items()})
+        spark.createDataFrame([(bytearray(blob.getvalue()),)], "net binary").coalesce(1).write.mode("overwrite").parquet(path)
+        return net
+    z = np.load(io.BytesIO(bytes(spark.read.parquet(path).first()["net"])))
+    net = ByteGRU([str(x) for x in z["labels"]], int(z["hidden"]), pair_id=z["pair_id"])
+    net.p = {k[2:]: z[k] for k in z.files if k.startswith("p_")}
+    return net
+
+
+def fit(samples: DataFrame, docs: DataFrame | None = None, labels: DataFrame | None = None, per_language: int = PER_LANGUAGE, hidden: int = 24, epochs: int = 40) -> ByteGRU:
+    """Train on ``samples`` (lang, text) and on at most ``per_language`` short labelled documents of each language.
+
+    Documents of 20 to 400 characters are taken in the order of a hash of their
+    id. The network is stored under a hash of its training texts and
+    parameters, and loaded where it is there already.
+    """
+    rows, extra = _training_rows(samples, docs, labels, per_language)
+    name = hashlib.sha256(repr((VERSION, hidden, epochs, rows, extra)).encode()).hexdigest()[:32]
+    return _stored(samples.sparkSession, name, lambda: train(rows, extra, hidden, epochs))
