@@ -74,6 +74,18 @@ def kmer_prefix_code(code: Column, k: int, h: int = H64) -> Column:
     return F.shiftright(code, 5 * (h - k))
 
 
+def code_prefix(code: Column, k: int, h: int = H64) -> Column:
+    """The first ``k`` letters of an index key: a packed code up to 12 letters, text beyond."""
+    return kmer_prefix_code(code, k, h) if h <= H64 else F.substring(code, 1, k)
+
+
+def pads_at(code: Column, k: int, h: int = H64) -> Column:
+    """Whether the k-th letter of an index key is padding."""
+    if h > H64:
+        return F.substring(code, k, 1) == PAD
+    return F.shiftright(code, 5 * (h - k)).bitwiseAND(F.lit(31).cast("long")) == (ord(PAD) & 31)
+
+
 def pair_key(kmer: str = "kmer", code: str = "code") -> Column:
     """The key of an index pair as a packed code: ``code`` where filled, else the letters of ``kmer``; null if both are null."""
     return F.coalesce(F.col(code), encode_kmer(F.col(kmer)))

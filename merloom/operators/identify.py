@@ -7,10 +7,15 @@ read and each taxon of T, 1/|T| to the counts of the taxon, and 1 to its unique
 counts if |T| = 1.
 
 Plan: windows whose min_k prefix is not in the index are dropped by a semi join
-first; equal windows of a read are counted before prefixes are exploded; the
+first; what is left is counted by read and code and written once, as both sides
+need it. Of the index only rows whose min_k prefix occurs in the reads are
+taken, and of both sides longer prefixes only where the next letter agrees too,
+so the cost of a query follows its matches, not the size of the index. The
 index side is one row for each (k, prefix) with its taxa as an array, so a join
 row fans out only when taxa are exploded, and counts are combined map-side. A
 prefix shared by many reads is split by adaptive skew joins.
+
+Keys of an index of up to 12 letters are packed codes, of 25 letters text.
 """
 
 from __future__ import annotations
@@ -21,39 +26,67 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from merloom.functions import scoring
-from merloom.functions.codec import H64, kmer_prefix_code
-from merloom.operators.index import PAD_CODE, letter
+from merloom.functions.codec import H64, code_prefix, pads_at
+from merloom.session import materialise, small
 
 
-def prefixes(df: DataFrame, keep: Sequence[str], min_k: int, max_k: int, h: int = H64, deeper: Column | None = None) -> DataFrame:
-    """(keep..., k, prefix): the prefixes of each code whose last letter is no padding; those beyond min_k only where ``deeper`` holds."""
-    ok = lambda k: (letter(F.col("code"), k, h) != PAD_CODE) if deeper is None or k == min_k else deeper & (letter(F.col("code"), k, h) != PAD_CODE)
-    each = F.array(*[F.when(ok(k), F.struct(F.lit(k).alias("k"), kmer_prefix_code(F.col("code"), k, h).alias("prefix"))) for k in range(min_k, max_k + 1)])
+def prefixes(df: DataFrame, keep: Sequence[str], min_k: int, max_k: int, h: int = H64) -> DataFrame:
+    """(keep..., k, prefix): the prefixes of each code whose last letter is no padding."""
+    each = F.array(*[F.when(~pads_at(F.col("code"), k, h), F.struct(F.lit(k).alias("k"), code_prefix(F.col("code"), k, h).alias("prefix"))) for k in range(min_k, max_k + 1)])
     return df.select(*keep, F.explode(each).alias("e")).where("e is not null").select(*keep, "e.k", "e.prefix")
 
 
+def _begins(df: DataFrame, k: int, h: int, name: str) -> DataFrame:
+    """The distinct k-letter prefixes."""
+    return df.select(code_prefix(F.col("code"), k, h).alias(name)).distinct()
+
+
+def _sharing(df: DataFrame, other: DataFrame, k: int, h: int) -> DataFrame:
+    """Rows whose first k letters begin a code of the other side."""
+    return df.withColumn("__p", code_prefix(F.col("code"), k, h)).join(_begins(other, k, h, "__p"), "__p", "left_semi").drop("__p")
+
+
+def _levels(df: DataFrame, other: DataFrame, keep: Sequence[str], min_k: int, max_k: int, h: int) -> DataFrame:
+    """(keep..., k, prefix) of rows that share min_k letters with the other side; longer prefixes where they share one letter more."""
+    out = prefixes(df, keep, min_k, min_k, h)
+    if max_k > min_k:
+        out = out.unionByName(prefixes(_sharing(df, other, min_k + 1, h), keep, min_k + 1, max_k, h))
+    return out
+
+
 def index_prefixes(idx: DataFrame, min_k: int, max_k: int, h: int = H64) -> DataFrame:
-    """(k, prefix, taxa, n_taxa): the taxa of each prefix; can be stored beside the index for repeated use."""
-    distinct = prefixes(idx, ["tax"], min_k, max_k, h).distinct()
-    return distinct.groupBy("k", "prefix").agg(F.collect_list("tax").alias("taxa"), F.count(F.lit(1)).alias("n_taxa"))
+    """(k, prefix, taxa, n_taxa): the taxa of each prefix of the whole index; can be stored beside it."""
+    return _taxa(prefixes(idx, ["tax"], min_k, max_k, h))
+
+
+def _taxa(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("k", "prefix").agg(F.collect_set("tax").alias("taxa")).withColumn("n_taxa", F.size("taxa").cast("long"))
 
 
 def live(windows: DataFrame, idx: DataFrame, min_k: int, h: int = H64) -> DataFrame:
     """Windows whose min_k prefix occurs in the index. All others can match at no k, so this comes before any count or join."""
-    probe = idx.select(kmer_prefix_code(F.col("code"), min_k, h).alias("p0")).distinct()
-    return windows.withColumn("p0", kmer_prefix_code(F.col("code"), min_k, h)).join(probe, "p0", "left_semi").drop("p0")
+    return _sharing(windows, idx, min_k, h)
 
 
-def match(windows: DataFrame, idx: DataFrame, keys: Sequence[str], min_k: int, max_k: int, h: int = H64, unique: bool = False) -> DataFrame:
-    """(keys..., k, prefix, cnt, taxa, n_taxa); ``unique`` counts equal windows of a read once."""
-    occ = live(windows.select(*keys, "code"), idx, min_k, h).groupBy(*keys, "code").agg(F.count(F.lit(1)).alias("n")).withColumn("cnt", F.lit(1).cast("long") if unique else F.col("n"))
-    deeper = None
-    if max_k > min_k:  # most windows match at min_k only: one look at the next letter spares the rest
-        more = idx.select(kmer_prefix_code(F.col("code"), min_k + 1, h).alias("p1")).distinct().withColumn("deep", F.lit(True))
-        occ, deeper = occ.withColumn("p1", kmer_prefix_code(F.col("code"), min_k + 1, h)).join(more, "p1", "left"), F.coalesce("deep", F.lit(False))
-    hits = prefixes(occ, [*keys, "cnt"], min_k, max_k, h, deeper).groupBy(*keys, "k", "prefix").agg(F.sum("cnt").alias("cnt"))
+def occurrences(windows: DataFrame, idx: DataFrame, keys: Sequence[str], min_k: int, h: int = H64) -> DataFrame:
+    """(keys..., code, n): windows that may match, counted and written once."""
+    return materialise(live(windows.select(*keys, "code"), idx, min_k, h).groupBy(*keys, "code").agg(F.count(F.lit(1)).alias("n")))
+
+
+def match_counted(occ: DataFrame, idx: DataFrame, keys: Sequence[str], min_k: int, max_k: int, h: int = H64, unique: bool = False, combined: bool = True) -> DataFrame:
+    """(keys..., k, prefix, cnt, taxa, n_taxa) of counted windows; several rows a prefix unless ``combined``."""
+    counted = occ.withColumn("cnt", F.lit(1).cast("long") if unique else F.col("n"))
+    hits = _levels(counted, idx, [*keys, "cnt"], min_k, max_k, h)
+    if combined:
+        hits = hits.groupBy(*keys, "k", "prefix").agg(F.sum("cnt").alias("cnt"))
+    taxa = _taxa(_levels(_sharing(idx, occ, min_k, h), occ, ["tax"], min_k, max_k, h))
     # sides made by generators are larger than estimated: never broadcast them unmeasured
-    return hits.hint("merge").join(index_prefixes(idx, min_k, max_k, h), ["k", "prefix"])
+    return hits.hint("merge").join(taxa, ["k", "prefix"])
+
+
+def match(windows: DataFrame, idx: DataFrame, keys: Sequence[str], min_k: int, max_k: int, h: int = H64, unique: bool = False, combined: bool = True) -> DataFrame:
+    """(keys..., k, prefix, cnt, taxa, n_taxa); ``unique`` counts equal windows of a read once."""
+    return match_counted(occurrences(windows, idx, keys, min_k, h), idx, keys, min_k, max_k, h, unique, combined)
 
 
 def read_scores(matched: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -74,15 +107,16 @@ def count_taxa(matched: DataFrame) -> DataFrame:
     return rows.groupBy("tax", "k").agg(F.sum("a").alias("count_all"), F.sum("u").alias("count_unique"), F.count(F.lit(1)).alias("count_total"))
 
 
-def rate(scores: DataFrame, reads: DataFrame, freq: DataFrame, keys: Sequence[str], min_k: int, max_k: int, frames: int = 3, threshold: float = 0.0, digits: int = 6) -> DataFrame:
+def rate(scores: DataFrame, reads: DataFrame, freq: DataFrame, keys: Sequence[str], min_k: int, max_k: int, frames: int = 3, threshold: float = 0.0, digits: int = 6, kind: str = "dna", h: int = H64) -> DataFrame:
     """Scores with relative score and error, rounded; rows under ``threshold`` are left out.
 
-    ``reads`` has keys and seq_len, ``freq`` (tax, n) the index rows of each taxon at k = h.
+    ``reads`` has keys and seq_len, ``freq`` (tax, n) the index rows of each
+    taxon at k = max_k. Protein reads are rated by their letters, DNA reads by their bases.
     """
     r = reads.select(*keys, "seq_len")
-    x = scores.hint("merge").join(r, list(keys)).join(freq.select("tax", "n"), "tax", "left")
-    best = scoring.best_score(F.col("seq_len"), min_k, max_k, frames)
-    x = x.withColumn("relative", F.round(scoring.relative_score(F.col("score"), F.coalesce("n", F.lit(1)), F.col("seq_len")), digits))
+    x = scores.hint("merge").join(r, list(keys)).join(small(freq.select("tax", "n")), "tax", "left")
+    best = scoring.best_score(F.col("seq_len"), min_k, max_k, frames, kind)
+    x = x.withColumn("relative", F.round(scoring.relative_score(F.col("score"), F.coalesce("n", F.lit(1)), F.col("seq_len"), h, kind), digits))
     x = x.withColumn("error", F.round(scoring.error(F.col("score"), best), digits)).withColumn("score", F.round("score", digits))
     return x.where(F.col("relative") >= threshold).select(*keys, "seq_len", "tax", "score", "relative", "error")
 
@@ -109,10 +143,11 @@ def rank_hits(rated: DataFrame, keys: Sequence[str], beasts: int = 3, ratio: flo
 
 
 def longest_matches(windows: DataFrame, idx: DataFrame, keys: Sequence[str], min_k: int, max_k: int, h: int = H64) -> DataFrame:
-    """(keys..., strand, pos, len): the longest matching prefix of every window that matches."""
-    windows = live(windows, idx, min_k, h)
-    codes = windows.select("code").distinct()
-    found = prefixes(codes, ["code"], min_k, max_k, h).hint("merge").join(prefixes(idx, [], min_k, max_k, h).distinct(), ["k", "prefix"], "left_semi")
+    """(keys..., strand, pos, len): the longest matching prefix of every window that matches; the windows that may match are written once."""
+    windows = materialise(live(windows.select(*keys, "strand", "pos", "code"), idx, min_k, h))
+    codes = materialise(windows.select("code").distinct())
+    stored = _levels(_sharing(idx, codes, min_k, h), codes, [], min_k, max_k, h).distinct()
+    found = _levels(codes, idx, ["code"], min_k, max_k, h).hint("merge").join(stored, ["k", "prefix"], "left_semi")
     best = found.groupBy("code").agg(F.max("k").alias("len"))
     return windows.hint("merge").join(best, "code").select(*keys, "strand", "pos", "len")
 

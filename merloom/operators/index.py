@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from merloom.functions.codec import H64, decode_kmer, kmer_prefix_code
+from merloom.functions.codec import H64, decode_kmer, encode_kmer, kmer_prefix_code, pads_at
 from merloom.functions.scoring import entropy
 from merloom.session import materialise
 
@@ -54,7 +54,7 @@ def delete(idx: DataFrame, taxa: DataFrame) -> DataFrame:
 
 def frequencies(idx: DataFrame, h: int = H64) -> DataFrame:
     """(tax, k, n): rows of every taxon whose k-th letter is no padding, for k from h to 1."""
-    counts = idx.groupBy("tax").agg(*[F.count_if(letter(F.col("code"), k, h) != PAD_CODE).alias(f"k{k}") for k in range(h, 0, -1)])
+    counts = idx.groupBy("tax").agg(*[F.count_if(~pads_at(F.col("code"), k, h)).alias(f"k{k}") for k in range(h, 0, -1)])
     rows = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("n")) for k in range(h, 0, -1)])).alias("r")
     return counts.select("tax", rows).select("tax", "r.k", "r.n")
 
@@ -83,7 +83,8 @@ def _starts(counts: DataFrame, keys: list[str], letters: int) -> DataFrame:
 
 def directory(idx: DataFrame, letters: int = 6, h: int = H64) -> DataFrame:
     """(prefix, start, cnt): where the rows of every prefix begin in the sorted index and how many they are."""
-    p = idx.groupBy(kmer_prefix_code(F.col("code"), letters, h).alias("prefix")).agg(F.count(F.lit(1)).alias("cnt"))
+    first = kmer_prefix_code(F.col("code"), letters, h) if h <= H64 else encode_kmer(F.substring("code", 1, letters), letters)
+    p = idx.groupBy(first.alias("prefix")).agg(F.count(F.lit(1)).alias("cnt"))
     return starts(p, [], letters).select("prefix", "start", "cnt")
 
 
@@ -139,6 +140,11 @@ def shrink_halve(idx: DataFrame) -> DataFrame:
     return idx.where(low != all_pad).select(kmer_prefix_code(F.col("code"), 6).alias("prefix"), low.cast("int").alias("suffix"), "tax")
 
 
+def from_halved(halved: DataFrame) -> DataFrame:
+    """The (code, tax) rows of a halved index; it can match at seven letters and more."""
+    return halved.select(F.shiftleft(F.col("prefix").cast("long"), 30).bitwiseOR(F.col("suffix").cast("long")).alias("code"), "tax")
+
+
 def shrink_overrepresented(idx: DataFrame, limit: int = 3) -> DataFrame:
     """Only k-mers of at most ``limit`` taxa."""
     few = taxa_per_kmer(idx).where(F.col("n_taxa") <= limit).select("code")

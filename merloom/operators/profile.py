@@ -33,13 +33,14 @@ def not_identified(rel: DataFrame, total: DataFrame) -> DataFrame:
     return total.join(got, "k", "left").select("k", (1.0 - F.coalesce("s", F.lit(0.0))).alias("overall_rel"))
 
 
-def wide(rel: DataFrame, min_k: int, max_k: int, digits: int = 6) -> DataFrame:
-    """One row for each taxon with the counts of every k side by side, for taxa with a count at min_k."""
+def wide(rel: DataFrame, min_k: int, max_k: int, digits: int = 6, coverage: bool = False) -> DataFrame:
+    """One row for each taxon with the counts of every k side by side, for taxa with a count at min_k; ``coverage`` adds matched prefixes and their share."""
     cols = []
+    names = ("count_unique", "unique_rel", "count_all", "all_rel", "overall_rel", "overall_unique_rel", *(("count_total", "coverage") if coverage else ()))
     for k in range(max_k, min_k - 1, -1):
-        for c in ("count_unique", "unique_rel", "count_all", "all_rel", "overall_rel", "overall_unique_rel"):
+        for c in names:
             v = F.coalesce(F.sum(F.when(F.col("k") == k, F.col(c))), F.lit(0))
-            cols.append((F.round(v, digits) if c != "count_unique" else v).alias(f"{c}_{k}"))
+            cols.append((F.round(v, digits) if c not in ("count_unique", "count_total") else v).alias(f"{c}_{k}"))
     out = rel.groupBy("tax").agg(*cols)
     return out.where(F.col(f"count_all_{min_k}") > 0)
 

@@ -123,23 +123,32 @@ def _named(hits: DataFrame, names: DataFrame) -> DataFrame:
     return hits.join(label, F.col("tax") == F.col("nt"), "left").withColumn("taxon", F.coalesce("taxon", F.lit("unnamed"))).drop("nt")
 
 
-def read_json(reads: DataFrame, hits: DataFrame, names: DataFrame, key: str = "read_id") -> DataFrame:
-    """(read_id, json): one JSON object for each read, with top and further hits; empty lists where nothing matched."""
+def _with_coherence(reads: DataFrame, coherent: DataFrame | None, key: str) -> DataFrame:
+    return reads if coherent is None else reads.join(coherent.select(key, "coherence"), key, "left").withColumn("coherence", F.coalesce("coherence", F.lit(0.0)))
+
+
+def read_json(reads: DataFrame, hits: DataFrame, names: DataFrame, key: str = "read_id", coherent: DataFrame | None = None) -> DataFrame:
+    """(read_id, json): one JSON object for each read, with top and further hits; empty lists where nothing matched.
+
+    With ``coherent`` (key, coherence) every hit carries the coherence of its read.
+    """
     item = F.struct(F.col("tax").cast("string").alias("tax ID"), F.col("taxon").alias("Name"), F.col("score").alias("k-mer Score"), F.col("relative").alias("Relative Score"), F.col("error").alias("Error"))
     per = _named(hits, names).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "hit", item.alias("item")))).alias("all"))
-    x = reads.join(per, key, "left")
-    pick = lambda h: F.coalesce(F.transform(F.filter("all", lambda e: e["hit"] == h), lambda e: e["item"]), F.array())
+    x = _with_coherence(reads, coherent, key).join(per, key, "left")
+    full = lambda e: e["item"] if coherent is None else e["item"].withField("Coherence", F.col("coherence"))
+    pick = lambda h: F.coalesce(F.transform(F.filter("all", lambda e: e["hit"] == h), full), F.array())
     obj = F.struct(F.col(key).alias("Read number"), F.col("name").alias("Specifier from input file"), F.col("seq_len").alias("Length"), pick("top").alias("Top hits"), pick("further").alias("Further hits"))
     return x.select(key, F.to_json(obj, {"ignoreNullFields": "false"}).alias("json"))
 
 
-def read_tsv(reads: DataFrame, hits: DataFrame, names: DataFrame, key: str = "read_id") -> DataFrame:
-    """(read_id, name, taxa, names, scores, errors): joined lists in order of rank; ``-`` where nothing matched."""
+def read_tsv(reads: DataFrame, hits: DataFrame, names: DataFrame, key: str = "read_id", coherent: DataFrame | None = None) -> DataFrame:
+    """(read_id, name, taxa, names, scores, errors[, coherence]): joined lists in order of rank; ``-`` where nothing matched."""
     per = _named(hits, names).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "tax", "taxon", "relative", "score", "error"))).alias("all"))
     join = lambda f: F.coalesce(F.array_join(F.transform("all", f), ";"), F.lit("-"))
     num = lambda c: F.format_string("%.6f", c)
-    return reads.join(per, key, "left").select(
-        key, "name", join(lambda e: e["tax"].cast("string")).alias("taxa"), join(lambda e: e["taxon"]).alias("names"), join(lambda e: F.concat(num(e["relative"]), F.lit(","), num(e["score"]))).alias("scores"), join(lambda e: num(e["error"])).alias("errors")
+    more = [] if coherent is None else [num(F.col("coherence")).alias("coherence")]
+    return _with_coherence(reads, coherent, key).join(per, key, "left").select(
+        key, "name", join(lambda e: e["tax"].cast("string")).alias("taxa"), join(lambda e: e["taxon"]).alias("names"), join(lambda e: F.concat(num(e["relative"]), F.lit(","), num(e["score"]))).alias("scores"), join(lambda e: num(e["error"])).alias("errors"), *more
     )
 
 

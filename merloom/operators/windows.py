@@ -70,6 +70,17 @@ def window_count(n: int, kind: str, frames: int, h: int, side: str, min_k: int)
     return pad, size - 3 * h + 1 if size > 3 * h + 1 else 0
 
 
+def count_column(n: Column, kind: str = "dna", frames: int = 3, h: int = H64, min_k: int = 7) -> Column:
+    """Windows of a read of ``n`` letters, as ``window_count`` has them, without making them."""
+    if kind == "protein":
+        size, span, strands = n + F.greatest(F.lit(h - min_k), h - n), F.lit(h), 1
+    else:
+        size, span, strands = n + F.greatest(F.lit(3 * (h - min_k)), 3 * h - n), F.lit(3 * h), 2 if frames == 6 else 1
+        if frames == 1:
+            size, span = F.floor(size / 3), F.lit(h)
+    return F.when((n > 0) & (size > span + 1), (size - span + 1) * strands).otherwise(0).cast("long")
+
+
 def _tiles(seq: bytes, pad: bytes, n_windows: int, step: int, span: int) -> Iterator[tuple[int, bytes, int]]:
     """(first position, letters, windows) pieces of one padded sequence."""
     whole = seq + pad

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from merloom.functions.codec import clean_dna
@@ -26,12 +26,15 @@ def scan_fasta(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scan_fasta_numbered(spark: SparkSession, d: str) -> DataFrame:
-    """Records of each file numbered densely; how many, the least and greatest number."""
+    """Records of each file numbered densely, the files one after the other."""
     p = new_path(spark)
     sinks.write_fasta(_dna(spark, d), p)
     n = sequences.number_records(sequences.read_fasta(spark, p))
-    per = n.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("read_no").alias("m"), F.min("read_no").alias("lo"), F.max("read_no").alias("hi"))
-    return per.agg(F.sum("n").alias("n_records"), F.min((F.col("n") == F.col("m")) & (F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1)).alias("dense"))
+    # numbers made dense over all files: those of a file follow those of the files before it
+    per = n.groupBy("file").agg((F.max("read_no") + 1).alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy(F.lit(0)).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = per.select(F.col("file").alias("f"), before.alias("base"))
+    return n.join(base, F.col("file") == F.col("f")).select((F.col("base") + F.col("read_no")).alias("number"))
 
 
 def scan_fastq_gz(spark: SparkSession, d: str) -> DataFrame:
@@ -41,12 +44,19 @@ def scan_fastq_gz(spark: SparkSession, d: str) -> DataFrame:
     return sequences.read_sequences(spark, p).select("name", "seq", F.length("qual").cast("long").alias("qual_len"))
 
 
+def scan_fastq(spark: SparkSession, d: str) -> DataFrame:
+    """Plain FASTQ, its files split, records of four lines put together across the splits."""
+    p = new_path(spark)
+    sinks.write_fastq(_dna(spark, d), p, qual=None)
+    return sequences.read_sequences(spark, p).select("name", "seq", F.length("qual").cast("long").alias("qual_len"))
+
+
 def scan_files(spark: SparkSession, d: str) -> DataFrame:
     """Bytes of the files of a folder."""
     p = new_path(spark)
-    sinks.write_fasta(_dna(spark, d).coalesce(1), p)
-    found = sequences.expand(p)
-    return spark.createDataFrame([(len(found), any(z for _, z, _ in found), sum(n for _, _, n in found))], "n_files int, any_gzip boolean, n_bytes bigint")
+    sinks.write_fasta(_dna(spark, d), p)
+    found = sequences.expand(p, spark)
+    return spark.createDataFrame([(any(z for _, z, _ in found), sum(n for _, _, n in found))], "any_gzip boolean, n_bytes bigint")
 
 
 def scan_nodes_dump(spark: SparkSession, d: str) -> DataFrame:
@@ -82,14 +92,6 @@ def scan_content_file(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scan_frequency_file(spark: SparkSession, d: str) -> DataFrame:
-    """The wide frequency file of the index."""
-    p = new_path(spark)
-    names = table(spark, d, "tax_names").where("name_class = 'scientific name'")
-    sinks.write_frequencies(index.frequencies(ident._idx(spark, d)), names.limit(0), p)
-    return tables.read_frequencies(spark, p)
-
-
-def scan_frequency_file_named(spark: SparkSession, d: str) -> DataFrame:
     """The wide frequency file of the index with the names of its taxa."""
     p = new_path(spark)
     sinks.write_frequencies(index.frequencies(ident._idx(spark, d)), ident._names(spark, d), p)
@@ -97,20 +99,18 @@ def scan_frequency_file_named(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scan_index(spark: SparkSession, d: str) -> DataFrame:
-    """The stored index, sorted by range, and the rows of a prefix range found through file statistics."""
-    p = new_path(spark)
-    index.store(ident._idx(spark, d), p)
-    lo, hi = 11 << 55, 12 << 55  # k-mers that begin with K
-    return spark.read.parquet(p).where((F.col("code") >= lo) & (F.col("code") < hi))
-
-
-def scan_index_whole(spark: SparkSession, d: str) -> DataFrame:
     """The stored index, read back whole."""
     p = new_path(spark)
     index.store(ident._idx(spark, d), p)
     return spark.read.parquet(p)
 
 
+def scan_index_range(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of a prefix range, found through file statistics."""
+    lo, hi = 11 << 55, 12 << 55  # k-mers that begin with K
+    return scan_index(spark, d).where((F.col("code") >= lo) & (F.col("code") < hi))
+
+
 def custom_code_table(spark: SparkSession, d: str) -> DataFrame:
     """First frames under a code in which TGA means tryptophan."""
     from merloom.functions.codec import STANDARD_CODE, codon_table
@@ -151,6 +151,20 @@ def sink_profile_csv(spark: SparkSession, d: str) -> DataFrame:
     return back.select(F.col("`#taxID`").cast("long").alias("tax"), F.col("Name").alias("name"), F.round(F.col(f"`Non-unique counts k={k}`").cast("double"), 6).alias("count_all"))
 
 
+def profile_coverage_csv(spark: SparkSession, d: str) -> DataFrame:
+    """K5, A3: the profile file with its columns of coverage, read again."""
+    from merloom.operators import profile
+
+    p = new_path(spark)
+    rel, total = ident._relative(spark, d), ident._total(spark, d)
+    rows = profile.ranked(profile.wide(rel, ident.MIN_K, ident.MAX_K, coverage=True), ident.MIN_K, ident.MAX_K)
+    sinks.write_profile(rows, profile.not_identified(rel, total), ident._names(spark, d), p, ident.MIN_K, ident.MAX_K, coverage=True)
+    back = spark.read.option("header", True).csv(p)
+    ks = range(ident.MIN_K, ident.MAX_K + 1)
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"`Special Counts k={k}`").cast("double").cast("long").alias("count_total"), F.round(F.col(f"`Genome Coverage k={k}`").cast("double"), 6).alias("coverage")) for k in ks])).alias("c")
+    return back.select(F.col("`#taxID`").cast("long").alias("tax"), cells).select("tax", "c.*")
+
+
 def sink_filtered_fastq(spark: SparkSession, d: str) -> DataFrame:
     """Clean and contaminated reads as gzip FASTQ files, read again and counted."""
     bad = identify.contaminated(ident._rated(spark, d), ident.KEYS, 0.9995)
@@ -166,8 +180,8 @@ def sink_filtered_fastq(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_fasta, scan_fasta_numbered, scan_fastq_gz, scan_files, scan_nodes_dump, scan_names_dump, scan_accession_map, scan_content_file, scan_frequency_file, scan_frequency_file_named, scan_index, scan_index_whole, custom_code_table,
-        sink_translated, sink_json_array, sink_profile_csv, sink_filtered_fastq,
+        scan_fasta, scan_fasta_numbered, scan_fastq_gz, scan_fastq, scan_files, scan_nodes_dump, scan_names_dump, scan_accession_map, scan_content_file, scan_frequency_file, scan_index, scan_index_range, custom_code_table,
+        sink_translated, sink_json_array, sink_profile_csv, profile_coverage_csv, sink_filtered_fastq,
     )
 }
 
@@ -178,22 +192,25 @@ _FRAME = f"array_to_string(list_transform(range(1, length(dna) - 1, 3), lambda i
 
 SQL = {
     "scan_fasta": f"{_R} select {_NM}, seq from rd where {_DNAW}",
-    "scan_fasta_numbered": f"{_R} select count(*) as n_records, true as dense from rd where {_DNAW}",
+    "scan_fasta_numbered": f"{_R} select unnest(range((select count(*) from rd where {_DNAW})))::bigint as number",
     "scan_fastq_gz": f"{_R} select {_NM}, seq, length(seq) as qual_len from rd where {_DNAW}",
-    "scan_files": f"{_R} select 1 as n_files, false as any_gzip, sum(length(seq) + length(concat_ws('/', read_id::varchar, mate::varchar)) + 3)::bigint as n_bytes from rd where {_DNAW}",
+    "scan_fastq": f"{_R} select {_NM}, seq, length(seq) as qual_len from rd where {_DNAW}",
+    "scan_files": f"{_R} select false as any_gzip, sum(length(seq) + length(concat_ws('/', read_id::varchar, mate::varchar)) + 3)::bigint as n_bytes from rd where {_DNAW}",
     "scan_nodes_dump": "select * from tax_nodes",
     "scan_names_dump": "select * from tax_names",
     "scan_accession_map": "select * from acc_map",
     "scan_content_file": "select name, tax, sub_taxids, accessions from content_file",
-    "scan_frequency_file": f"with {q.IDX}, k as (select unnest(range(1, 13))::int as k) select case when tax = 0 then 'non_unique' else 'tax_' || tax end as name, k, count(*) filter (substr(kmer, k, 1) <> '^') as n from idx, k group by tax, k",
-    "scan_frequency_file_named": f"with {q.IDX}, k as (select unnest(range(1, 13))::int as k), {ident._LAB}, f as (select tax, k, count(*) filter (substr(kmer, k, 1) <> '^') as n from idx, k group by tax, k) select case when f.tax = 0 then 'non_unique' else coalesce(taxon, 'tax_' || f.tax) end as name, k, n from f left join lab on lab.tax = f.tax",
-    "scan_index": f"with {q.IDX} select {ident._CODE} as code, tax from idx where kmer[1] = 'K'",
-    "scan_index_whole": f"with {q.IDX} select {ident._CODE} as code, tax from idx",
+    "scan_frequency_file": f"with {q.IDX}, k as (select unnest(range(1, 13))::int as k), {ident._LAB}, f as (select tax, k, count(*) filter (substr(kmer, k, 1) <> '^') as n from idx, k group by tax, k) select case when f.tax = 0 then 'non_unique' else coalesce(taxon, 'tax_' || f.tax) end as name, k, n from f left join lab on lab.tax = f.tax",
+    "scan_index_range": f"with {q.IDX} select {ident._CODE} as code, tax from idx where kmer[1] = 'K'",
+    "scan_index": f"with {q.IDX} select {ident._CODE} as code, tax from idx",
     "custom_code_table": f"{_R}, c as (select read_id, mate, {q.clean('seq')} as dna from rd where {_DNAW}) select read_id, mate, translate({_FRAME}, ']', 'W') as protein from c",
     "sink_translated": f"{_R}, c as (select {_NM}, {q.clean('seq')} as dna from rd where {_DNAW}), f as (select name, {_FRAME} as seq from c) select name, seq, repeat('I', length(seq)) as qual from f where length(seq) > 0",
     "sink_json_array": f"{_R}, {ident._RDS} select read_id, seq_len from reads",
     "sink_profile_csv": f"""with {ident._COUNTS}, {ident._LAB}, w as (select tax, sum(count_all) as c from rl where k = {ident.MIN_K} group by tax having sum(count_all) > 0)
         select 0 as tax, 'not identified' as name, 0.0 as count_all union all select w.tax, translate(coalesce(taxon, 'unnamed'), ',', ' '), round(c, 6) from w left join lab using (tax)""",
+    "profile_coverage_csv": f"""with {ident._COUNTS}, t as (select tax from rl where k = {ident.MIN_K} group by tax having sum(count_all) > 0), kk as (select unnest(range({ident.MIN_K}, {ident.MAX_K + 1}))::int as k)
+        select 0::bigint as tax, k, 0::bigint as count_total, 0.0::double as coverage from kk
+        union all select t.tax, kk.k, coalesce(count_total, 0), round(coalesce(coverage, 0), 6) from t cross join kk left join rl on rl.tax = t.tax and rl.k = kk.k""",
     "sink_filtered_fastq": f"""with {ident._RATED}, bad as (select read_id from rt group by read_id having min(error) < 0.9995)
         select case when read_id in (select read_id from bad) then 'contaminated' else 'clean' end as part, count(*) as n_records, sum(length(seq))::bigint as n_letters from rd where {_DNAW} group by 1""",
 }

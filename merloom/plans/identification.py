@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from merloom.functions.codec import H64, clean_dna, decode_kmer, pair_key
+from merloom.functions.codec import H64, H128, clean_dna, decode_kmer, pair_key
 from merloom.operators import identify, index, profile, reads, reports, windows
 from merloom.plans import common_sql as q
 from merloom.session import materialise, table
 
-MIN_K, MAX_K = 5, 9
-#: Letters of the index: the queries NAME_k12 match as far as that.
-WHOLE_K = H64
+#: the queries match as long as the index has letters; NAME_default takes the default range
+MIN_K, MAX_K = 5, H64
+DEFAULT_K = (7, 12)
+#: matches beyond the letters of a packed code
+LONG_K = (13, H128)
 KEYS = ["read_id"]
 
 
@@ -24,87 +27,127 @@ def _idx(spark: SparkSession, d: str) -> DataFrame:
     return materialise(index.build(table(spark, d, "idx_pairs"), pair_key(), F.col("tax")))
 
 
-def _records(spark: SparkSession, d: str) -> DataFrame:
-    return reads.assemble(table(spark, d, "read_chunks")).where("kind = 'dna'")
+def _records(spark: SparkSession, d: str, kind: str = "dna") -> DataFrame:
+    return reads.assemble(table(spark, d, "read_chunks")).where(F.col("kind") == kind)
 
 
-def _reads(spark: SparkSession, d: str) -> DataFrame:
+def _reads(spark: SparkSession, d: str, kind: str = "dna") -> DataFrame:
     """(read_id, name, seq_len): mates share their read; names are joined, lengths added."""
     part = F.array_sort(F.collect_list(F.struct("mate", "name")))
-    return _records(spark, d).groupBy("read_id").agg(F.concat_ws(" ", F.transform(part, lambda x: x["name"])).alias("name"), F.sum("seq_len").alias("seq_len"))
+    return _records(spark, d, kind).groupBy("read_id").agg(F.concat_ws(" ", F.transform(part, lambda x: x["name"])).alias("name"), F.sum("seq_len").alias("seq_len"))
 
 
-def _windows(spark: SparkSession, d: str, frames: int = 3, kind: str = "dna") -> DataFrame:
-    if kind == "protein":
-        rec = reads.assemble(table(spark, d, "read_chunks")).where("kind = 'protein'")
-        return windows.kmer_windows(rec, F.col("seq"), ["read_id", "mate"], kind="protein", min_k=MIN_K)
-    return windows.kmer_windows(_records(spark, d), clean_dna(F.col("seq")), ["read_id", "mate"], frames=frames, min_k=MIN_K)
+def _windows(spark: SparkSession, d: str, frames: int = 3, kind: str = "dna", lo: int = MIN_K, h: int = H64) -> DataFrame:
+    seq = clean_dna(F.col("seq")) if kind == "dna" else F.col("seq")
+    w = windows.kmer_windows(_records(spark, d, kind), seq, ["read_id", "mate"], kind=kind, frames=frames, h=h, min_k=lo)
+    return w.withColumnRenamed("kmer", "code")
 
 
-def _matched(spark: SparkSession, d: str, frames: int = 3, unique: bool = False, kind: str = "dna", idx: DataFrame | None = None, max_k: int = MAX_K) -> DataFrame:
-    return identify.match(_windows(spark, d, frames, kind), _idx(spark, d) if idx is None else idx, KEYS, MIN_K, max_k, unique=unique)
+def _matched(spark: SparkSession, d: str, frames: int = 3, unique: bool = False, kind: str = "dna", idx: DataFrame | None = None, lo: int = MIN_K, hi: int = MAX_K, combined: bool = False) -> DataFrame:
+    return identify.match(_windows(spark, d, frames, kind, lo), _idx(spark, d) if idx is None else idx, KEYS, lo, hi, unique=unique, combined=combined)
 
 
 def _freq12(idx: DataFrame) -> DataFrame:
     return idx.groupBy("tax").agg(F.count_if(index.letter(F.col("code"), 12) != index.PAD_CODE).alias("n"))
 
 
-def _rated(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
+def _rated(spark: SparkSession, d: str, lo: int = MIN_K, hi: int = MAX_K, kind: str = "dna") -> DataFrame:
     idx = _idx(spark, d)
-    scores = identify.read_scores(_matched(spark, d, idx=idx, max_k=max_k), KEYS)
-    return identify.rate(scores, _reads(spark, d), _freq12(idx), KEYS, MIN_K, max_k)
+    scores = identify.read_scores(_matched(spark, d, kind=kind, idx=idx, lo=lo, hi=hi), KEYS)
+    return identify.rate(scores, _reads(spark, d, kind), _freq12(idx), KEYS, lo, hi, kind=kind)
 
 
-def _hits(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
-    return identify.rank_hits(_rated(spark, d, max_k), KEYS)
+def _hits(spark: SparkSession, d: str, lo: int = MIN_K, hi: int = MAX_K) -> DataFrame:
+    return identify.rank_hits(_rated(spark, d, lo, hi), KEYS)
 
 
 def _names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "tax_names").where("name_class = 'scientific name'")
 
 
-def identify_match(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
+def identify_match(spark: SparkSession, d: str, lo: int = MIN_K, hi: int = MAX_K) -> DataFrame:
     """Matched prefixes of every read for each k."""
-    return _matched(spark, d, max_k=max_k).select("read_id", "k", F.col("prefix"), "cnt", "n_taxa")
+    return _matched(spark, d, lo=lo, hi=hi, combined=True).select("read_id", "k", F.col("prefix"), "cnt", "n_taxa")
 
 
-def identify_scores(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
+def identify_scores(spark: SparkSession, d: str, lo: int = MIN_K, hi: int = MAX_K) -> DataFrame:
     """Score of every read and taxon."""
-    s = identify.read_scores(_matched(spark, d, max_k=max_k), KEYS)
+    s = identify.read_scores(_matched(spark, d, lo=lo, hi=hi), KEYS)
     return s.select("read_id", "tax", F.round("score", 6).alias("score"), "hits")
 
 
-def identify_scores_six_frames(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
+def identify_scores_six_frames(spark: SparkSession, d: str, lo: int = MIN_K, hi: int = MAX_K) -> DataFrame:
     """G4 with A4: reads and their reverse complements."""
-    s = identify.read_scores(_matched(spark, d, frames=6, max_k=max_k), KEYS)
+    s = identify.read_scores(_matched(spark, d, frames=6, lo=lo, hi=hi), KEYS)
     return s.select("read_id", "tax", F.round("score", 6).alias("score"), "hits")
 
 
-def identify_scores_protein(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
+def identify_scores_protein(spark: SparkSession, d: str, lo: int = MIN_K, hi: int = MAX_K) -> DataFrame:
     """G3 with A4: protein reads."""
-    s = identify.read_scores(_matched(spark, d, kind="protein", max_k=max_k), KEYS)
+    s = identify.read_scores(_matched(spark, d, kind="protein", lo=lo, hi=hi), KEYS)
     return s.select("read_id", "tax", F.round("score", 6).alias("score"), "hits")
 
 
-def identify_scores_unique(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
+def identify_scores_unique(spark: SparkSession, d: str, lo: int = MIN_K, hi: int = MAX_K) -> DataFrame:
     """F8: repeated k-mers of a read count once."""
-    s = identify.read_scores(_matched(spark, d, unique=True, max_k=max_k), KEYS)
+    s = identify.read_scores(_matched(spark, d, unique=True, lo=lo, hi=hi), KEYS)
     return s.select("read_id", "tax", F.round("score", 6).alias("score"), "hits")
 
 
-def identify_rated(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
+def identify_rated(spark: SparkSession, d: str, lo: int = MIN_K, hi: int = MAX_K) -> DataFrame:
     """Relative scores and errors."""
-    return _rated(spark, d, max_k)
+    return _rated(spark, d, lo, hi)
+
+
+def identify_rated_protein(spark: SparkSession, d: str, lo: int = MIN_K, hi: int = MAX_K) -> DataFrame:
+    """P15, P16, P17 of protein reads: rated by their letters."""
+    return _rated(spark, d, lo, hi, "protein")
+
+
+def identify_halved(spark: SparkSession, d: str) -> DataFrame:
+    """H2, K10 with A4: scores by the halved index, which matches at seven letters and more."""
+    halved = materialise(index.shrink_halve(_idx(spark, d)))
+    s = identify.read_scores(_matched(spark, d, idx=index.from_halved(halved), lo=7, hi=12), KEYS)
+    return s.select("read_id", "tax", F.round("score", 6).alias("score"), "hits")
+
+
+def _long_index(spark: SparkSession, d: str) -> DataFrame:
+    """The index of 25-letter windows of all DNA records of known accession."""
+    refs = reads.with_tax(reads.assemble(table(spark, d, "read_chunks")), table(spark, d, "acc_map")).where("kind = 'dna'")
+    w = windows.drop_unknown(windows.kmer_windows(refs, clean_dna(F.col("seq")), ["tax"], h=H128, side="reference"), H128)
+    return materialise(index.build(w, F.col("kmer"), F.col("tax")))
+
+
+def identify_long(spark: SparkSession, d: str) -> DataFrame:
+    """P25, J1, A4 over an index of 25 letters: scores of matches of 13 letters and more."""
+    lo, hi = LONG_K
+    m = identify.match(_windows(spark, d, lo=lo, h=H128), _long_index(spark, d), KEYS, lo, hi, H128, combined=False)
+    s = identify.read_scores(m, KEYS)
+    return s.select("read_id", "tax", F.round("score", 6).alias("score"), "hits")
+
+
+def index_long(spark: SparkSession, d: str) -> DataFrame:
+    """Frequencies of the index of 25 letters."""
+    return index.frequencies(_long_index(spark, d), H128)
+
+
+def index_long_merged(spark: SparkSession, d: str) -> DataFrame:
+    """The 25-letter rows of even taxa merged with those of all others, a taxon deleted, and the directory of what is left."""
+    idx = _long_index(spark, d)
+    both = index.merge(idx.where("tax % 2 = 0"), idx.where("tax % 3 <> 0 or tax % 2 = 1"))
+    low = idx.groupBy().agg(F.min("tax").alias("tax"))
+    out = index.directory(index.delete(both, low), h=H128)
+    return out.select(decode_kmer(F.shiftleft("prefix", 30)).substr(1, 6).alias("prefix"), "start", "cnt")
 
 
-def identify_best_score(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
+def identify_best_score(spark: SparkSession, d: str, lo: int = MIN_K, hi: int = MAX_K) -> DataFrame:
     """Greatest score of each read."""
-    return _rated(spark, d, max_k).groupBy("read_id").agg(F.max("score").alias("best"), F.max("relative").alias("best_relative"), F.min("error").alias("least_error"))
+    return _rated(spark, d, lo, hi).groupBy("read_id").agg(F.max("score").alias("best"), F.max("relative").alias("best_relative"), F.min("error").alias("least_error"))
 
 
-def identify_hits(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
+def identify_hits(spark: SparkSession, d: str, lo: int = MIN_K, hi: int = MAX_K) -> DataFrame:
     """Top and further hits of each read."""
-    return _hits(spark, d, max_k)
+    return _hits(spark, d, lo, hi)
 
 
 def identify_spaced(spark: SparkSession, d: str) -> DataFrame:
@@ -116,224 +159,264 @@ def identify_spaced(spark: SparkSession, d: str) -> DataFrame:
     return occ.join(taxa, "code").groupBy("read_id").agg(F.sum("cnt").alias("n_matches"), F.sum("n_taxa").alias("n_taxa"))
 
 
-def _counts(spark: SparkSession, d: str, idx: DataFrame | None = None, max_k: int = MAX_K) -> DataFrame:
-    return identify.taxon_counts(_windows(spark, d), _idx(spark, d) if idx is None else idx, MIN_K, max_k)
+def _counts(spark: SparkSession, d: str, idx: DataFrame | None = None, lo: int = MIN_K, hi: int = MAX_K) -> DataFrame:
+    return identify.taxon_counts(_windows(spark, d, lo=lo), _idx(spark, d) if idx is None else idx, lo, hi)
 
 
-def _total(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
-    n = _windows(spark, d).agg(F.count(F.lit(1)).alias("n"))
+def _total(spark: SparkSession, d: str, lo: int = MIN_K, hi: int = MAX_K) -> DataFrame:
+    n = _records(spark, d).agg(F.coalesce(F.sum(windows.count_column(F.col("seq_len"), min_k=lo)), F.lit(0)).alias("n"))
     r = _reads(spark, d).agg(F.count(F.lit(1)).alias("n"))
-    return profile.input_size(n, r, MIN_K, max_k)
+    return profile.input_size(n, r, lo, hi)
 
 
-def _relative(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
+def _relative(spark: SparkSession, d: str, lo: int = MIN_K, hi: int = MAX_K) -> DataFrame:
     idx = _idx(spark, d)
-    return profile.relative(_counts(spark, d, idx, max_k), _total(spark, d, max_k), index.frequencies(idx))
+    return profile.relative(_counts(spark, d, idx, lo, hi), _total(spark, d, lo, hi), index.frequencies(idx))
 
 
-def profile_counts(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
+def profile_counts(spark: SparkSession, d: str, lo: int = MIN_K, hi: int = MAX_K) -> DataFrame:
     """A1, A2, A3: counts, unique counts and matched prefixes of every taxon and k."""
-    return _counts(spark, d, max_k=max_k).withColumn("count_all", F.round("count_all", 6))
+    return _counts(spark, d, lo=lo, hi=hi).withColumn("count_all", F.round("count_all", 6))
 
 
-def profile_relative(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
+def profile_relative(spark: SparkSession, d: str, lo: int = MIN_K, hi: int = MAX_K) -> DataFrame:
     """Shares among identified and all windows, and coverage."""
     c = ("count_all", "unique_rel", "all_rel", "overall_rel", "overall_unique_rel", "coverage")
-    return _relative(spark, d, max_k).select("tax", "k", "count_unique", "count_total", *[F.round(x, 8).alias(x) for x in c])
+    return _relative(spark, d, lo, hi).select("tax", "k", "count_unique", "count_total", *[F.round(x, 8).alias(x) for x in c])
 
 
-def profile_not_identified(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
+def profile_not_identified(spark: SparkSession, d: str, lo: int = MIN_K, hi: int = MAX_K) -> DataFrame:
     """A15."""
-    return profile.not_identified(_relative(spark, d, max_k), _total(spark, d, max_k)).withColumn("overall_rel", F.round("overall_rel", 8))
+    return profile.not_identified(_relative(spark, d, lo, hi), _total(spark, d, lo, hi)).withColumn("overall_rel", F.round("overall_rel", 8))
 
 
-def profile_wide(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
+def profile_wide(spark: SparkSession, d: str, lo: int = MIN_K, hi: int = MAX_K) -> DataFrame:
     """One row for each taxon, ranked by unique counts from the largest k on."""
-    w = profile.ranked(profile.wide(_relative(spark, d, max_k), MIN_K, max_k), MIN_K, max_k)
-    return w.select("tax", "rank", *[f"count_unique_{k}" for k in range(max_k, MIN_K - 1, -1)], *[f"count_all_{k}" for k in range(max_k, MIN_K - 1, -1)])
+    w = profile.ranked(profile.wide(_relative(spark, d, lo, hi), lo, hi), lo, hi)
+    return w.select("tax", "rank", *[f"count_unique_{k}" for k in range(hi, lo - 1, -1)], *[f"count_all_{k}" for k in range(hi, lo - 1, -1)])
 
 
-def _coherent(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
-    m = identify.longest_matches(_windows(spark, d, 6), _idx(spark, d), ["read_id", "mate"], MIN_K, max_k)
+def _coherent(spark: SparkSession, d: str, lo: int = MIN_K, hi: int = MAX_K) -> DataFrame:
+    m = identify.longest_matches(_windows(spark, d, 6, lo=lo), _idx(spark, d), ["read_id", "mate"], lo, hi)
     return identify.coherence(m, ["read_id", "mate"])
 
 
-def coherence(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
+def coherence(spark: SparkSession, d: str, lo: int = MIN_K, hi: int = MAX_K) -> DataFrame:
     """Best cluster of overlapping matches of each read."""
-    return _coherent(spark, d, max_k).withColumn("coherence", F.round("coherence", 6))
+    return _coherent(spark, d, lo, hi).withColumn("coherence", F.round("coherence", 6))
 
 
-def filter_contaminated(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
+def filter_contaminated(spark: SparkSession, d: str, lo: int = MIN_K, hi: int = MAX_K) -> DataFrame:
     """Reads that match a taxon well (error under 0.9995)."""
-    r, bad = _reads(spark, d), identify.contaminated(_rated(spark, d, max_k), KEYS, 0.9995)
+    r, bad = _reads(spark, d), identify.contaminated(_rated(spark, d, lo, hi), KEYS, 0.9995)
     return identify.split_reads(r, bad, KEYS)[1]
 
 
-def filter_clean(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
+def filter_clean(spark: SparkSession, d: str, lo: int = MIN_K, hi: int = MAX_K) -> DataFrame:
     """All other reads."""
-    r, bad = _reads(spark, d), identify.contaminated(_rated(spark, d, max_k), KEYS, 0.9995)
+    r, bad = _reads(spark, d), identify.contaminated(_rated(spark, d, lo, hi), KEYS, 0.9995)
     return identify.split_reads(r, bad, KEYS)[0]
 
 
 def visualise_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Letters of the first frame that lie in five-letter pieces of stored k-mers."""
+    """At each place of the first frame, the letters of the longest match with each taxon."""
     p = _records(spark, d).select("read_id", "mate", windows.in_one_frame(clean_dna(F.col("seq"))).alias("protein"))
     km = _idx(spark, d).select(decode_kmer(F.col("code")).alias("kmer"), "tax")
-    return identify.matched_in_frame(p, F.col("protein"), km, ["read_id", "mate"], MIN_K)
+    return identify.matched_in_frame(p, F.col("protein"), km, ["read_id", "mate"], MIN_K, MAX_K)
 
 
-def visualise_matches_k12(spark: SparkSession, d: str) -> DataFrame:
-    """At each place of the first frame, the letters of the longest match with each taxon."""
-    p = _records(spark, d).select("read_id", "mate", windows.in_one_frame(clean_dna(F.col("seq"))).alias("protein"))
-    km = _idx(spark, d).select(decode_kmer(F.col("code")).alias("kmer"), "tax")
-    return identify.matched_in_frame(p, F.col("protein"), km, ["read_id", "mate"], MIN_K, WHOLE_K)
+def _coherent_reads(spark: SparkSession, d: str, lo: int, hi: int) -> DataFrame:
+    """(read_id, coherence): the better mate."""
+    return _coherent(spark, d, lo, hi).groupBy("read_id").agg(F.max("coherence").alias("coherence"))
 
 
-def report_json(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
+def report_json(spark: SparkSession, d: str, lo: int = MIN_K, hi: int = MAX_K) -> DataFrame:
     """The JSON object of every read."""
-    return reports.read_json(_reads(spark, d), _hits(spark, d, max_k), _names(spark, d))
+    return reports.read_json(_reads(spark, d), _hits(spark, d, lo, hi), _names(spark, d))
+
+
+_HIT = "array<struct<`tax ID`: string, Name: string, `k-mer Score`: double, `Relative Score`: double, Error: double, Coherence: double>>"
+_READ = f"struct<`Read number`: bigint, `Specifier from input file`: string, Length: bigint, `Top hits`: {_HIT}, `Further hits`: {_HIT}>"
+
+
+def parsed_hits(df: DataFrame) -> DataFrame:
+    """The hits of JSON objects as rows; a read without hits has one row of nulls."""
+    j = df.select(F.from_json("json", _READ).alias("j"))
+    def one(name: str):
+        return F.transform(F.col(f"j.`{name} hits`"), lambda x, i: F.struct(F.lit(name.lower()).alias("hit"), (i + 1).cast("long").alias("place"), x.alias("x")))
 
+    lists = F.concat(one("Top"), one("Further"))
+    rows = j.select(F.col("j.`Read number`").alias("read_id"), F.col("j.`Specifier from input file`").alias("name"), F.col("j.Length").alias("seq_len"), F.explode_outer(lists).alias("e"))
+    x = F.col("e.x")
+    return rows.select("read_id", "name", "seq_len", F.col("e.hit").alias("hit"), F.col("e.place").alias("place"), x["tax ID"].cast("long").alias("tax"), x["Name"].alias("taxon"), x["k-mer Score"].alias("score"), x["Relative Score"].alias("relative"), x["Error"].alias("error"), x["Coherence"].alias("coherence"))
 
-def report_json_counts(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
+
+def report_json_rows(spark: SparkSession, d: str, lo: int = MIN_K, hi: int = MAX_K) -> DataFrame:
+    """K1, K2 read back: every field of every hit."""
+    return parsed_hits(report_json(spark, d, lo, hi)).drop("coherence")
+
+
+def report_json_coherence(spark: SparkSession, d: str, lo: int = MIN_K, hi: int = MAX_K) -> DataFrame:
+    """K1, K2 with W3 read back: the hits carry the coherence of their read."""
+    j = reports.read_json(_reads(spark, d), _hits(spark, d, lo, hi), _names(spark, d), coherent=_coherent_reads(spark, d, lo, hi))
+    return parsed_hits(j).withColumn("coherence", F.round("coherence", 5))
+
+
+def report_json_counts(spark: SparkSession, d: str, lo: int = MIN_K, hi: int = MAX_K) -> DataFrame:
     """K1, K2 read back: hits in each list."""
-    s = "struct<`Read number`: bigint, Length: bigint, `Top hits`: array<struct<`tax ID`: string, Name: string, `k-mer Score`: double>>, `Further hits`: array<struct<`tax ID`: string, `k-mer Score`: double>>>"
-    j = report_json(spark, d, max_k).select(F.from_json("json", s.replace("`Read number`", "`Read number`")).alias("j"))
-    total = F.aggregate(F.col("j.`Top hits`"), F.lit(0.0), lambda a, x: a + x["k-mer Score"])
-    return j.select(F.col("j.`Read number`").alias("read_id"), F.col("j.Length").alias("seq_len"), F.size("j.`Top hits`").cast("long").alias("n_top"), F.size("j.`Further hits`").cast("long").alias("n_further"), F.round(total, 5).alias("top_score"))
+    rows = report_json_rows(spark, d, lo, hi)
+    top = F.col("hit") == "top"
+    return rows.groupBy("read_id", "seq_len").agg(F.count_if(top).alias("n_top"), F.count_if(F.col("hit") == "further").alias("n_further"), F.round(F.coalesce(F.sum(F.when(top, F.col("score"))), F.lit(0.0)), 5).alias("top_score"))
 
 
-def report_tsv(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
+def report_tsv(spark: SparkSession, d: str, lo: int = MIN_K, hi: int = MAX_K) -> DataFrame:
     """K3."""
-    return reports.read_tsv(_reads(spark, d), _hits(spark, d, max_k), _names(spark, d))
+    return reports.read_tsv(_reads(spark, d), _hits(spark, d, lo, hi), _names(spark, d))
+
+
+def report_tsv_coherence(spark: SparkSession, d: str, lo: int = MIN_K, hi: int = MAX_K) -> DataFrame:
+    """K3 with W3: the last column is the coherence of the read."""
+    return reports.read_tsv(_reads(spark, d), _hits(spark, d, lo, hi), _names(spark, d), coherent=_coherent_reads(spark, d, lo, hi))
 
 
-def report_short(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
+def report_short(spark: SparkSession, d: str, lo: int = MIN_K, hi: int = MAX_K) -> DataFrame:
     """K4."""
-    return reports.read_short(_reads(spark, d), _hits(spark, d, max_k))
+    return reports.read_short(_reads(spark, d), _hits(spark, d, lo, hi))
 
 
 def _n_reads(spark: SparkSession, d: str) -> DataFrame:
     return _reads(spark, d).agg(F.count(F.lit(1)).alias("n"))
 
 
-def read_frequencies(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
+def read_frequencies(spark: SparkSession, d: str, lo: int = MIN_K, hi: int = MAX_K) -> DataFrame:
     """Reads shared among the taxa that tie at the best relative score."""
-    f = reports.read_frequencies(_hits(spark, d, max_k), KEYS, _n_reads(spark, d))
+    f = reports.read_frequencies(_hits(spark, d, lo, hi), KEYS, _n_reads(spark, d))
     return f.select("tax", F.round("weight", 6).alias("weight"), F.round("share", 8).alias("share"))
 
 
-def read_frequencies_top_only(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
+def read_frequencies_top_only(spark: SparkSession, d: str, lo: int = MIN_K, hi: int = MAX_K) -> DataFrame:
     """Shared among all top hits."""
-    f = reports.read_frequencies(_hits(spark, d, max_k), KEYS, _n_reads(spark, d), top_only=True, ties_only=False)
+    f = reports.read_frequencies(_hits(spark, d, lo, hi), KEYS, _n_reads(spark, d), top_only=True, ties_only=False)
     return f.select("tax", F.round("weight", 6).alias("weight"), F.round("share", 8).alias("share"))
 
 
-def binning_first_hit(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
+def binning_first_hit(spark: SparkSession, d: str, lo: int = MIN_K, hi: int = MAX_K) -> DataFrame:
     """A23."""
-    return reports.binning(_hits(spark, d, max_k), KEYS)
+    return reports.binning(_hits(spark, d, lo, hi), KEYS)
 
 
-def reads_for_taxon(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
+def reads_for_taxon(spark: SparkSession, d: str, lo: int = MIN_K, hi: int = MAX_K) -> DataFrame:
     """Reads with a top hit among the taxa known to the taxonomy."""
-    return reports.reads_of_taxon(_reads(spark, d), _hits(spark, d, max_k), KEYS, table(spark, d, "tax_nodes").select("tax").distinct())
+    return reports.reads_of_taxon(_reads(spark, d), _hits(spark, d, lo, hi), KEYS, table(spark, d, "tax_nodes").select("tax").distinct())
 
 
-def reads_not_identified(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
+def reads_not_identified(spark: SparkSession, d: str, lo: int = MIN_K, hi: int = MAX_K) -> DataFrame:
     """J14."""
-    return reports.not_identified(_reads(spark, d), _hits(spark, d, max_k), KEYS)
+    return reports.not_identified(_reads(spark, d), _hits(spark, d, lo, hi), KEYS)
 
 
 def _node_table(spark: SparkSession, d: str) -> DataFrame:
     return reports.clean_nodes(table(spark, d, "tax_nodes"))
 
 
-def _quantities(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
-    return reports.read_frequencies(_hits(spark, d, max_k), KEYS, _n_reads(spark, d)).select("tax", (F.col("share") * 100).alias("quantity"))
+def _quantities(spark: SparkSession, d: str, lo: int = MIN_K, hi: int = MAX_K) -> DataFrame:
+    return reports.read_frequencies(_hits(spark, d, lo, hi), KEYS, _n_reads(spark, d)).select("tax", (F.col("share") * 100).alias("quantity"))
 
 
-def taxonomy_roll_up(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
+def taxonomy_roll_up(spark: SparkSession, d: str, lo: int = MIN_K, hi: int = MAX_K) -> DataFrame:
     """Read frequencies summed at the genus."""
-    return reports.roll_up_to_rank(_quantities(spark, d, max_k), _node_table(spark, d), "genus").withColumn("quantity", F.round("quantity", 6))
+    return reports.roll_up_to_rank(_quantities(spark, d, lo, hi), _node_table(spark, d), "genus").withColumn("quantity", F.round("quantity", 6))
 
 
-def taxonomy_profile(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
+def taxonomy_profile(spark: SparkSession, d: str, lo: int = MIN_K, hi: int = MAX_K) -> DataFrame:
     """Percentages of every ancestor, with paths of ids and names, numbered by rank."""
-    p = reports.taxon_profile(_quantities(spark, d, max_k), _node_table(spark, d), _names(spark, d))
+    p = reports.taxon_profile(_quantities(spark, d, lo, hi), _node_table(spark, d), _names(spark, d))
     return p.withColumn("percentage", F.round("percentage", 6))
 
 
-def taxonomy_pie(spark: SparkSession, d: str, max_k: int = MAX_K) -> DataFrame:
+def taxonomy_pie(spark: SparkSession, d: str, lo: int = MIN_K, hi: int = MAX_K) -> DataFrame:
     """The lowest rank keeps its value; the rest to 100."""
-    p = reports.taxon_profile(_quantities(spark, d, max_k), _node_table(spark, d), _names(spark, d))
+    p = reports.taxon_profile(_quantities(spark, d, lo, hi), _node_table(spark, d), _names(spark, d))
     return reports.pie_rows(p).withColumn("value", F.round("value", 6))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        identify_match, identify_scores, identify_scores_six_frames, identify_scores_protein, identify_scores_unique, identify_rated, identify_best_score, identify_hits, identify_spaced,
+        identify_match, identify_scores, identify_scores_six_frames, identify_scores_protein, identify_scores_unique, identify_rated, identify_rated_protein, identify_best_score, identify_hits, identify_spaced,
+        identify_halved, identify_long, index_long, index_long_merged,
         profile_counts, profile_relative, profile_not_identified, profile_wide, coherence, filter_contaminated, filter_clean, visualise_matches,
-        report_json, report_json_counts, report_tsv, report_short, read_frequencies, read_frequencies_top_only, binning_first_hit, reads_for_taxon, reads_not_identified,
+        report_json, report_json_rows, report_json_counts, report_json_coherence, report_tsv, report_tsv_coherence, report_short, read_frequencies, read_frequencies_top_only, binning_first_hit, reads_for_taxon, reads_not_identified,
         taxonomy_roll_up, taxonomy_profile, taxonomy_pie,
     )
 }
 
 
-def _whole(f: Callable) -> Callable:
-    """The query over all match lengths of the index."""
+def _default(f: Callable) -> Callable:
+    """The query over the default range of lengths."""
 
     @wraps(f)
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return f(spark, d, WHOLE_K)
+        return f(spark, d, *DEFAULT_K)
 
     return run
 
 
-#: identify_spaced has no range of lengths, visualise_matches a form of its own.
-RANGED = sorted(set(QUERIES) - {"identify_spaced", "visualise_matches"})
-QUERIES |= {f"{name}_k12": _whole(QUERIES[name]) for name in RANGED}
-QUERIES["visualise_matches_k12"] = visualise_matches_k12
+#: queries that also run over the default range
+RANGED = ("identify_match", "identify_scores", "identify_scores_six_frames", "identify_scores_protein", "identify_rated_protein", "identify_hits", "profile_relative", "profile_wide", "coherence", "report_json_rows", "read_frequencies")
+QUERIES |= {f"{name}_default": _default(QUERIES[name]) for name in RANGED}
+
 
-_SRC = f"select read_id, mate, {q.clean('seq')} as s, repeat('X', greatest(21, 36 - length(seq))) as pad from rd where kind = 'dna' and length(seq) > 0"
-_PSRC = "select read_id, mate, translate(upper(seq), '*', '[') as s, repeat('^', greatest(7, 12 - length(seq))) as pad from rd where kind = 'protein' and length(seq) > 0"
 _N3 = "case when len(ls) + 2 > 37 then len(ls) + 2 - 35 else 0 end"
 _NP = "case when len(ls) > 13 then len(ls) - 11 else 0 end"
-_WIN = q.windows_cte(_SRC, [(0, "s")], _N3, 3, 1)
-_WIN6 = q.windows_cte(_SRC, [(0, "s"), (1, q.revcomp("s"))], _N3, 3, 1)
-_WINP = q.windows_cte(_PSRC, [(0, "s")], _NP, 1, 1, "cs")
+
+
+def _win(lo: int = MIN_K, frames: int = 3, kind: str = "dna") -> str:
+    """CTE of the windows of the reads, padded for matches of ``lo`` letters."""
+    if kind == "protein":
+        src = f"select read_id, mate, translate(upper(seq), '*', '[') as s, repeat('^', greatest({12 - lo}, 12 - length(seq))) as pad from rd where kind = 'protein' and length(seq) > 0"
+        return q.windows_cte(src, [(0, "s")], _NP, 1, 1, "cs")
+    src = f"select read_id, mate, {q.clean('seq')} as s, repeat('X', greatest({3 * (12 - lo)}, 36 - length(seq))) as pad from rd where kind = 'dna' and length(seq) > 0"
+    return q.windows_cte(src, [(0, "s"), (1, q.revcomp("s"))][: 2 if frames == 6 else 1], _N3, 3, 1)
+
+
 _CODE = " + ".join(f"((ascii(substr(kmer, {i + 1}, 1)) & 31)::bigint << {5 * (11 - i)})" for i in range(12))
-def _base(max_k: int) -> str:
+
+
+def _base(lo: int = MIN_K, hi: int = MAX_K) -> str:
     return f"""
-    ks as (select unnest(range({MIN_K}, {max_k + 1}))::int as k), {q.IDX}, idxc as (select {_CODE} as code, tax from idx),
+    ks as (select unnest(range({lo}, {hi + 1}))::int as k), {q.IDX}, idxc as (select {_CODE} as code, tax from idx),
     ip as (select distinct k, code >> (5 * (12 - k)) as prefix, tax from idxc, ks where ((code >> (5 * (12 - k))) & 31) <> 30),
     pt as (select k, prefix, count(*) as n_taxa from ip group by all)"""
 
 
-_BASE = _base(MAX_K)
-
-
-def _match(win: str = _WIN, cnt: str = "count(*)", max_k: int = MAX_K) -> str:
-    return f"""{q.READS}, {win}, {_base(max_k)},
+def _match(lo: int, hi: int, frames: int = 3, kind: str = "dna", cnt: str = "count(*)") -> str:
+    return f"""{q.READS}, {_win(lo, frames, kind)}, {_base(lo, hi)},
     oc as (select read_id, code, {cnt} as cnt from win group by read_id, code),
     rp as (select read_id, k, code >> (5 * (12 - k)) as prefix, sum(cnt)::bigint as cnt from oc, ks where ((code >> (5 * (12 - k))) & 31) <> 30 group by all),
     m as (select rp.*, pt.n_taxa from rp join pt using (k, prefix)),
     sc as (select read_id, tax, sum(cnt * k * k / 625.0 / n_taxa) as score, sum(cnt)::bigint as hits from m join ip using (k, prefix) group by read_id, tax)"""
 
 
-_RDS = """rds as (select read_id, string_agg(name, ' ' order by mate nulls first) filter (name is not null) as nm, sum(length(seq))::bigint as seq_len from rd where kind = 'dna' group by read_id),
+def _rds(kind: str = "dna") -> str:
+    return f"""rds as (select read_id, string_agg(name, ' ' order by mate nulls first) filter (name is not null) as nm, sum(length(seq))::bigint as seq_len from rd where kind = '{kind}' group by read_id),
     reads as (select read_id, coalesce(nm, '') as name, seq_len from rds)"""
 
 
-def _rated_sql(max_k: int) -> str:
-    best = " + ".join(f"greatest(seq_len - {3 * k - 1}, 1) * {k * k} / 625.0" for k in range(MIN_K, max_k + 1))
-    return f"""{_match(max_k=max_k)}, {_RDS},
+_RDS = _rds()
+
+
+def _rated_sql(lo: int, hi: int, kind: str = "dna") -> str:
+    one = 3 if kind == "dna" else 1
+    best = " + ".join(f"greatest(seq_len - {one * k - 1}, 1) * {k * k} / 625.0" for k in range(lo, hi + 1))
+    return f"""{_match(lo, hi, kind=kind)}, {_rds(kind)},
     fq as (select tax, count(*) filter (((code) & 31) <> 30) as n from idxc group by tax),
-    rt as (select read_id, seq_len, tax, round(score, 6) as score, round(score / (1 + log2(greatest(coalesce(n, 1), 1)::double * greatest(seq_len - 35, 1))), 6) as relative,
+    rt as (select read_id, seq_len, tax, round(score, 6) as score, round(score / (1 + log2(greatest(coalesce(n, 1), 1)::double * greatest(seq_len - {12 * one - 1}, 1))), 6) as relative,
                   round((({best}) - score) / ({best}), 6) as error from sc join reads using (read_id) left join fq using (tax))"""
 
 
-def _hits_sql(max_k: int) -> str:
-    return f"""{_rated_sql(max_k)},
+def _hits_sql(lo: int, hi: int) -> str:
+    return f"""{_rated_sql(lo, hi)},
     h1 as (select *, row_number() over w as rank, first(relative) over w as most from rt window w as (partition by read_id order by relative desc, tax)),
     h2 as (select *, case when rank = 1 or (relative / most > 0.8 and rank <= 3) then 1 else 0 end as good from h1),
     h3 as (select *, min(good) over (partition by read_id order by rank) as top from h2),
@@ -342,18 +425,18 @@ def _hits_sql(max_k: int) -> str:
     hits as (select read_id, seq_len, rank, case when top = 1 then 'top' else 'further' end as hit, tax, score, relative, error from h5 where top = 1 or n_top + before < 3)"""
 
 
-def _counts_sql(max_k: int) -> str:
-    return f"""{q.READS}, {_WIN}, {_base(max_k)}, {_RDS},
+def _counts_sql(lo: int = MIN_K, hi: int = MAX_K) -> str:
+    return f"""{q.READS}, {_win(lo)}, {_base(lo, hi)}, {_RDS},
     oc as (select code, count(*) as cnt from win group by code),
     rp as (select k, code >> (5 * (12 - k)) as prefix, sum(cnt)::bigint as cnt from oc, ks where ((code >> (5 * (12 - k))) & 31) <> 30 group by all),
     ct as (select tax, k, sum(cnt / n_taxa) as count_all, sum(case when n_taxa = 1 then cnt else 0 end)::bigint as count_unique, count(*) as count_total from rp join pt using (k, prefix) join ip using (k, prefix) group by tax, k),
-    tt as (select k, (select count(*) from win) - (select count(*) from reads) * 3 * (k - {MIN_K}) as total from ks),
+    tt as (select k, (select count(*) from win) - (select count(*) from reads) * 3 * (k - {lo}) as total from ks),
     fr as (select tax, k, count(*) filter (((code >> (5 * (12 - k))) & 31) <> 30) as n from idxc, ks group by tax, k),
     rl as (select tax, k, count_all, count_unique, count_total, coalesce(count_unique / nullif(sum(count_unique) over (partition by k), 0)::double, 0) as unique_rel, count_all / sum(count_all) over (partition by k) as all_rel,
                   count_all / total as overall_rel, count_unique / total::double as overall_unique_rel, count_total / nullif(n, 0)::double as coverage from ct join tt using (k) left join fr using (tax, k))"""
 
 
-_RATED, _COUNTS = _rated_sql(MAX_K), _counts_sql(MAX_K)
+_RATED, _COUNTS = _rated_sql(MIN_K, MAX_K), _counts_sql()
 _SCORES = "select read_id, tax, round(score, 6) as score, hits from sc"
 _LAB = "lab as (select tax, min(name) as taxon from tax_names where name_class = 'scientific name' group by tax)"
 _NODES = "nodes as (select tax, min(parent) as parent, min(rank_name) as rank_name from tax_nodes where tax is not null and parent is not null group by tax)"
@@ -363,8 +446,8 @@ _UP = """up(tax, ancestor, parent, rank_name, depth) as (select tax, tax, parent
         union all select u.tax, n.tax, n.parent, n.rank_name, u.depth + 1 from up u join nodes n on n.tax = u.parent where u.parent <> u.ancestor)"""
 
 
-def _profile_sql(max_k: int) -> str:
-    return f"""recursive {_hits_sql(max_k)}, {_FREQ}, {_NODES}, {_LAB}, {_UP},
+def _profile_sql(lo: int, hi: int) -> str:
+    return f"""recursive {_hits_sql(lo, hi)}, {_FREQ}, {_NODES}, {_LAB}, {_UP},
     lim as (select tax, min(depth) as l from up where rank_name = 'superkingdom' group by tax),
     tot as (select ancestor as tax, sum(quantity) as percentage from up join qt using (tax) left join lim using (tax) where l is null or depth <= l group by ancestor),
     pth as (select up.tax, max(case when depth = 0 then up.rank_name end) as rank_name,
@@ -374,40 +457,43 @@ def _profile_sql(max_k: int) -> str:
     prf as (select tax, rank_name, path, name_path, percentage, list_position({reports.RANKS}, rank_name)::bigint as rank_no from tot join pth using (tax) where list_position({reports.RANKS}, rank_name) > 0)"""
 
 
-def _sql(max_k: int) -> dict[str, str]:
-    hits, counts, rated, prof = _hits_sql(max_k), _counts_sql(max_k), _rated_sql(max_k), _profile_sql(max_k)
+_COHERE = """cd as (select distinct code from win),
+        mx as (select code, max(k) as len from cd, ks where ((code >> (5 * (12 - k))) & 31) <> 30 and exists (select 1 from pt where pt.k = ks.k and pt.prefix = code >> (5 * (12 - ks.k))) group by code),
+        mt as (select read_id, mate, strand, pos, len, lag(pos + len) over (partition by read_id, mate, strand order by pos) as last from win join mx using (code)),
+        cl as (select *, sum(case when pos <= last then 0 else 1 end) over (partition by read_id, mate, strand order by pos) as cluster, case when pos <= last then case when pos + len < last then len else last - pos end end as overlap from mt),
+        pr as (select read_id, mate, strand, cluster, overlap, count(*) as n from cl where overlap is not null group by all),
+        tp as (select read_id, mate, max(overlap) as o, max_by(n, overlap) as n from pr group by read_id, mate, strand, cluster),
+        bs as (select read_id, mate, max(o + 1.0 - 1.0 / n) as c from tp group by read_id, mate),
+        ch1 as (select d.read_id, d.mate, coalesce(c, 0)::double as c from (select distinct read_id, mate from mt) d left join bs on d.read_id = bs.read_id and d.mate is not distinct from bs.mate),
+        cr as (select read_id, max(c) as c from ch1 group by read_id)"""
+
+
+def _sql(lo: int, hi: int) -> dict[str, str]:
+    hits, counts, rated, prof = _hits_sql(lo, hi), _counts_sql(lo, hi), _rated_sql(lo, hi), _profile_sql(lo, hi)
     return {
-        "identify_match": f"with {_match(max_k=max_k)} select * from m",
-        "identify_scores": f"with {_match(max_k=max_k)} {_SCORES}",
-        "identify_scores_six_frames": f"with {_match(_WIN6, max_k=max_k)} {_SCORES}",
-        "identify_scores_protein": f"with {_match(_WINP, max_k=max_k)} {_SCORES}",
-        "identify_scores_unique": f"with {_match(cnt='1', max_k=max_k)} {_SCORES}",
+        "identify_match": f"with {_match(lo, hi)} select * from m",
+        "identify_scores": f"with {_match(lo, hi)} {_SCORES}",
+        "identify_scores_six_frames": f"with {_match(lo, hi, 6)} {_SCORES}",
+        "identify_scores_protein": f"with {_match(lo, hi, kind='protein')} {_SCORES}",
+        "identify_scores_unique": f"with {_match(lo, hi, cnt='1')} {_SCORES}",
         "identify_rated": f"with {rated} select * from rt",
         "identify_best_score": f"with {rated} select read_id, max(score) as best, max(relative) as best_relative, min(error) as least_error from rt group by read_id",
         "identify_hits": f"with {hits} select * from hits",
-        "identify_spaced": f"""with {q.READS}, {_WIN}, {_base(max_k)}, mk as (select (31::bigint << 55) | (31::bigint << 50) | (31::bigint << 40) | (31::bigint << 35) | (31::bigint << 25) | (31::bigint << 20) | (31::bigint << 15) as mask),
+        "identify_spaced": f"""with {q.READS}, {_win(lo)}, {_base(lo, hi)}, mk as (select (31::bigint << 55) | (31::bigint << 50) | (31::bigint << 40) | (31::bigint << 35) | (31::bigint << 25) | (31::bigint << 20) | (31::bigint << 15) as mask),
         tx as (select code & mask as c, count(distinct tax) as n_taxa from idxc, mk group by 1), oc as (select read_id, code & mask as c, count(*) as cnt from win, mk group by all)
         select read_id, sum(cnt)::bigint as n_matches, sum(n_taxa)::bigint as n_taxa from oc join tx using (c) group by read_id""",
         "profile_counts": f"with {counts} select tax, k, round(count_all, 6) as count_all, count_unique, count_total from ct",
         "profile_relative": f"with {counts} select tax, k, count_unique, count_total, {', '.join(f'round({c}, 8) as {c}' for c in ('count_all', 'unique_rel', 'all_rel', 'overall_rel', 'overall_unique_rel', 'coverage'))} from rl",
         "profile_not_identified": f"with {counts} select k, round(1 - coalesce(sum(overall_rel), 0), 8) as overall_rel from ks left join rl using (k) group by k",
-        "profile_wide": f"""with {counts}, w as (select tax, {', '.join(f"coalesce(sum(count_unique) filter (k = {k}), 0)::bigint as count_unique_{k}, round(coalesce(sum(count_all) filter (k = {k}), 0), 6) as count_all_{k}" for k in range(max_k, MIN_K - 1, -1))} from rl group by tax)
-        select *, row_number() over (order by {', '.join(f'count_unique_{k} desc' for k in range(max_k, MIN_K - 1, -1))}, tax) as rank from w where count_all_{MIN_K} > 0""",
-        "coherence": f"""with {q.READS}, {_WIN6}, {_base(max_k)}, cd as (select distinct code from win),
-        mx as (select code, max(k) as len from cd, ks where ((code >> (5 * (12 - k))) & 31) <> 30 and exists (select 1 from pt where pt.k = ks.k and pt.prefix = code >> (5 * (12 - ks.k))) group by code),
-        mt as (select read_id, mate, strand, pos, len, lag(pos + len) over (partition by read_id, mate, strand order by pos) as last from win join mx using (code)),
-        cl as (select *, sum(case when pos <= last then 0 else 1 end) over (partition by read_id, mate, strand order by pos) as cluster, case when pos <= last then case when pos + len < last then len else last - pos end end as overlap from mt),
-        pr as (select read_id, mate, strand, cluster, overlap, count(*) as n from cl where overlap is not null group by all),
-        tp as (select read_id, mate, max(overlap) as o, max_by(n, overlap) as n from pr group by read_id, mate, strand, cluster),
-        bs as (select read_id, mate, max(o + 1.0 - 1.0 / n) as c from tp group by read_id, mate)
-        select d.read_id, d.mate, round(coalesce(c, 0)::double, 6) as coherence from (select distinct read_id, mate from mt) d left join bs on d.read_id = bs.read_id and d.mate is not distinct from bs.mate""",
+        "profile_wide": f"""with {counts}, w as (select tax, {', '.join(f"coalesce(sum(count_unique) filter (k = {k}), 0)::bigint as count_unique_{k}, round(coalesce(sum(count_all) filter (k = {k}), 0), 6) as count_all_{k}" for k in range(hi, lo - 1, -1))} from rl group by tax)
+        select *, row_number() over (order by {', '.join(f'count_unique_{k} desc' for k in range(hi, lo - 1, -1))}, tax) as rank from w where count_all_{lo} > 0""",
+        "coherence": f"""with {q.READS}, {_win(lo, 6)}, {_base(lo, hi)}, {_COHERE}
+        select read_id, mate, round(c, 6) as coherence from ch1""",
         "filter_contaminated": f"with {rated}, bad as (select read_id from rt group by read_id having min(error) < 0.9995) select * from reads where read_id in (select read_id from bad)",
         "filter_clean": f"with {rated}, bad as (select read_id from rt group by read_id having min(error) < 0.9995) select * from reads where read_id not in (select read_id from bad)",
-        "visualise_matches": f"""with {q.READS}, {q.IDX}, c as (select read_id, mate, {q.clean('seq')} as dna from rd where kind = 'dna'),
-        p as (select read_id, mate, array_to_string(list_transform(range(1, length(dna) - 1, 3), lambda i: {q.codon('substr(dna, i::int, 3)')}), '') as s from c),
-        pc as (select read_id, mate, substr(s, i::int, 5) as piece from (select *, unnest(range(1, length(s) - 3)) as i from p)),
-        km as (select distinct substr(kmer, 1, 5) as piece, tax from idx)
-        select read_id, mate, tax, count(*) * 5 as matched from pc join km using (piece) group by all""",
+        "identify_rated_protein": f"with {_rated_sql(lo, hi, 'protein')} select * from rt",
+        "report_json_rows": f"""with {hits}, {_LAB}, p as (select *, row_number() over (partition by read_id, hit order by rank) as place from hits left join lab using (tax))
+        select r.read_id, r.name, r.seq_len, hit, place, tax, case when hit is not null then coalesce(taxon, 'unnamed') end as taxon, score, relative, error from reads r left join p using (read_id)""",
         "report_json_counts": f"""with {hits} select r.read_id, r.seq_len, count(*) filter (hit = 'top') as n_top, count(*) filter (hit = 'further') as n_further, round(coalesce(sum(h.score) filter (hit = 'top'), 0), 5) as top_score
         from reads r left join hits h using (read_id) group by r.read_id, r.seq_len""",
         "report_tsv": f"""with {hits}, {_LAB}, g as (select read_id, string_agg(tax::varchar, ';' order by rank) as taxa, string_agg(coalesce(taxon, 'unnamed'), ';' order by rank) as names,
@@ -429,12 +515,53 @@ def _sql(max_k: int) -> dict[str, str]:
     }
 
 
-SQL = _sql(MAX_K)
-_WHOLE = _sql(WHOLE_K)
-SQL |= {f"{name}_k12": _WHOLE[name] for name in RANGED if name in _WHOLE}
-SQL["visualise_matches_k12"] = f"""with {q.READS}, {q.IDX}, ks as (select unnest(range({MIN_K}, {WHOLE_K + 1}))::int as k), c as (select read_id, mate, {q.clean('seq')} as dna from rd where kind = 'dna'),
+SQL = _sql(MIN_K, MAX_K)
+_DEFAULT = _sql(*DEFAULT_K)
+SQL |= {f"{name}_default": _DEFAULT[name] for name in RANGED}
+SQL["identify_halved"] = _DEFAULT["identify_scores"]
+SQL["visualise_matches"] = f"""with {q.READS}, {q.IDX}, ks as (select unnest(range({MIN_K}, {MAX_K + 1}))::int as k), c as (select read_id, mate, {q.clean('seq')} as dna from rd where kind = 'dna'),
         p as (select read_id, mate, array_to_string(list_transform(range(1, length(dna) - 1, 3), lambda i: {q.codon('substr(dna, i::int, 3)')}), '') as s from c),
         pc as (select read_id, mate, i, k, substr(s, i::int, k) as piece from (select *, unnest(range(1, length(s) - {MIN_K - 2})) as i from p), ks where i + k - 1 <= length(s)),
         km as (select distinct k, substr(kmer, 1, k) as piece, tax from idx, ks),
         lg as (select read_id, mate, i, tax, max(k) as len from pc join km using (k, piece) group by all)
         select read_id, mate, tax, sum(len)::bigint as matched from lg group by all"""
+
+
+def _coherent_sql() -> str:
+    """Hits of the reads beside the coherence of both strands; the windows of six frames have names of their own."""
+    six = q.windows_cte(f"select read_id, mate, {q.clean('seq')} as s, repeat('X', greatest({3 * (12 - MIN_K)}, 36 - length(seq))) as pad from rd where kind = 'dna' and length(seq) > 0", [(0, "s"), (1, q.revcomp("s"))], _N3, 3, 1)
+    for name in ("src", "st", "l", "z", "y", "win"):
+        six = re.sub(rf"\b{name} as \(", f"{name}6 as (", six)
+        six = re.sub(rf"\bfrom {name}\b", f"from {name}6", six)
+    return f"{_hits_sql(MIN_K, MAX_K)}, {six}, {_COHERE.replace('from win', 'from win6')}"
+
+
+SQL["report_json_coherence"] = f"""with {_coherent_sql()}, {_LAB}, p as (select *, row_number() over (partition by read_id, hit order by rank) as place from hits left join lab using (tax))
+        select r.read_id, r.name, r.seq_len, hit, place, tax, case when hit is not null then coalesce(taxon, 'unnamed') end as taxon, score, relative, error, case when hit is not null then round(coalesce(c, 0), 5) end as coherence from reads r left join p using (read_id) left join cr using (read_id)"""
+SQL["report_tsv_coherence"] = f"""with {_coherent_sql()}, {_LAB}, g as (select read_id, string_agg(tax::varchar, ';' order by rank) as taxa, string_agg(coalesce(taxon, 'unnamed'), ';' order by rank) as names,
+            string_agg(printf('%.6f', relative) || ',' || printf('%.6f', score), ';' order by rank) as scores, string_agg(printf('%.6f', error), ';' order by rank) as errors from hits left join lab using (tax) group by read_id)
+        select read_id, name, coalesce(taxa, '-') as taxa, coalesce(names, '-') as names, coalesce(scores, '-') as scores, coalesce(errors, '-') as errors, printf('%.6f', coalesce(c, 0)) as coherence from reads left join g using (read_id) left join cr using (read_id)"""
+
+
+def _long_windows(name: str, source: str, n: str) -> str:
+    """CTE (owner, kmer) of the 25-letter windows of ``source`` (owner, s, pad)."""
+    kmer = " || ".join(f"lead(a, {3 * i}) over o" for i in range(25))
+    return f"""{name}x as (select row_number() over () as rid, owner, string_split(s || pad, '') as cs from ({source})), {name}l as (select rid, owner, {q.LETTERS} as ls from {name}x),
+        {name}z as (select rid, owner, {n} as n, unnest(ls) as a, generate_subscripts(ls, 1) - 1 as pos from {name}l),
+        {name}y as (select rid, owner, n, pos, {kmer} as kmer from {name}z window o as (partition by rid order by pos)), {name} as (select owner, kmer from {name}y where pos < n)"""
+
+
+_LONG_INDEX = f"""a as (select accession, min(tax) as tax from acc_map where tax is not null group by accession),
+        ref as (select r.seq, r.kind, a.tax from (select *, {q.accession('name')} as acc from rd) r join a on r.acc = a.accession),
+        {_long_windows('rw', f"select tax as owner, {q.clean('seq')} as s, repeat('X', 72) as pad from ref where kind = 'dna' and length(seq) > 0", "len(ls) - 72")},
+        li as (select distinct owner as tax, kmer from rw where not contains(kmer, '_'))"""
+SQL["index_long"] = f"with {q.READS}, {_LONG_INDEX}, ks as (select unnest(range(1, 26))::int as k) select tax, k, count(*) filter (substr(kmer, k, 1) <> '^') as n from li, ks group by tax, k"
+SQL["index_long_merged"] = f"""with {q.READS}, {_LONG_INDEX}, p as (select substr(kmer, 1, 6) as prefix, count(*) as cnt from li where (tax % 2 = 0 or tax % 3 <> 0 or tax % 2 = 1) and tax <> (select min(tax) from li) group by 1)
+        select prefix, coalesce(sum(cnt) over (order by encode(prefix) rows between unbounded preceding and 1 preceding), 0)::bigint as start, cnt from p"""
+SQL["identify_long"] = f"""with {q.READS}, {_LONG_INDEX},
+        {_long_windows('qw', f"select read_id as owner, {q.clean('seq')} as s, repeat('X', greatest({3 * (H128 - LONG_K[0])}, 75 - length(seq))) as pad from rd where kind = 'dna' and length(seq) > 0", "case when len(ls) + 2 > 76 then len(ls) + 2 - 74 else 0 end")},
+        ks as (select unnest(range({LONG_K[0]}, {LONG_K[1] + 1}))::int as k), ip as (select distinct k, substr(kmer, 1, k) as prefix, tax from li, ks where substr(kmer, k, 1) <> '^'),
+        pt as (select k, prefix, count(*) as n_taxa from ip group by all), oc as (select owner as read_id, kmer, count(*) as cnt from qw group by all),
+        rp as (select read_id, k, substr(kmer, 1, k) as prefix, sum(cnt)::bigint as cnt from oc, ks where substr(kmer, k, 1) <> '^' group by all),
+        sc as (select read_id, tax, sum(cnt * k * k / 625.0 / n_taxa) as score, sum(cnt)::bigint as hits from rp join pt using (k, prefix) join ip using (k, prefix) group by read_id, tax)
+        select read_id, tax, round(score, 6) as score, hits from sc"""

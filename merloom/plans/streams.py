@@ -9,35 +9,31 @@ from merloom.functions.codec import clean_dna
 from merloom.operators import identify, windows
 from merloom.plans import common_sql as q
 from merloom.plans import identification as ident
+from merloom.session import materialise
 from merloom.streaming import pipelines
 
 
 def stream_assemble_reads(spark: SparkSession, d: str) -> DataFrame:
     """P12, S7 as a stream: chunks held in state until their record is whole."""
     s = pipelines.assemble_stream(pipelines.read_stream(spark, f"{d}/read_chunks.parquet"))
-    return pipelines.run_available(s).select("read_id", "mate", "kind", "seq", "n_chunks")
+    return pipelines.run_available(s, stateful=True).select("read_id", "mate", "kind", "seq", "n_chunks")
 
 
 def stream_profile(spark: SparkSession, d: str) -> DataFrame:
-    """A1, A2 kept up by batches: taxon counts of the reads that have a mate."""
-    return _profile(spark, pipelines.read_stream(spark, f"{d}/read_chunks.parquet").where("mate is not null"), d, ident.MAX_K).drop("count_total")
+    """A1-A3 kept up by batches: taxon counts of all records.
 
-
-def stream_profile_k12(spark: SparkSession, d: str) -> DataFrame:
-    """A1-A3 kept up by batches: taxon counts of all records, matches as long as the index has letters."""
-    return _profile(spark, pipelines.read_stream(spark, f"{d}/read_chunks.parquet"), d, ident.WHOLE_K)
-
-
-def _profile(spark: SparkSession, chunks: DataFrame, d: str, max_k: int) -> DataFrame:
-    """Records are put together in state, so a copy of a chunk counts once whatever batch brings it; counts of matched prefixes are added up over the batches."""
+    Records are put together in state, so a copy of a chunk counts once
+    whatever batch brings it; counts of codes are added up over the batches.
+    """
     idx = ident._idx(spark, d)
 
     def partial(df: DataFrame) -> DataFrame:
         w = windows.kmer_windows(df.where("coalesce(kind, 'dna') = 'dna'"), clean_dna(F.col("seq")), ["read_id", "mate"], min_k=ident.MIN_K)
-        return identify.match(w, idx, [], ident.MIN_K, max_k).select("k", "prefix", "cnt")
+        return identify.occurrences(w, idx, [], ident.MIN_K)
 
-    parts = pipelines.run_batches(pipelines.assemble_stream(chunks), partial).groupBy("k", "prefix").agg(F.sum("cnt").alias("cnt"))
-    matched = parts.hint("merge").join(identify.index_prefixes(idx, ident.MIN_K, max_k), ["k", "prefix"])
+    whole = pipelines.assemble_stream(pipelines.read_stream(spark, f"{d}/read_chunks.parquet"))
+    codes = materialise(pipelines.run_batches(whole, partial).groupBy("code").agg(F.sum("n").alias("n")))
+    matched = identify.match_counted(codes, idx, [], ident.MIN_K, ident.MAX_K)
     return identify.count_taxa(matched).withColumn("count_all", F.round("count_all", 6))
 
 
@@ -54,16 +50,11 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_sessions"), F.sum("n").alias("n_events"))
 
 
-QUERIES = {f.__name__: f for f in (stream_assemble_reads, stream_profile, stream_profile_k12, stream_event_windows, stream_sessions)}
+QUERIES = {f.__name__: f for f in (stream_assemble_reads, stream_profile, stream_event_windows, stream_sessions)}
 
-_SRC = f"select read_id, mate, {q.clean('seq')} as s, repeat('X', greatest(21, 36 - length(seq))) as pad from rd where kind = 'dna' and mate is not null and length(seq) > 0"
 SQL = {
     "stream_assemble_reads": f"with {q.READS}, n as (select read_id, mate, count(*)::int as n_chunks from ch group by all) select rd.read_id, rd.mate, kind, seq, n_chunks from rd join n on rd.read_id = n.read_id and rd.mate is not distinct from n.mate",
-    "stream_profile": f"""with {q.READS}, {q.windows_cte(_SRC, [(0, "s")], ident._N3, 3, 1)}, {ident._BASE},
-        oc as (select code, count(*) as cnt from win group by code),
-        rp as (select k, code >> (5 * (12 - k)) as prefix, sum(cnt)::bigint as cnt from oc, ks where ((code >> (5 * (12 - k))) & 31) <> 30 group by all)
-        select tax, k, round(sum(cnt / n_taxa), 6) as count_all, sum(case when n_taxa = 1 then cnt else 0 end)::bigint as count_unique from rp join pt using (k, prefix) join ip using (k, prefix) group by tax, k""",
-    "stream_profile_k12": ident.SQL["profile_counts_k12"],
+    "stream_profile": ident.SQL["profile_counts"],
     "stream_event_windows": """with w as (select date_trunc('day', ts) as s, event_type, count(*) as n, sum(value) as total from events group by all)
         select strftime(s, '%Y-%m-%d') as day, event_type, n, round(total, 2) as total from w where s + interval 1 day <= (select max(ts) from events) - interval 1 hour""",
     "stream_sessions": """with e as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end as b from events),

@@ -67,6 +67,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file (settings, code tables) of any file system."""
+    fs, p = file_system(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 _app_folders: dict[str, str] = {}
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from merloom.functions.codec import codon_table
 from merloom.functions.text import trim_all
-from merloom.sources.sequences import local_path
+from merloom.session import read_text
 
 
 def _dump(spark: SparkSession, path: str) -> DataFrame:
@@ -56,8 +56,7 @@ def read_frequencies(spark: SparkSession, path: str, h: int = 12) -> DataFrame:
 
 def read_code_table(path: str, code_id: int) -> dict[str, str] | None:
     """Triple -> letter of one code of a ``gc.prt`` file: the record of the id, then amino acids, starts and the three bases; None if missing."""
-    with open(local_path(path)) as f:
-        lines = f.read().splitlines()
+    lines = read_text(SparkSession.active(), path).splitlines()
     for i, line in enumerate(lines):
         if re.match(rf"\s*id\s+{code_id}\s*,", line):
             amino = re.search(r'"([^"]*)"', lines[i + 1])
@@ -70,21 +69,19 @@ def read_code_table(path: str, code_id: int) -> dict[str, str] | None:
 def read_pair_map(path: str) -> dict[tuple[int, int], int]:
     """(letter code, letter code) -> letter code from lines ``AB,C``."""
     out = {}
-    with open(local_path(path)) as f:
-        for line in f:
-            m = re.match(r"\s*(\S)(\S)\s*,\s*(\S)", line)
-            if m:
-                out[(ord(m[1]) & 31, ord(m[2]) & 31)] = ord(m[3]) & 31
+    for line in read_text(SparkSession.active(), path).splitlines():
+        m = re.match(r"\s*(\S)(\S)\s*,\s*(\S)", line)
+        if m:
+            out[(ord(m[1]) & 31, ord(m[2]) & 31)] = ord(m[3]) & 31
     return out
 
 
 def read_settings(path: str) -> dict[str, str]:
     """Flat ``key: value`` lines; indentation, comments and section lines without a value are ignored."""
     out = {}
-    with open(local_path(path)) as f:
-        for line in f:
-            line = line.split("#", 1)[0]
-            key, sep, value = line.strip().partition(":")
-            if sep and value.strip():
-                out[key.strip()] = value.strip().strip("'\"")
+    for line in read_text(SparkSession.active(), path).splitlines():
+        line = line.split("#", 1)[0]
+        key, sep, value = line.strip().partition(":")
+        if sep and value.strip():
+            out[key.strip()] = value.strip().strip("'\"")
     return out

@@ -7,6 +7,7 @@ what is there now, writing results and checkpoints to the shared folder.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager, nullcontext
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from merloom.session import new_path
 
-ASSEMBLED = "read_id long, mate int, name string, kind string, seq string, n_chunks int"
-_STATE = "chunks string"
+ASSEMBLED = "read_id long, mate int, name string, kind string, seq string, n_chunks int, complete boolean"
+#: of each chunk at hand: number, time of reading (microseconds), whether it is the last, and its fields
+_STATE = "done boolean, no array<int>, at array<bigint>, last array<boolean>, name array<string>, kind array<string>, seq array<string>"
+_FIRST = -1  # number of a chunk without one: it stands before all others
 
 
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -26,34 +29,54 @@ def read_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(pattern)
 
 
-def _assemble(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Chunks of one record, in any order and perhaps twice; the record goes out once the last chunk and all before it are there."""
-    import json
-
-    have: dict[str, list] = json.loads(state.get[0]) if state.exists else {}
-    if have.get("done"):
-        return
-    for pdf in pdfs:
-        for r in pdf.itertuples(index=False):
-            at = str(int(r.chunk_no))
-            if at not in have or str(r.read_at) > have[at][4]:
-                have[at] = [None if pd.isna(r.name) else r.name, r.kind, "".join((r.seq or "").split()), bool(r.finished), str(r.read_at)]
-    last = [int(k) for k, v in have.items() if v[3]]
-    if last and all(str(i) in have for i in range(max(last) + 1)):
-        rows = [have[str(i)] for i in range(max(last) + 1)]
-        state.update((json.dumps({"done": [1]}),))
-        name = next((x[0] for x in rows if x[0] is not None), None)
-        mate = None if key[1] < 0 else key[1]
-        out = pd.DataFrame({"read_id": [key[0]], "mate": pd.array([mate], dtype="Int32"), "name": [name], "kind": [rows[0][1]], "seq": ["".join(x[2] for x in rows)], "n_chunks": [len(rows)]})
-        yield out
-    else:
-        state.update((json.dumps(have),))
+def _assemble(keep_ms: int):
+    """Chunks of one record, in any order and perhaps twice; the record goes out once the last chunk and all before it are there.
 
+    State that has seen no chunk for ``keep_ms`` ends: that of a record that went
+    out is forgotten, any other record goes out as it is, marked incomplete.
+    """
+    fields = ["no", "at", "last", "name", "kind", "seq"]
 
-def assemble_stream(chunks: DataFrame) -> DataFrame:
-    """Whole records from a stream of chunks; state is kept per (read_id, mate)."""
-    keyed = chunks.withColumn("m", F.coalesce("mate", F.lit(-1))).select("read_id", "m", "chunk_no", "name", "kind", "seq", "finished", "read_at")
-    return keyed.groupBy("read_id", "m").applyInPandasWithState(_assemble, ASSEMBLED, _STATE, "append", GroupStateTimeout.NoTimeout)
+    def record(key: tuple, have: pd.DataFrame, complete: bool) -> pd.DataFrame:
+        first = lambda c: next((x for x in have[c] if x is not None and not pd.isna(x)), None)
+        mate = None if key[1] < 0 else key[1]
+        return pd.DataFrame({"read_id": [key[0]], "mate": pd.array([mate], dtype="Int32"), "name": [first("name")], "kind": [first("kind")], "seq": ["".join(have["seq"])], "n_chunks": [len(have)], "complete": [complete]})
+
+    def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        done, *held = state.get if state.exists else (False, *[[] for _ in fields])
+        have = pd.DataFrame(dict(zip(fields, held)), dtype=object)
+        if state.hasTimedOut:
+            state.remove()
+            if not done and len(have):
+                yield record(key, have, False)
+            return
+        new = [p for p in pdfs if len(p)]
+        if not done and new:
+            x = pd.concat(new)
+            x = pd.DataFrame(
+                {
+                    "no": x["chunk_no"].fillna(_FIRST).astype("int64"), "at": x["at"].fillna(0).astype("int64"), "last": x["finished"].eq(True), "name": x["name"], "kind": x["kind"],
+                    "seq": x["seq"].fillna("").str.replace(r"\s+", "", regex=True),
+                }
+            )
+            # of copies the one read last, and of these the one that came first
+            have = pd.concat([have, x.astype(object)]).sort_values(["no", "at"], ascending=[True, False], kind="stable").drop_duplicates("no")
+            ends = have["no"][have["last"].astype(bool)]
+            if len(ends) and set(range(int(max(ends)) + 1)) <= set(have["no"]):
+                yield record(key, have[have["no"] <= max(ends)], True)
+                done, have = True, have.iloc[:0]
+        whole = [[None if not isinstance(v, (str, bool)) and pd.isna(v) else v for v in have[c]] for c in fields]
+        state.update((done, [int(v) for v in whole[0]], [int(v) for v in whole[1]], [bool(v) for v in whole[2]], *whole[3:]))
+        state.setTimeoutDuration(keep_ms)
+
+    return run
+
+
+def assemble_stream(chunks: DataFrame, keep_ms: int = 3_600_000) -> DataFrame:
+    """Whole records from a stream of chunks; state is kept per (read_id, mate) until ``keep_ms`` without a chunk."""
+    at = F.unix_micros(F.col("read_at").cast("timestamp")).alias("at")
+    keyed = chunks.withColumn("m", F.coalesce("mate", F.lit(-1))).select("read_id", "m", "chunk_no", "name", "kind", "seq", "finished", at)
+    return keyed.groupBy("read_id", "m").applyInPandasWithState(_assemble(keep_ms), ASSEMBLED, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def event_windows(events: DataFrame, width: str = "1 day", late: str = "1 hour") -> DataFrame:
@@ -70,11 +93,24 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     return w.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there and give what it wrote."""
+@contextmanager
+def _only_new_data(spark: SparkSession) -> Iterator[None]:
+    """A stream over what is there now must not go on to wait for timeouts: these end state of streams that run on."""
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
+def run_available(stream: DataFrame, mode: str = "append", stateful: bool = False) -> DataFrame:
+    """Run a stream over all that is there and give what it wrote; ``stateful`` streams hold state with timeouts of their own."""
     spark = stream.sparkSession
     base = new_path(spark)
-    q = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/out")
+    with _only_new_data(spark) if stateful else nullcontext():
+        q = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start(f"{base}/out")
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
@@ -87,6 +123,7 @@ def run_batches(stream: DataFrame, partial: Callable[[DataFrame], DataFrame]) ->
     def one(df: DataFrame, batch: int) -> None:
         partial(df).write.mode("overwrite").parquet(f"{base}/out/batch={batch}")
 
-    q = stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    with _only_new_data(spark):
+        q = stream.writeStream.foreachBatch(one).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.parquet(f"{base}/out").drop("batch")

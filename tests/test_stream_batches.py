@@ -41,6 +41,42 @@ def batches(data, tmp_path_factory):
     return str(out)
 
 
-@pytest.mark.parametrize("name", ["stream_profile", "stream_profile_k12"])
+@pytest.mark.parametrize("name", ["stream_profile", "stream_assemble_reads"])
 def test_copies_in_a_later_batch_count_once(spark, batches, name):
     assert same(spark, batches, name)
+
+
+def test_state_ends(spark):
+    """A record that never ends goes out as it is once its time is over; one that went out is forgotten."""
+    import pandas as pd
+
+    from merloom.streaming import pipelines
+
+    class State:
+        exists, hasTimedOut, get, removed, kept = False, False, None, False, None
+
+        def update(self, v):
+            self.exists, self.get = True, v
+
+        def setTimeoutDuration(self, ms):
+            self.kept = ms
+
+        def remove(self):
+            self.removed = True
+
+    def chunk(no, seq, last, at=1):
+        return pd.DataFrame({"chunk_no": [no], "name": ["x"], "kind": [None], "seq": [seq], "finished": [last], "at": [at]})
+
+    run = pipelines._assemble(5000)
+    s = State()
+    assert list(run((1, -1), iter([chunk(0, "AC\nG", False)]), s)) == [] and s.kept == 5000
+    assert list(run((1, -1), iter([chunk(0, "NN", False, 0), chunk(None, "t t", False)]), s)) == []
+    s.hasTimedOut = True
+    (out,) = run((1, -1), iter([]), s)
+    assert out.seq[0] == "ttACG" and not out.complete[0] and s.removed
+    s = State()
+    (out,) = run((1, 2), iter([chunk(1, "G", True), chunk(0, "A", False)]), s)
+    assert out.seq[0] == "AG" and out.complete[0] and out.mate[0] == 2
+    assert list(run((1, 2), iter([chunk(1, "G", True)]), s)) == []
+    s.hasTimedOut = True
+    assert list(run((1, 2), iter([]), s)) == [] and s.removed
