@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import warnings
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 
 from merloom.functions.codec import H64, H128
 from merloom.operators.content import level_or_default
-from merloom.sources.tables import read_settings
+from merloom.sources.tables import read_code_table, read_settings
 
 MIN_ALLOWED, MAX_ALLOWED = 1, 25
 
@@ -33,6 +33,13 @@ class Settings:
     output: str = "json"
     h: int = H64
     max_k_given: bool = False
+    alphabet: str = ""
+    alphabet_id: int = 1
+    clean: str = "clean"
+    contaminated: str = "contaminated"
+    gzip: bool = True
+    parallel: int = 4
+    resume: bool = False
 
     def checked(self) -> Settings:
         lo, hi = sorted((self.min_k, self.max_k))
@@ -49,10 +56,28 @@ class Settings:
             raise ValueError("one, three or six frames")
         if self.kind not in ("dna", "protein"):
             raise ValueError("dna or protein")
+        if self.h not in (H64, H128):
+            raise ValueError("12 or 25 letters")
         if self.output not in ("json", "jsonl", "tsv", "short"):
             raise ValueError("json, jsonl, tsv or short")
         return self
 
+    def code_table(self) -> dict[str, str] | None:
+        """The codon table of the named alphabet; a missing one is the standard table, with a warning."""
+        if not self.alphabet:
+            return None
+        found = read_code_table(self.alphabet, self.alphabet_id)
+        if found is None:
+            warnings.warn(f"no code {self.alphabet_id} in {self.alphabet}: the standard code is taken", stacklevel=2)
+        return found
+
+    def for_index(self, kind: str, h: int) -> Settings:
+        """Settings for an index of that kind: its letters bound k, and a halved one matches at seven letters and more."""
+        out = replace(self, h=h)
+        if kind == "halved":
+            out.min_k, out.max_k = max(7, out.min_k), max(7, out.max_k)
+        return out.checked()
+
     @classmethod
     def from_file(cls, path: str, **over) -> Settings:
         """Flat settings file; unknown keys are ignored, ``over`` wins."""

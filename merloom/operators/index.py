@@ -26,10 +26,10 @@ def build(pairs: DataFrame, code: Column, tax: Column) -> DataFrame:
     return pairs.select(code.alias("code"), tax.alias("tax")).where("code is not null and tax is not null").distinct()
 
 
-def store(idx: DataFrame, path: str, files: int | None = None) -> None:
+def store(idx: DataFrame, path: str, files: int | None = None, mode: str = "error") -> None:
     """Write sorted by (code, tax) in ranges of code; statistics of the files prune lookups."""
     ranged = idx.repartitionByRange(files, "code") if files else idx.repartitionByRange("code")
-    ranged.sortWithinPartitions("code", "tax").write.mode("error").parquet(path)
+    ranged.sortWithinPartitions("code", "tax").write.mode(mode).parquet(path)
 
 
 def merge(a: DataFrame, b: DataFrame, remap_a: DataFrame | None = None, remap_b: DataFrame | None = None) -> DataFrame:

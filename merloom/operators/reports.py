@@ -31,25 +31,28 @@ def clean_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.where("tax is not null and parent is not null").groupBy("tax").agg(F.min("parent").alias("parent"), F.min("rank_name").alias("rank_name"))
 
 
-def ancestors(nodes: DataFrame, taxa: DataFrame, max_depth: int = 40) -> DataFrame:
+def ancestors(nodes: DataFrame, taxa: DataFrame) -> DataFrame:
     """(tax, ancestor, rank_name, depth): every listed taxon with itself (depth 0) and all nodes above it; the root ends the path.
 
-    A recursive query over the small node table; ``max_depth`` guards loops.
+    Paths are doubled: steps of 1, 2, 4, ... nodes are joined until none is
+    longer, so a path of any depth takes as many rounds as its length has
+    binary digits. A loop among the nodes raises.
     """
-    spark = nodes.sparkSession
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")  # paths of all taxa may be many rows
-    wanted = taxa.select("tax").where("tax is not null").distinct()
-    return spark.sql(
-        f"""
-        with recursive up(tax, ancestor, parent, rank_name, depth) as (
-            select t.tax, n.tax, n.parent, n.rank_name, 0 from {{wanted}} t join {{nodes}} n on t.tax = n.tax
-            union all
-            select u.tax, n.tax, n.parent, n.rank_name, u.depth + 1 from up u join {{nodes}} n on n.tax = u.parent
-            where u.parent <> u.ancestor and u.depth < {max_depth})
-        select tax, ancestor, rank_name, depth from up""",
-        wanted=wanted,
-        nodes=nodes,
-    )
+    step = materialise(nodes.where("parent <> tax").select(F.col("tax").alias("node"), F.col("parent").alias("up")).join(nodes.select(F.col("tax").alias("up")), "up").select("node", "up"))
+    wanted = taxa.select("tax").where("tax is not null").distinct().join(nodes.select("tax"), "tax")
+    paths = wanted.select("tax", F.col("tax").alias("ancestor"), F.lit(0).alias("depth"))
+    n, size = nodes.count(), 1
+    while True:
+        far = paths.join(step, F.col("ancestor") == F.col("node")).select("tax", F.col("up").alias("ancestor"), (F.col("depth") + size).alias("depth"))
+        paths = materialise(paths.unionByName(far))
+        longer = step.join(step.select(F.col("node").alias("up"), F.col("up").alias("top")), "up").select("node", F.col("top").alias("up"))
+        step, size = materialise(longer), size * 2
+        if step.isEmpty():
+            break
+        if size > 2 * n:
+            raise ValueError("the nodes of the taxonomy form a loop")
+    rank = nodes.select(F.col("tax").alias("ancestor"), "rank_name")
+    return paths.join(rank, "ancestor").select("tax", "ancestor", "rank_name", "depth")
 
 
 def closure(nodes: DataFrame) -> DataFrame:
@@ -158,3 +161,19 @@ def read_short(reads: DataFrame, hits: DataFrame, key: str = "read_id") -> DataF
     x = reads.join(per, key, "left")
     text = F.array_join(F.transform("all", lambda e: F.concat(e["tax"].cast("string"), F.lit(":"), F.format_string("%.6f", e["score"]))), " ")
     return x.select(key, F.when(F.col("all").isNull(), "U").otherwise("C").alias("status"), "name", F.coalesce(F.element_at("all", 1)["tax"], F.lit(0)).alias("tax"), F.col("seq_len").alias("length"), F.coalesce(text, F.lit("A:00")).alias("pairs"))
+
+
+_HIT = "array<struct<`tax ID`: string, Name: string, `k-mer Score`: double, `Relative Score`: double, Error: double, Coherence: double>>"
+_READ = f"struct<`Read number`: bigint, `Specifier from input file`: string, Length: bigint, `Top hits`: {_HIT}, `Further hits`: {_HIT}>"
+
+
+def parsed_hits(df: DataFrame) -> DataFrame:
+    """The hits of JSON objects as rows; a read without hits has one row of nulls."""
+    j = df.select(F.from_json("json", _READ).alias("j"))
+    def one(name: str):
+        return F.transform(F.col(f"j.`{name} hits`"), lambda x, i: F.struct(F.lit(name.lower()).alias("hit"), (i + 1).cast("long").alias("place"), x.alias("x")))
+
+    lists = F.concat(one("Top"), one("Further"))
+    rows = j.select(F.col("j.`Read number`").alias("read_id"), F.col("j.`Specifier from input file`").alias("name"), F.col("j.Length").alias("seq_len"), F.explode_outer(lists).alias("e"))
+    x = F.col("e.x")
+    return rows.select("read_id", "name", "seq_len", F.col("e.hit").alias("hit"), F.col("e.place").alias("place"), x["tax ID"].cast("long").alias("tax"), x["Name"].alias("taxon"), x["k-mer Score"].alias("score"), x["Relative Score"].alias("relative"), x["Error"].alias("error"), x["Coherence"].alias("coherence"))

@@ -32,7 +32,7 @@ def ranked(df: DataFrame, *order: Column, name: str = "rank", start: int = 1) ->
 
 def shuffled(df: DataFrame, row_id: Column, seed: int = 1, name: str = "rank") -> DataFrame:
     """A random order that depends on the seed and the ids only."""
-    return ranked(df.withColumn("__h", F.xxhash64(F.lit(seed), row_id)), F.col("__h"), row_id, name=name).drop("__h")
+    return ranked(df.withColumn("__h", F.md5(F.concat(F.lit(f"{seed}:"), row_id.cast("string")))), F.col("__h"), row_id, name=name).drop("__h")
 
 
 def zipped(*parts: DataFrame, on: str = "rank") -> DataFrame:

@@ -235,31 +235,15 @@ def report_json(spark: SparkSession, d: str, lo: int = MIN_K, hi: int = MAX_K) -
     return reports.read_json(_reads(spark, d), _hits(spark, d, lo, hi), _names(spark, d))
 
 
-_HIT = "array<struct<`tax ID`: string, Name: string, `k-mer Score`: double, `Relative Score`: double, Error: double, Coherence: double>>"
-_READ = f"struct<`Read number`: bigint, `Specifier from input file`: string, Length: bigint, `Top hits`: {_HIT}, `Further hits`: {_HIT}>"
-
-
-def parsed_hits(df: DataFrame) -> DataFrame:
-    """The hits of JSON objects as rows; a read without hits has one row of nulls."""
-    j = df.select(F.from_json("json", _READ).alias("j"))
-    def one(name: str):
-        return F.transform(F.col(f"j.`{name} hits`"), lambda x, i: F.struct(F.lit(name.lower()).alias("hit"), (i + 1).cast("long").alias("place"), x.alias("x")))
-
-    lists = F.concat(one("Top"), one("Further"))
-    rows = j.select(F.col("j.`Read number`").alias("read_id"), F.col("j.`Specifier from input file`").alias("name"), F.col("j.Length").alias("seq_len"), F.explode_outer(lists).alias("e"))
-    x = F.col("e.x")
-    return rows.select("read_id", "name", "seq_len", F.col("e.hit").alias("hit"), F.col("e.place").alias("place"), x["tax ID"].cast("long").alias("tax"), x["Name"].alias("taxon"), x["k-mer Score"].alias("score"), x["Relative Score"].alias("relative"), x["Error"].alias("error"), x["Coherence"].alias("coherence"))
-
-
 def report_json_rows(spark: SparkSession, d: str, lo: int = MIN_K, hi: int = MAX_K) -> DataFrame:
     """K1, K2 read back: every field of every hit."""
-    return parsed_hits(report_json(spark, d, lo, hi)).drop("coherence")
+    return reports.parsed_hits(report_json(spark, d, lo, hi)).drop("coherence")
 
 
 def report_json_coherence(spark: SparkSession, d: str, lo: int = MIN_K, hi: int = MAX_K) -> DataFrame:
     """K1, K2 with W3 read back: the hits carry the coherence of their read."""
     j = reports.read_json(_reads(spark, d), _hits(spark, d, lo, hi), _names(spark, d), coherent=_coherent_reads(spark, d, lo, hi))
-    return parsed_hits(j).withColumn("coherence", F.round("coherence", 5))
+    return reports.parsed_hits(j).withColumn("coherence", F.round("coherence", 5))
 
 
 def report_json_counts(spark: SparkSession, d: str, lo: int = MIN_K, hi: int = MAX_K) -> DataFrame:

@@ -25,8 +25,10 @@ def sort_by_key(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sorted_check(spark: SparkSession, d: str) -> DataFrame:
-    """The result of a sort is in order."""
-    return s.is_sorted(s.ranked(_orders(spark, d), F.col("o_totalprice"), F.col("o_orderkey")), "o_totalprice")
+    """Along the orders sorted by price, which columns are in order."""
+    r = s.ranked(_orders(spark, d), F.col("o_totalprice"), F.col("o_orderkey"))
+    checks = [s.is_sorted(r, c).select(F.lit(c).alias("name"), "sorted") for c in ("o_totalprice", "o_orderkey", "o_custkey", "rank")]
+    return checks[0].unionByName(checks[1]).unionByName(checks[2]).unionByName(checks[3])
 
 
 def for_each_row(spark: SparkSession, d: str) -> DataFrame:
@@ -45,8 +47,8 @@ def find_first(spark: SparkSession, d: str) -> DataFrame:
 
 
 def random_shuffle(spark: SparkSession, d: str) -> DataFrame:
-    """A seeded random order; every position once."""
-    return s.shuffled(_orders(spark, d), F.col("o_orderkey"), 7).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("rank").alias("n_ranks"), F.max("rank").alias("last"), F.countDistinct("o_orderkey").alias("n_keys"))
+    """The orders in a seeded random order."""
+    return s.shuffled(_orders(spark, d), F.col("o_orderkey"), 7).select("rank", "o_orderkey")
 
 
 def zip_transform(spark: SparkSession, d: str) -> DataFrame:
@@ -99,15 +101,15 @@ def matrix_gram(spark: SparkSession, d: str) -> DataFrame:
 
 
 def matrix_sum(spark: SparkSession, d: str) -> DataFrame:
-    """The Gram matrix plus its transpose; largest difference from twice itself."""
-    g = s.gram(s.matrix_of(table(spark, d, "embeddings"), "vec_id", "embedding"))
-    both = s.matrix_add(g, s.matrix_transpose(g)).withColumnRenamed("v", "w")
-    return both.join(g, ["i", "j"]).agg(F.count(F.lit(1)).alias("n"), (F.max(F.abs(F.col("w") - 2 * F.col("v"))) < 1e-6).alias("symmetric"))
+    """The matrix of the embeddings plus its transpose."""
+    e = s.matrix_of(table(spark, d, "embeddings"), "vec_id", "embedding")
+    return s.matrix_add(e, s.matrix_transpose(e)).select("i", "j", F.round("v", 6).alias("v"))
 
 
 def suffix_array(spark: SparkSession, d: str) -> DataFrame:
-    """Suffixes of the names of the regions, joined."""
-    name = table(spark, d, "region").agg(F.array_join(F.array_sort(F.collect_list("r_name")), "").alias("t"))
+    """Suffixes of the names of all suppliers, joined in the order of their keys (long repeats)."""
+    o = table(spark, d, "supplier").select("s_suppkey", "s_name")
+    name = o.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))), lambda x: x["s_name"]), "|").alias("t"))
     chars = name.select(F.posexplode(F.split("t", "")).alias("pos", "c")).where("c <> ''")
     return s.suffix_array(chars).select(F.col("pos").cast("long").alias("pos"), "place")
 
@@ -123,11 +125,14 @@ QUERIES = {
 SQL = {
     "sort_with_rank": "select row_number() over (order by o_totalprice desc, o_orderkey) as rank, o_orderkey, o_totalprice from orders",
     "sort_by_key": "select row_number() over (order by l_partkey, l_orderkey, l_linenumber, l_suppkey, l_extendedprice) as rank, l_partkey, l_orderkey, l_linenumber from (select distinct l_partkey, l_orderkey, l_linenumber, l_suppkey, l_extendedprice from lineitem)",
-    "sorted_check": "select true as sorted",
+    "sorted_check": """with r as (select *, row_number() over (order by o_totalprice, o_orderkey) as rank from orders),
+        l as (select *, lag(o_totalprice) over w as p, lag(o_orderkey) over w as k, lag(o_custkey) over w as c from r window w as (order by rank))
+        select 'o_totalprice' as name, count(*) filter (o_totalprice < p) = 0 as sorted from l union all select 'o_orderkey', count(*) filter (o_orderkey < k) = 0 from l
+        union all select 'o_custkey', count(*) filter (o_custkey < c) = 0 from l union all select 'rank', count(distinct rank) = max(rank) from r""",
     "for_each_row": "select l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) as net from lineitem",
     "generate_sequence": "select i + 1 as rank, i * i as value from range(1000) r(i)",
     "find_first": "select o_orderkey, o_totalprice from orders where o_totalprice > 400000 order by o_orderkey limit 1",
-    "random_shuffle": "select count(*) as n, count(*) as n_ranks, count(*) as last, count(distinct o_orderkey) as n_keys from orders",
+    "random_shuffle": "select row_number() over (order by md5('7:' || o_orderkey), o_orderkey) as rank, o_orderkey from orders",
     "zip_transform": """with c as (select c_custkey, c_acctbal, row_number() over (order by c_acctbal desc, c_custkey) as rank from customer), s as (select s_suppkey, s_acctbal, row_number() over (order by s_acctbal desc, s_suppkey) as rank from supplier)
         select rank, c_custkey, s_suppkey, round(c_acctbal - s_acctbal, 4) as diff from c join s using (rank)""",
     "unique_consecutive": "with r as (select row_number() over (order by o_orderkey) as rank, o_orderkey, o_orderpriority, lag(o_orderpriority) over (order by o_orderkey) as p from orders) select rank, o_orderkey, o_orderpriority from r where rank = 1 or p is distinct from o_orderpriority",
@@ -141,6 +146,6 @@ SQL = {
         y as (select *, min(depth) over (partition by log order by rank rows between 1 following and unbounded following) as low from x)
         select log, rank from y where s = 1 and (low is null or low >= depth)""",
     "matrix_gram": "with m as (select vec_id, unnest(embedding)::double as v, generate_subscripts(embedding, 1) - 1 as j from embeddings) select a.j as i, b.j as j, round(sum(a.v * b.v), 4) as v from m a join m b using (vec_id) group by a.j, b.j",
-    "matrix_sum": "select max(len(embedding)) * max(len(embedding)) as n, true as symmetric from embeddings",
-    "suffix_array": "with t as (select string_agg(r_name, '' order by r_name) as t from region), p as (select unnest(range(0, length(t))) as pos, t from t) select pos, row_number() over (order by substr(t, (pos + 1)::int)) as place from p",
+    "matrix_sum": "with m as (select vec_id::bigint as i, unnest(embedding)::double as v, (generate_subscripts(embedding, 1) - 1)::bigint as j from embeddings), b as (select i, j, v from m union all select j, i, v from m) select i, j, round(sum(v), 6) as v from b group by i, j",
+    "suffix_array": "with t as (select string_agg(s_name, '|' order by s_suppkey) as t from supplier), p as (select unnest(range(0, length(t))) as pos, t from t) select pos, row_number() over (order by substr(t, (pos + 1)::int)) as place from p",
 }

@@ -79,11 +79,12 @@ def open_reading_frames(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reconstruct_dna(spark: SparkSession, d: str) -> DataFrame:
-    """Sequences without foreign letters rebuilt from their letters; how far each agrees with its own."""
+    """Sequences without foreign letters rebuilt from their letters."""
     x = _dna(spark, d).where("length(dna) >= 3 and not contains(dna, 'Z')")
     x = x.select("read_id", "mate", "dna", reconstruct.reconstructed(windows.translate_native(F.col("dna"))).alias("again"))
-    agree = F.forall(F.zip_with(F.split("dna", ""), F.split("again", ""), lambda a, b: (b == "N") | (a == b)), lambda ok: ok)
-    return x.select("read_id", "mate", F.length("again").cast("long").alias("n"), agree.alias("agree"), (F.length(F.replace("again", F.lit("N"), F.lit(""))) > 0).alias("some_known"))
+    # letters that are not known are filled from the sequence itself: the whole must be the sequence again
+    filled = F.array_join(F.zip_with(F.split("dna", ""), F.split("again", ""), lambda a, b: F.when(b == "N", a).otherwise(b)), "")
+    return x.select("read_id", "mate", F.length("again").cast("long").alias("n"), filled.alias("filled"))
 
 
 def _summary(w: DataFrame) -> DataFrame:
@@ -221,7 +222,7 @@ SQL = {
         t as (select read_id, mate, unnest(range(1, len(cs) - 1)) as i, unnest(list_transform(range(1, len(cs) - 1), lambda j: cs[j] || cs[j + 1] || cs[j + 2])) as x from c),
         s as (select * from t where x = 'ATG'), e as (select * from t where x in ('TAA', 'TAG', 'TGA'))
         select s.read_id, s.mate, s.i as start, min(e.i) as stop from s join e on s.read_id = e.read_id and s.mate is not distinct from e.mate and e.i >= s.i + 6 and (e.i - s.i) % 3 = 0 group by all""",
-    "reconstruct_dna": f"with {q.READS}, c as (select read_id, mate, {q.clean('seq')} as dna from rd where kind = 'dna') select read_id, mate, length(dna) as n, true as agree, true as some_known from c where length(dna) >= 3 and not contains(dna, 'Z')",
+    "reconstruct_dna": f"with {q.READS}, c as (select read_id, mate, {q.clean('seq')} as dna from rd where kind = 'dna') select read_id, mate, length(dna) as n, dna as filled from c where length(dna) >= 3 and not contains(dna, 'Z')",
     "windows_three_frames": _windows_sql(_READ, [(0, "s")], _n3(), 3, 1),
     "windows_six_frames": _windows_sql(_READ, [(0, "s"), (1, q.revcomp("s"))], _n3(), 3, 1),
     "windows_one_frame": _windows_sql(_READ, [(0, "s")], _n3("one"), 3, 3),
