@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from merloom.functions.codec import clean_dna, decode_kmer, encode_kmer, pair_key
-from merloom.operators import index, reads, windows
+from merloom.operators import content, index, reads, windows
 from merloom.plans import common_sql as q
+from merloom.plans import taxonomy as tx
 from merloom.session import table
 
 
@@ -35,9 +36,7 @@ def index_from_references(spark: SparkSession, d: str) -> DataFrame:
 
 def index_from_references_headers(spark: SparkSession, d: str) -> DataFrame:
     """The same from all records that have a header, dummies included."""
-    from merloom.plans.taxonomy import _generated
-
-    return _reference_index(reads.with_content(reads.assemble(table(spark, d, "read_chunks")), _generated(spark, d, "lowest", True)))
+    return _reference_index(reads.with_content(reads.assemble(table(spark, d, "read_chunks")), tx._generated(spark, d, "lowest", True)))
 
 
 def _reference_index(refs: DataFrame) -> DataFrame:
@@ -62,16 +61,11 @@ def index_update(spark: SparkSession, d: str) -> DataFrame:
     return _text(index.update(_base(spark, d), _idx(spark, d)), "tax")
 
 
-def _dummies(spark: SparkSession, d: str) -> DataFrame:
-    """Dummy taxa of the new index, renumbered downwards from 2^32 - 1."""
-    top = 2**32
-    old = _idx(spark, d).where(F.col("tax") > top - 1000).select(F.col("tax").alias("old")).distinct()
-    return old.select("old", (F.col("old") - 500).alias("new"))
-
-
 def index_merge_renamed(spark: SparkSession, d: str) -> DataFrame:
-    """Union of two indices, the dummies of the second renamed first."""
-    return _text(index.merge(_base(spark, d), _idx(spark, d), None, _dummies(spark, d)), "tax")
+    """Union of two indices whose content tables are merged: the dummies of the second are renamed as that merge says."""
+    own = content.parse(table(spark, d, "content_file"))
+    renamed = content.merge(tx._generated(spark, d, "species"), own)[1].where("side = 2").select("old", "new")
+    return _text(index.merge(_base(spark, d), _idx(spark, d), None, renamed), "tax")
 
 
 def index_delete(spark: SparkSession, d: str) -> DataFrame:
@@ -169,7 +163,8 @@ SQL = {
     "index_frequencies": f"{_I}, k as (select unnest(range(1, 13))::int as k) select tax, k, count(*) filter (substr(kmer, k, 1) <> '^') as n from idx, k group by tax, k",
     "index_directory": f"{_I}, p as (select substr(kmer, 1, 6) as prefix, count(*) as cnt from idx group by 1) select prefix, coalesce(sum(cnt) over (order by encode(prefix) rows between unbounded preceding and 1 preceding), 0)::bigint as start, cnt from p",
     "index_update": f"{_I}, {_BASE} select * from idx union select * from base",
-    "index_merge_renamed": f"{_I}, {_BASE} select kmer, case when tax > 4294966296 then tax - 500 else tax end as tax from idx union select * from base",
+    "index_merge_renamed": f"""with recursive {tx._generate('species')}, {tx._CONTENT}, bt as (select 1 as side, name, tax from gen union all select 2, name, tax from cf), {tx._DUM},
+        rn as (select tax as old, 4294967295 - i as new from dm where side = 2), {q.IDX}, {_BASE} select kmer, coalesce(new, tax) as tax from idx left join rn on old = tax union select * from base""",
     "index_delete": f"{_I} select * from idx where tax in (select tax from tax_nodes)",
     "index_taxa_per_kmer": f"{_I} select kmer, count(*) as n_taxa from idx group by kmer",
     "redundancy_histogram": f"""{_I}, n as (select kmer, count(*) as n_taxa from idx group by kmer), h as (select n_taxa, count(*) as n_kmers from n group by n_taxa)
