@@ -46,9 +46,9 @@ def _sharing(df: DataFrame, other: DataFrame, k: int, h: int) -> DataFrame:
     return df.withColumn("__p", code_prefix(F.col("code"), k, h)).join(_begins(other, k, h, "__p"), "__p", "left_semi").drop("__p")
 
 
-def _levels(df: DataFrame, other: DataFrame, keep: Sequence[str], min_k: int, max_k: int, h: int) -> DataFrame:
-    """(keep..., k, prefix) of rows that share min_k letters with the other side; longer prefixes where they share one letter more."""
-    out = prefixes(df, keep, min_k, min_k, h)
+def _levels(df: DataFrame, other: DataFrame, keep: Sequence[str], min_k: int, max_k: int, h: int, shared: bool = False) -> DataFrame:
+    """(keep..., k, prefix) of rows that share min_k letters with the other side (all do if ``shared``); longer prefixes where they share one letter more."""
+    out = prefixes(df if shared else _sharing(df, other, min_k, h), keep, min_k, min_k, h)
     if max_k > min_k:
         out = out.unionByName(prefixes(_sharing(df, other, min_k + 1, h), keep, min_k + 1, max_k, h))
     return out
@@ -76,10 +76,10 @@ def occurrences(windows: DataFrame, idx: DataFrame, keys: Sequence[str], min_k:
 def match_counted(occ: DataFrame, idx: DataFrame, keys: Sequence[str], min_k: int, max_k: int, h: int = H64, unique: bool = False, combined: bool = True) -> DataFrame:
     """(keys..., k, prefix, cnt, taxa, n_taxa) of counted windows; several rows a prefix unless ``combined``."""
     counted = occ.withColumn("cnt", F.lit(1).cast("long") if unique else F.col("n"))
-    hits = _levels(counted, idx, [*keys, "cnt"], min_k, max_k, h)
+    hits = _levels(counted, idx, [*keys, "cnt"], min_k, max_k, h, shared=True)
     if combined:
         hits = hits.groupBy(*keys, "k", "prefix").agg(F.sum("cnt").alias("cnt"))
-    taxa = _taxa(_levels(_sharing(idx, occ, min_k, h), occ, ["tax"], min_k, max_k, h))
+    taxa = _taxa(_levels(idx, occ, ["tax"], min_k, max_k, h))
     # sides made by generators are larger than estimated: never broadcast them unmeasured
     return hits.hint("merge").join(taxa, ["k", "prefix"])
 
@@ -146,8 +146,8 @@ def longest_matches(windows: DataFrame, idx: DataFrame, keys: Sequence[str], min
     """(keys..., strand, pos, len): the longest matching prefix of every window that matches; the windows that may match are written once."""
     windows = materialise(live(windows.select(*keys, "strand", "pos", "code"), idx, min_k, h))
     codes = materialise(windows.select("code").distinct())
-    stored = _levels(_sharing(idx, codes, min_k, h), codes, [], min_k, max_k, h).distinct()
-    found = _levels(codes, idx, ["code"], min_k, max_k, h).hint("merge").join(stored, ["k", "prefix"], "left_semi")
+    stored = _levels(idx, codes, [], min_k, max_k, h).distinct()
+    found = _levels(codes, idx, ["code"], min_k, max_k, h, shared=True).hint("merge").join(stored, ["k", "prefix"], "left_semi")
     best = found.groupBy("code").agg(F.max("k").alias("len"))
     return windows.hint("merge").join(best, "code").select(*keys, "strand", "pos", "len")
 
