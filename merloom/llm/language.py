@@ -51,6 +51,7 @@ FLOOR = 4.0  # a step counts at most this much against a language
 _TITLES = frozenset("dr prof mr mrs ms mme mlle sr sra srta dra hr fr dhr mevr drs".split())
 _SHORT_DOT = "|".join([r"(?<=\b\w)\.", *(rf"(?<=\b{t})\." for t in sorted(_TITLES))])  # of an initial or a title
 _ASIDE = re.compile(rf"\([^()\n]*\)|\[[^\[\]\n]*\]|(?<!\S)[–—](?=\s)(?:[^–—.!?\n]|{_SHORT_DOT}|[.!?]+(?=\s*[–—]))*(?<=\s)[–—](?!\S)")
+_OPENS = re.compile(r"[(\[–—]")
 _END = re.compile(r"[.!?…]+[\"'»”’]*(?=\s|$)")
 _LAST = re.compile(r"[^\W\d_]+$")
 _LETTER = re.compile(r"[^\W\d_]")
@@ -64,7 +65,7 @@ def plain(text: str) -> str:
 def sentences(text: str) -> list[tuple[int, int]]:
     """Spans of the sentences of a plain text; interruptions belong to none. Whole-interruption texts are one span."""
     spans: list[tuple[int, int]] = []
-    masked = _ASIDE.sub(lambda m: " " * len(m.group()), text)
+    masked = _ASIDE.sub(lambda m: " " * len(m.group()), text) if _OPENS.search(text) else text
     if not masked.strip():
         masked = text
     at = 0
@@ -80,14 +81,12 @@ def sentences(text: str) -> list[tuple[int, int]]:
         spans.append((at, len(masked)))
     out = []
     for s, e in spans:
-        body = masked[s:e]
-        lean = body.strip()
-        if not lean:
+        if not _LETTER.search(masked, s, e):  # what has no letter is in no language
             continue
-        s += body.index(lean[0])
-        e = s + len(lean)
-        if _LETTER.search(masked, s, e):  # what has no letter is in no language
-            out.append((s, e))
+        body = masked[s:e]
+        lean = body.lstrip()
+        s += len(body) - len(lean)
+        out.append((s, s + len(lean.rstrip())))
     return out
 
 
@@ -185,6 +184,13 @@ def _logp(logit: np.ndarray) -> np.ndarray:
     return shifted - np.log(np.exp(shifted).sum(1, keepdims=True))
 
 
+def _shares(total: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
+    """Probabilities of the labels from byte-weighted sums of log-probabilities."""
+    mean = total / n_bytes[:, None]
+    prob = np.exp(mean - mean.max(1, keepdims=True))
+    return prob / prob.sum(1, keepdims=True)
+
+
 def held(labels: list[int], n_bytes: np.ndarray) -> list[int]:
     """Languages of the runs of MIN_RUN sentences or more; without any, the one of most bytes."""
     found, run = set(), 0
@@ -241,6 +247,8 @@ def label_texts(net: ByteGRU, texts: list[str | None], switch: float = SWITCH, i
     unit_byte = byte_at[at] - sent_byte[unit_sent]
     turns = np.concatenate([[0], np.cumsum(unit_label[1:] != unit_label[:-1])])
     k = len(net.labels)
+    filled = [i for i in range(len(texts)) if of[i] < of[i + 1]]
+    whole = dict(zip(filled, zip(_shares(np.add.reduceat(weighed, of[filled], axis=0, dtype=np.float64), w := np.add.reduceat(n_bytes, of[filled], dtype=np.float64)), w.tolist())))
 
     def place(doc: int, u: int) -> int:
         """Offset of the first character of a unit."""
@@ -254,22 +262,21 @@ def label_texts(net: ByteGRU, texts: list[str | None], switch: float = SWITCH, i
             out.append(None)
             continue
         if turns[a] == turns[b - 1]:  # one label everywhere: nothing to search
-            path, cuts = None, [a, b]
-            have = [int(unit_label[a])]
-        else:
-            path = _viterbi(score[a:b], cost[a:b])
-            cuts = [a, *(a + 1 + np.flatnonzero(np.diff(path))).tolist(), b]
-            total = np.zeros((first[i + 1] - first[i], k))
-            np.add.at(total, (unit_sent[a:b] - first[i], path), n_bytes[a:b])
-            have = held(total.argmax(1).tolist(), total.sum(0))
+            g, (share, w) = int(unit_label[a]), whole[i]
+            lo, hi = first[i], first[i + 1]
+            out.append(([net.labels[g]], [{"start": spans_of[lo][0], "end": spans_of[hi - 1][1], "lang": net.labels[g], "confidence": float(share[g]), "n_sentences": hi - lo, "n_bytes": int(w)}]))
+            continue
+        path = _viterbi(score[a:b], cost[a:b])
+        cuts = [a, *(a + 1 + np.flatnonzero(np.diff(path))).tolist(), b]
+        total = np.zeros((first[i + 1] - first[i], k))
+        np.add.at(total, (unit_sent[a:b] - first[i], path), n_bytes[a:b])
+        have = held(total.argmax(1).tolist(), total.sum(0))
         segments = []
         for x, y in zip(cuts, cuts[1:]):
-            g = have[0] if path is None else int(path[x - a])
-            w = n_bytes[x:y].sum(dtype=np.float64)
-            mean = weighed[x:y].sum(0, dtype=np.float64) / w
-            prob = np.exp(mean - mean.max())
+            g, w = int(path[x - a]), n_bytes[x:y].sum(dtype=np.float64)
+            share = _shares(weighed[x:y].sum(0, keepdims=True, dtype=np.float64), np.array([w]))[0]
             end = spans_of[unit_sent[y - 1]][1] if y == b or unit_fresh[y] else place(i, y)
-            segments.append({"start": place(i, x), "end": end, "lang": net.labels[g], "confidence": float(prob[g] / prob.sum()), "n_sentences": int(unit_sent[y - 1] - unit_sent[x]) + 1, "n_bytes": int(w)})
+            segments.append({"start": place(i, x), "end": end, "lang": net.labels[g], "confidence": float(share[g]), "n_sentences": int(unit_sent[y - 1] - unit_sent[x]) + 1, "n_bytes": int(w)})
         out.append(([net.labels[g] for g in have], segments))
     return out
 
