@@ -170,6 +170,17 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_report(plan, mixing.mix(docs, plan))
 
 
+def p7_report_by_letters(spark: SparkSession, d: str) -> DataFrame:
+    """The same mix with sizes in characters, which SQL can count: the plan of each source, and whether what it uses misses its budget by less than its longest document."""
+    docs = table(spark, d, "documents").select("doc_id", "source", F.length("text").alias("n"))
+    slim = mixing.slim(docs, F.col("doc_id"), F.col("source"), F.coalesce("n", F.lit(0)), F.lit(1.0))
+    plan = mixing.budgets(slim, table(spark, d, "source_targets"))
+    longest = slim.groupBy("src").agg(F.max("tokens").alias("longest"))
+    r = mixing.mix_report(plan, mixing.mix(slim, plan)).join(longest, mixing.source_name(F.col("source")) == F.col("src"), "left")
+    used = F.when(F.col("short"), F.col("used") == F.col("available") * F.col("max_repeats")).otherwise((F.col("used") <= F.col("budget")) & (F.col("used") > F.col("budget") - F.col("longest")))
+    return r.select("source", "available", "n_docs", F.round("budget", 3).alias("budget"), "epochs", "short", used.alias("used_well"))
+
+
 def _net(spark: SparkSession, d: str):
     return language.fit(table(spark, d, "lang_samples"), table(spark, d, "documents"), table(spark, d, "lang_labels"))
 
@@ -195,5 +206,5 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_error_rate, p2_totals, p3_found, p3_counts, p4_found, p4_distinct_counts, p4_combinations, p5_found, p5_pieces, p5_records, p6_found, p6_containers, p6_fill, p6_fill_by_letters, p7_found, p7_mix, p7_report, p8_found, p8_documents, p8_segments)
+    for f in (p2_found, p2_error_rate, p2_totals, p3_found, p3_counts, p4_found, p4_distinct_counts, p4_combinations, p5_found, p5_pieces, p5_records, p6_found, p6_containers, p6_fill, p6_fill_by_letters, p7_found, p7_mix, p7_report, p7_report_by_letters, p8_found, p8_documents, p8_segments)
 }

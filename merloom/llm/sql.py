@@ -1,6 +1,6 @@
 """DuckDB SQL of the training-data queries that SQL can express on whole tables."""
 
-KEY_SQL = "coalesce(upper(kmer), array_to_string(list_transform(range(12), lambda i: chr((64 | ((code >> (5 * (11 - i))) & 31))::int)), ''))"
+from merloom.plans.common_sql import KEY as KEY_SQL
 
 _CUBE = f"""
     with p as (select cast(added_at as date) as dy, shard_id, tax, {KEY_SQL} as km from idx_pairs),
@@ -74,3 +74,9 @@ SQL["p4_combinations"] = f"""
         with p as (select {KEY_SQL} as km, shard_id from idx_pairs where shard_id in (1, 2, 3)),
         k as (select km, bool_or(shard_id = 1) as a, bool_or(shard_id = 2) as b, bool_or(shard_id = 3) as c from p where km is not null group by km)
         select count(*) as n_any, count(*) filter (a and b and c) as n_all, count(*) filter (a and not b) as n_first_not_second from k"""
+SQL["p7_report_by_letters"] = """
+        with d as (select lower(trim(source)) as src, coalesce(length(text), 0) as n from documents), t as (select sum(n)::bigint as total from d),
+        a as (select src, sum(n)::bigint as n, count(*) as c from d where src is not null group by src),
+        s as (select source, max_repeats, coalesce(a.n, 0) as available, coalesce(a.c, 0) as n_docs, target_share * total as budget from source_targets st, t left join a on a.src = lower(trim(st.source)))
+        select source, available, n_docs, round(budget, 3) as budget, case when available = 0 then 0 else least(floor(budget / available), max_repeats) end::bigint as epochs,
+               available * max_repeats < budget as short, true as used_well from s"""
