@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from merloom.functions.codec import decode_kmer, pair_key
 from merloom.operators import value_frequency as vf
+from merloom.plans.common_sql import KEY
 from merloom.session import table
 
 
@@ -54,9 +55,6 @@ def p1_freq_totals(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_taxon_profile, p1_taxon_positions, p1_freq_totals)}
 
-#: The key of an index pair in DuckDB, as upper-case text.
-KEY_SQL = "coalesce(upper(kmer), array_to_string(list_transform(range(12), lambda i: chr((64 | ((code >> (5 * (11 - i))) & 31))::int)), ''))"
-
 SQL = {
     "p1_found": """
         select 'idx_pairs' as table_name, tax from idx_pairs where tax is not null
@@ -65,7 +63,7 @@ SQL = {
         select 'freq', tax from freq where k = 12 and tax is not null
         group by tax having sum(n) * 100 >= 2 * (select sum(n) from freq where k = 12)""",
     "p1_taxon_profile": f"""
-        with p as (select tax, {KEY_SQL} as km from idx_pairs),
+        with p as (select tax, {KEY} as km from idx_pairs),
         c as (select tax, km, count(*) as n from p group by all),
         r as (select *, row_number() over (partition by tax order by n desc, km) as rn from c where km is not null)
         select t.tax, t.n_rows, t.n_kmers, r.km as mode_kmer, r.n as mode_rows
